@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, secrets, simhash
+from . import decontaminate, langid, quality, secrets, simhash
 from .common import id_hash
 
 
@@ -29,9 +29,13 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"), _fold(3, 1))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), _fold(5, 0))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_secrets, op4_langid, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_secrets, op4_langid, op5_quality, op9_decontaminate)}
 ORACLES = {"op2_secrets": secrets.ORACLE}
