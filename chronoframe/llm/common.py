@@ -100,3 +100,6 @@ def spans(offsets: np.ndarray, target: int) -> Iterator[tuple[int, int]]:
 #: A-Z to a-z, every other byte as it is.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: The same with ASCII white space and punctuation as blanks: what is left are words.
+WORDS = LOWER.copy()
+WORDS[[c for c in range(128) if not chr(c).isalnum()]] = 32

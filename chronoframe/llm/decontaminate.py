@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, spans, text_buffer
+from .common import WORDS, spans, text_buffer
 
 MASKS = ("11111", "111101", "1101101", "1011011")
 OVERLAP = 0.8
@@ -30,9 +30,7 @@ BLOCK_ITEMS = 8_000
 #: Alignments of one item at most so many words apart count together (words put in or left out).
 DRIFT = 8
 
-_CUT = LOWER.copy()
-_CUT[[c for c in range(128) if not chr(c).isalnum()]] = 32
-_CUT = _CUT.tobytes()
+_CUT = WORDS.tobytes()
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25], np.uint64)
 
 
