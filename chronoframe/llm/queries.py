@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, quality, secrets, simhash, toxicity
+from . import decontaminate, flac, langid, quality, secrets, simhash, toxicity
 from .common import id_hash
 
 
@@ -33,6 +33,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), _fold(5, 0))
 
 
+def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.grade(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -41,5 +45,5 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_secrets, op4_langid, op5_quality, op8_toxicity, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_secrets, op4_langid, op5_quality, op7_flac, op8_toxicity, op9_decontaminate)}
 ORACLES = {"op2_secrets": secrets.ORACLE}
