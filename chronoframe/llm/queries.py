@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, flac, langid, quality, secrets, simhash, toxicity
+from . import decontaminate, flac, langid, quality, repeats, secrets, simhash, toxicity
 from .common import id_hash
 
 
@@ -45,5 +45,9 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_secrets, op4_langid, op5_quality, op7_flac, op8_toxicity, op9_decontaminate)}
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.dedup(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_secrets, op4_langid, op5_quality, op7_flac, op8_toxicity, op9_decontaminate, op10_repeats)}
 ORACLES = {"op2_secrets": secrets.ORACLE}
