@@ -39,6 +39,9 @@ WIDTH = SPAN + SIDE
 #: Anchors that a task gathers before it collapses and deals them, and that a bucket is to get.
 AT_ONCE = 1_200_000
 BUCKET = 700_000
+#: Contexts of one anchor that a task compares at most, and fragments that it sorts at once.
+CROWD = 2_000
+SORTED = 8_000
 #: Ids up to which a set of documents is broadcast to thin texts before they are shuffled.
 FEW = 1_000_000
 
@@ -140,19 +143,36 @@ def merged(ids, ths, start, end) -> tuple[np.ndarray, ...]:
     return ids[first], ths[first], start[first], reach[last] - doc[first] * np.int64(1 << 40)
 
 
+def _windows(words: np.ndarray, key: np.ndarray, starts: int) -> np.ndarray:
+    """Hash of the SPAN bytes from every start of every fragment, [fragments, starts]."""
+    h = np.repeat(key[:, None], starts, axis=1)
+    for k in (*range(0, SPAN - 8, 8), SPAN - 8):
+        h = (h ^ words[:, k : k + starts]) * _A
+        h ^= h >> np.uint64(29)
+    return h * _B
+
+
 def maximal_repeats(frag: np.ndarray, length: np.ndarray, group: np.ndarray, least: int = SPAN) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """Maximal repeats of the fragments within each group, as (length, fragments, starts) with all
     occurrences. ``frag`` is [fragments, WIDTH] bytes of which ``length`` count. A start of a fragment
     has no byte before it and so differs from every other."""
-    per = np.maximum(length - least + 1, 0)
-    f = np.repeat(np.arange(len(frag)), per)
-    s = np.arange(len(f)) - np.repeat(np.cumsum(per) - per, per)
-    if len(f) < 2:
-        return []
     flat = np.zeros((len(frag), WIDTH + 8), np.uint8)
     flat[:, :WIDTH] = frag
     flat[:, :WIDTH][np.arange(WIDTH) >= length[:, None]] = 0
     w = _words(flat.reshape(-1))
+    f, s = np.nonzero(np.arange(WIDTH - least + 1) <= (length - least)[:, None])
+    if least == SPAN and len(f):
+        grid = np.zeros(flat.size, np.uint64)
+        grid[: len(w)] = w
+        h = _windows(grid.reshape(flat.shape), _mix(group), WIDTH - SPAN + 1)[f, s]
+        order = np.argsort(h, kind="stable")
+        first = np.flatnonzero(_new(h[order]))
+        before = np.where(s > 0, flat[f, np.maximum(s - 1, 0)].astype(np.int64), 256 + np.arange(len(f)))[order]
+        mixed = np.minimum.reduceat(before, first) != np.maximum.reduceat(before, first)
+        keep = np.sort(order[np.repeat(mixed, np.diff(np.append(first, len(order))))])
+        f, s = f[keep], s[keep]
+    if len(f) < 2:
+        return []
     base = f * (WIDTH + 8) + s
     rest = length[f] - s
     steps = -(-WIDTH // 8)
@@ -220,6 +240,7 @@ def _unpack(blobs, types: list) -> list[np.ndarray]:
 _ANCHOR = [(np.uint8, 6), (np.uint64, 1), (np.int64, 1), (np.int64, 1), (np.uint16, 1), (np.uint16, 1), (np.uint8, 1), (np.uint8, 1)]
 _MARK = [(np.int64, 1), (np.int64, 1), (np.uint32, 1), (np.uint32, 1)]
 _ASK = [(np.int64, 1), (np.int64, 1), (np.uint32, 1), (np.uint64, 1), (np.int32, 1)]
+_WINDOW = [(np.uint64, 1), (np.uint64, 1), (np.int64, 1), (np.int64, 1), (np.uint32, 1)]
 _FRAG = [(np.uint64, 1), (np.int64, 1), (np.int64, 1), (np.uint32, 1), (np.uint8, 1), (np.uint8, WIDTH)]
 
 
@@ -244,7 +265,7 @@ def _marks(parts: int, ids, ths, start, end):
     return _dealt(_doc_part(ids, parts), parts, 1, ids, ths, start.astype(np.uint32), end.astype(np.uint32))
 
 
-def _gather(parts: int):
+def _gather(parts: int, at_once: int):
     """Texts -> collapsed anchors by key bucket (kind 0) and spans that a task could settle (kind 1)."""
 
     def flush(held):
@@ -271,7 +292,7 @@ def _gather(parts: int):
                 row = a.pop("row") + i
                 held.append(a | {"id": ids[row], "th": ths[row]})
                 n += len(row)
-                if n >= AT_ONCE:
+                if n >= at_once:
                     yield from flush(held)
                     held, n = [], 0
         if n:
@@ -280,7 +301,7 @@ def _gather(parts: int):
     return run
 
 
-def _settle(parts: int):
+def _settle(parts: int, crowd_from: int):
     """A key bucket's anchors -> spans of further copies (kind 1) and fragments to fetch (kind 2)."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -298,15 +319,18 @@ def _settle(parts: int):
         out = [_marks(parts, ids[copy], ths[copy], (pos - left)[copy], (pos + GRAM + right)[copy])]
         # contexts of one key of which two agree on a near half
         first = np.flatnonzero(_new(key, context))
-        near = np.zeros(len(first), bool)
-        for bits in (np.uint64(48), np.uint64(32)):
+        shared = np.zeros(len(first), np.int32)
+        for flag, bits in ((1, np.uint64(48)), (2, np.uint64(32))):
             half = context[first] >> bits & np.uint64(0xFFFF)
             o = np.lexsort((half, key[first]))
             new = np.flatnonzero(_new(key[first][o], half[o]))
             size = np.repeat(np.diff(np.append(new, len(o))), np.diff(np.append(new, len(o))))
-            near[o] |= (size > 1) & (half[o] > 0)
-        ask = np.repeat(near, np.diff(np.append(first, len(key)))) & ~copy
-        bucket = np.full(int(ask.sum()), table.column("part")[0].as_py(), np.int32)
+            shared[o] |= flag * ((size > 1) & (half[o] > 0)).astype(np.int32)
+        own = np.flatnonzero(_new(key[first]))
+        crowd = np.repeat(np.add.reduceat(shared > 0, own, dtype=np.int64), np.diff(np.append(own, len(first)))) > crowd_from
+        times = np.diff(np.append(first, len(key)))
+        ask = np.repeat(shared > 0, times) & ~copy
+        bucket = np.repeat(np.where(crowd, -shared, table.column("part")[0].as_py()), times)[ask].astype(np.int32)
         out.append(_dealt(_doc_part(ids[ask], parts), parts, 2, ids[ask], ths[ask], pos[ask].astype(np.uint32), key[ask], bucket))
         return pa.Table.from_batches(out)
 
@@ -331,8 +355,30 @@ def _fetch(parts: int):
         held, n = [], 0
 
         def flush():
-            c = [np.concatenate(x) for x in zip(*held)]
-            return _dealt(c[0].astype(np.int64), parts, 3, *c[1:])
+            bucket, key, ids, ths, start, length, anchor, frag = (np.concatenate(x) for x in zip(*held))
+            few = bucket >= 0
+            yield _dealt(bucket[few].astype(np.int64), parts, 3, key[few], ids[few], ths[few], start[few], length[few], frag[few])
+            if few.all():
+                return
+            many = ~few
+            flat = np.zeros((int(many.sum()), WIDTH + 8), np.uint8)
+            flat[:, :WIDTH] = frag[many]
+            grid = np.zeros(flat.size, np.uint64)
+            w = _words(flat.reshape(-1))
+            grid[: len(w)] = w
+            h = _windows(grid.reshape(flat.shape), key[many], SIDE + 1)
+            left = anchor[many].astype(np.int64)[:, None] - np.arange(SIDE + 1)  # context bytes before the gram
+            flag = -bucket[many][:, None]
+            ok = (left >= 0) & (np.arange(SIDE + 1) + SPAN <= length[many][:, None])
+            ok &= ((flag & 1) > 0) & (left >= HALF) | ((flag & 2) > 0) & (SIDE - left >= HALF)
+            f, s = np.nonzero(ok)
+            hash_, key, ids, ths, pos = h[f, s], key[many][f], ids[many][f], ths[many][f], start[many][f].astype(np.int64) + s
+            order, least = collapse(hash_, key, ids)
+            hash_, key, ids, ths, pos = (x[order] for x in (hash_, key, ids, ths, pos))
+            copy = ids > least
+            yield _marks(parts, ids[copy], ths[copy], pos[copy], pos[copy] + SPAN)
+            keep = ~copy
+            yield _dealt(((hash_[keep] >> np.uint64(20)) % np.uint64(parts)).astype(np.int64), parts, 4, hash_[keep], key[keep], ids[keep], ths[keep], pos[keep].astype(np.uint32))
 
         for b in batches:
             body, offs = text_buffer(b.column(2))
@@ -344,29 +390,39 @@ def _fetch(parts: int):
                 length = np.minimum(pos.astype(np.int64) + SPAN, offs[k + 1] - offs[k]) - start
                 frag = text[start[:, None] + np.arange(WIDTH)]
                 ids, ths = (np.full(len(pos), b.column(c)[k].as_py(), np.int64) for c in (0, 1))
-                held.append((bucket, key, ids, ths, start.astype(np.uint32), length.astype(np.uint8), frag))
+                held.append((bucket, key, ids, ths, start.astype(np.uint32), length.astype(np.uint8), (pos.astype(np.int64) - start).astype(np.uint8), frag))
                 n += len(pos)
-                if n >= 200_000:
-                    yield flush()
+                if n >= 60_000:
+                    yield from flush()
                     held, n = [], 0
         if n:
-            yield flush()
+            yield from flush()
 
     return run
 
 
-def _compare(parts: int):
-    """A key bucket's fragments -> spans, through the maximal repeats of its keys."""
+def _compare(parts: int, at_once: int):
+    """A key bucket's fragments (kind 3) -> spans, through the maximal repeats of its keys; the windows of
+    crowded keys (kind 4) -> spans, by their smallest document."""
 
     def run(table: pa.Table) -> pa.Table:
+        kind = table.column("kind")[0].as_py()
+        if kind == 1:
+            return table
+        if kind == 4:
+            hash_, key, ids, ths, pos = _unpack([x.as_py() for x in table.column("blob")], _WINDOW)
+            order, least = collapse(hash_, key, ids)
+            far = ids[order] > least
+            at = pos[order][far].astype(np.int64)
+            return pa.Table.from_batches([_marks(parts, ids[order][far], ths[order][far], at, at + SPAN)])
         key, ids, ths, start, length, frag = _unpack([x.as_py() for x in table.column("blob")], _FRAG)
         order = np.argsort(key, kind="stable")
         edge = np.flatnonzero(_new(key[order]))
         edge = np.append(edge, len(order))
         marks: list[tuple] = []
         a = 0
-        while a < len(edge) - 1:  # whole keys, some tens of thousands of fragments at a time
-            z = max(a + 1, int(np.searchsorted(edge, edge[a] + 20_000, "right")) - 1)
+        while a < len(edge) - 1:  # whole keys, SORTED fragments at a time, CROWD more at most
+            z = max(a + 1, int(np.searchsorted(edge, edge[a] + at_once, "right")) - 1)
             mine = order[edge[a] : edge[z]]
             for n, f, s in maximal_repeats(frag[mine], length[mine].astype(np.int64), key[mine]):
                 doc = ids[mine[f]]
@@ -410,11 +466,11 @@ def removed_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total = facts.agg(F.sum("n_bytes")).first()[0] or 0
     parts = max(4, -(-total // (BUCKET * 18)))
     docs = docs.where("doc_id is not null")
-    found = docs.mapInArrow(_gather(parts), _DEALT).groupBy("kind", "part").applyInArrow(_settle(parts), _DEALT)
+    found = docs.mapInArrow(_gather(parts, AT_ONCE), _DEALT).groupBy("kind", "part").applyInArrow(_settle(parts, CROWD), _DEALT)
     found = scratch.table(found)
     wanted = scratch.table(found.where("kind = 2").groupBy("part").applyInArrow(_asked, "doc_id long, th long, ask binary"))
     frags = _thinned(docs, wanted).select("doc_id", "th", "text", "ask").mapInArrow(_fetch(parts), _DEALT)
-    more = frags.groupBy("part").applyInArrow(_compare(parts), _DEALT)
+    more = frags.groupBy("kind", "part").applyInArrow(_compare(parts, SORTED), _DEALT)
     runs = found.where("kind = 1").unionByName(more).groupBy("part").applyInArrow(_union, "doc_id long, th long, n_removed long, n_spans long, runs binary")
     return facts, scratch.table(runs)
 

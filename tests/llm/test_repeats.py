@@ -60,9 +60,23 @@ def test_against_brute_force(spark):
 def test_small_buckets_and_flushes(spark, monkeypatch):
     monkeypatch.setattr(repeats, "BUCKET", 50)
     monkeypatch.setattr(repeats, "FEW", 0)
+    monkeypatch.setattr(repeats, "SORTED", 5)
+    monkeypatch.setattr(repeats, "AT_ONCE", 100)
     check(spark, corpus(9, 60))
 
 
+def test_crowded_anchors(spark, monkeypatch):
+    rng = random.Random(12)
+    line = "a common line that is fifty bytes long or somewhat more."
+    tail = lambda: "".join(rng.choice("xy ") for _ in range(rng.randint(0, 40)))
+    rows = [(k, tail() + line[rng.randint(0, 2) :] + tail()) for k in range(150)] + corpus(3, 40)[:0]
+    for crowd in (0, 3, 100):
+        monkeypatch.setattr(repeats, "CROWD", crowd)
+        check(spark, rows)
+    monkeypatch.setattr(repeats, "CROWD", 0)
+    check(spark, corpus(13, 80))
+
+
 def test_edges(spark):
     long = "Lorem ipsum dolor sit amet, consectetur adipiscing elit sed do " * 2000
     rows = [(None, "n" * 60), (5, "n" * 60), (1, None), (2, ""), (3, "short"), (7, long), (8, long[:-1]), (9, "q" * 200), (9, "q" * 200), (9, "r" * 70), (10, "r" * 70), (0, "tail " + "q" * 49), (12, "\x00" * 80), (13, "\x00" * 80)]
