@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, flac, langid, quality, repeats, secrets, simhash, toxicity
+from . import decontaminate, flac, langid, lm, pieces, quality, repeats, secrets, simhash, toxicity
 from .common import id_hash
 
 
@@ -25,6 +25,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(_table(spark, sf_dir, "documents"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"), _fold(3, 1))
 
@@ -33,6 +37,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), _fold(5, 0))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"), _fold(7, 2))
+
+
 def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.round_trip(_table(spark, sf_dir, "documents"))
 
@@ -49,5 +57,5 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_secrets, op4_langid, op5_quality, op7_flac, op8_toxicity, op9_decontaminate, op10_repeats)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_secrets, op3_pieces, op4_langid, op5_quality, op6_lm, op7_flac, op8_toxicity, op9_decontaminate, op10_repeats)}
 ORACLES = {"op2_secrets": secrets.ORACLE}

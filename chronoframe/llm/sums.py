@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def tree_sum(parts: DataFrame, size: int) -> np.ndarray:
-    """Sum of the ``part`` column (binary, ``size`` float64 each).
+def tree_sum(parts: DataFrame, size: int, kind: type = np.float64) -> np.ndarray:
+    """Sum of the ``part`` column (binary, ``size`` numbers of ``kind`` each).
 
     Each of about sqrt(partitions) tasks streams its share into one vector and the driver adds those,
     so no task and no result grows faster than the square root of the input.
@@ -22,7 +22,7 @@ def tree_sum(parts: DataFrame, size: int) -> np.ndarray:
         total, any_row = np.zeros(size), False
         for b in batches:
             for x in b.column(0):
-                total += np.frombuffer(x.as_py(), np.float64, size)
+                total += np.frombuffer(x.as_py(), kind, size)
                 any_row = True
         if any_row:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
