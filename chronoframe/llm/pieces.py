@@ -5,10 +5,14 @@ that matches the text, or a character's UTF-8 bytes where no piece covers it. A
 gives the best score up to every position; the backward A* search from the end uses those scores as
 its heuristic, which is exact, so hypotheses leave the queue in order of their full score.
 
-No piece crosses from a word into the blanks that follow it, and none holds a line break, so a text's
-lattice falls apart at those places: each chunk is searched once, kept in a bounded cache, and a text's
+No piece crosses from a word into the blanks that follow it, none holds a line break, and (where the
+vocabulary is so made) none joins punctuation to anything else, so a text's lattice falls apart at those
+places: each chunk is searched once, kept in a bounded cache, and a text's
 n best segmentations are the n best sums over its chunks, merged through a queue again.
 
+The forward pass also keeps the second best score, so the exact gap to a chunk's second best is known and
+the search itself runs only for the few chunks of a text whose gaps are smallest.
+
 A vocabulary of merge ranks has no probabilities. Its pieces are scored by the rank's Zipf law,
 log(1 / ((rank + 1) * H)); a fallback byte costs more than the rarest piece.
 """
@@ -19,8 +23,10 @@ import hashlib
 import heapq
 import math
 import re
+import string
 from array import array
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -34,25 +40,35 @@ CACHE = 400_000
 CACHE_CHARS = 48
 
 _SPACE = "▁"
+_P, _A = re.escape(string.punctuation), "0-9A-Za-z\u00c0-\u024f"
+#: Chunks end at places that no piece crosses: before blanks, about line breaks and, where the
+#: vocabulary never joins Latin letters or digits to ASCII punctuation, between those. The last pattern
+#: but two takes what holds other characters, up to the next blank.
+_CHUNKS = re.compile(" *[^ \n]+|\n| +")
+_FINE_CHUNKS = re.compile(f" *[{_A}]++(?=[ \n{_P}]|$)| *[{_P}]++(?=[ \n{_A}]|$)| *[^ \n]+|\n| +")
 
 
 class Vocabulary:
-    """Pieces with their scores, and the chunks they cannot cross."""
+    """Pieces with their scores (the blank symbol as a plain blank), and the searches over their lattice."""
 
-    def __init__(self, pieces: list[str], scores: list[float], bytes_at: list[int], skip: set[int], unknown: int = 0):
-        self.pieces, self.bytes_at, self.unknown = pieces, bytes_at, unknown
+    def __init__(self, pieces: list[str], scores: list[float], bytes_at: list[int], skip: set[int]):
         special = skip | set(bytes_at)
-        self.ids = {p: k for k, p in enumerate(pieces) if k not in special and p}
-        self.scores = scores
-        if any(_SPACE in p.lstrip(_SPACE) for p in self.ids) or any("\n" in p for p in self.ids):
+        plain = [p.replace(_SPACE, " ") for p in pieces]
+        self.ids = {p: k for k, p in enumerate(plain) if k not in special and p}
+        if any(" " in p.lstrip(" ") or "\n" in p for p in self.ids):
             raise ValueError("a piece crosses a chunk's border")
-        starts: set[str] = set()
-        for p in self.ids:
-            starts.update(p[:n] for n in range(1, len(p) + 1))
-        self.starts = starts
+        self.pieces, self.scores, self.bytes_at = pieces, scores, bytes_at
+        #: Every beginning of a piece, with the id of the piece that it is, or -1.
+        self.starts = {p[:n]: -1 for p in self.ids for n in range(1, len(p) + 1)} | self.ids
         self.byte_score = min(scores[k] for k in self.ids.values()) - 10.0
-        self.byte_of = {k: b for b, k in enumerate(bytes_at)}
-        self.cache: dict[str, tuple] = {}
+        #: What each id decodes to.
+        self.raw = [b"" if k in skip else plain[k].encode() for k in range(len(pieces))]
+        for b, k in enumerate(bytes_at):
+            self.raw[k] = bytes([b])
+        joined = any(re.search(f"[{_P}][{_A}]|[{_A}][{_P}]", p) for p in self.ids)
+        self.chunks = (_CHUNKS if joined else _FINE_CHUNKS).findall
+        self.cache: dict[str, tuple[float, bytes, float]] = {}
+        self.older: dict[str, tuple[float, bytes, float]] = {}
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -62,136 +78,172 @@ class Vocabulary:
         n = m.get_piece_size()
         pieces = [m.id_to_piece(k) for k in range(n)]
         bytes_at = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        skip = {k for k in range(n) if m.is_control(k) or m.is_unknown(k) or m.is_unused(k) or m.is_byte(k)}
-        rank = {k: r for r, k in enumerate(sorted((k for k in range(n) if k not in skip), key=lambda k: (-m.get_score(k), k)))}
-        h = math.log(sum(1 / (r + 1) for r in range(len(rank))))
-        scores = [-math.log(rank[k] + 1) - h if k in rank else 0.0 for k in range(n)]
-        return cls(pieces, scores, bytes_at, skip, m.unk_id())
-
-    def n_best(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The chunk's n best segmentations, best first; ties in order of their ids."""
-        size = len(chunk)
-        ids, starts, scores = self.ids, self.starts, self.scores
-        best = [-math.inf] * (size + 1)
-        best[0] = 0.0
-        into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(size + 1)]  # edges by their end
+        skip = {k for k in range(n) if m.is_control(k) or m.is_unknown(k) or m.is_unused(k)}
+        own = [k for k in range(n) if k not in skip and not m.is_byte(k)]
+        h = math.log(sum(1 / (r + 1) for r in range(len(own))))
+        scores = [0.0] * n
+        for r, k in enumerate(sorted(own, key=lambda k: (-m.get_score(k), k))):
+            scores[k] = -math.log(r + 1) - h
+        return cls(pieces, scores, bytes_at, skip)
+
+    def edges(self, chunk: str) -> list[tuple[int, int, float, int]]:
+        """The lattice as (from, to, score, id), by where they start; id -1 stands for fallback bytes."""
+        starts, scores, out, size = self.starts, self.scores, [], len(chunk)
         for i in range(size):
-            here, single = best[i], False
+            single = False
             for j in range(i + 1, size + 1):
-                s = chunk[i:j]
-                if s not in starts:
+                k = starts.get(chunk[i:j])
+                if k is None:
                     break
-                k = ids.get(s)
-                if k is not None:
+                if k >= 0:
                     single |= j == i + 1
-                    w = scores[k]
-                    into[j].append((i, w, (k,)))
-                    if here + w > best[j]:
-                        best[j] = here + w
+                    out.append((i, j, scores[k], k))
+            if not single:
+                out.append((i, i + 1, self.byte_score * len(chunk[i].encode("utf-8", "surrogatepass")), -1))
+        return out
+
+    def _spell(self, char: str) -> tuple[int, ...]:
+        return tuple(self.bytes_at[b] for b in char.encode("utf-8", "surrogatepass"))
+
+    def viterbi(self, chunk: str) -> tuple[float, bytes, float]:
+        """The best segmentation's score and ids, and what the second best lacks (infinite without one):
+        a forward pass with the two best scores up to every position."""
+        size, starts, scores = len(chunk), self.starts.get, self.scores
+        none = -math.inf
+        best, second = [0.0] + [none] * size, [none] * (size + 1)
+        back: list = [None] * (size + 1)
+        for i in range(size):
+            first, other, single = best[i], second[i], False
+            for j in range(i + 1, size + 1):
+                k = starts(chunk[i:j])
+                if k is None:
+                    break
+                if k < 0:
+                    continue
+                if j == i + 1:
+                    single = True
+                v = first + scores[k]
+                if v > best[j]:
+                    second[j], best[j], back[j] = best[j], v, (i, k)
+                elif v > second[j]:
+                    second[j] = v
+                if other > none and other + scores[k] > second[j]:
+                    second[j] = other + scores[k]
             if not single:
-                raw = chunk[i].encode("utf-8", "surrogatepass")
-                w = self.byte_score * len(raw)
-                into[i + 1].append((i, w, tuple(self.bytes_at[b] for b in raw)))
-                if here + w > best[i + 1]:
-                    best[i + 1] = here + w
-        # A*: states are positions reached from the end; priority is the score behind plus best[] ahead
+                w = self.byte_score * len(chunk[i].encode("utf-8", "surrogatepass"))
+                j, v = i + 1, first + w
+                if v > best[j]:
+                    second[j], best[j], back[j] = best[j], v, (i, -1)
+                elif v > second[j]:
+                    second[j] = v
+                if other + w > second[j]:
+                    second[j] = other + w
+        at, ids = size, []
+        while at:
+            i, k = back[at]
+            if k >= 0:
+                ids.append(k)
+            else:
+                ids += self._spell(chunk[i])[::-1]
+            at = i
+        ids.reverse()
+        return best[size], array("i", ids).tobytes(), best[size] - second[size]
+
+    def n_best(self, chunk: str, n: int) -> list[tuple[float, bytes]]:
+        """The chunk's n best segmentations, best first, by A* from its end: the forward Viterbi score of a
+        position is exactly the best that can still come before it. Ties come in order of their ids."""
+        size, edges = len(chunk), self.edges(chunk)
+        best = [0.0] + [-math.inf] * size
+        into: list[list] = [[] for _ in range(size + 1)]
+        for i, j, w, k in edges:
+            into[j].append((i, w, (k,) if k >= 0 else self._spell(chunk[i])))
+            if best[i] + w > best[j]:
+                best[j] = best[i] + w
         out: list[tuple[float, tuple[int, ...]]] = []
         queue: list[tuple[float, tuple[int, ...], int, float]] = [(-best[size], (), size, 0.0)]
-        last = None
         while queue:
             f, tail, at, behind = heapq.heappop(queue)
-            if len(out) >= n and -f < last - 1e-9:
+            if len(out) >= n and -f < out[n - 1][0] - 1e-9 or len(out) >= 4 * n:
                 break
             if at == 0:
                 out.append((behind, tail))
-                last = behind if len(out) == n else last
-                if len(out) >= 4 * n:  # ties without end: enough of them for any order
-                    break
                 continue
             for i, w, own in into[at]:
-                if best[i] > -math.inf:
-                    heapq.heappush(queue, (-(behind + w + best[i]), own + tail, i, behind + w))
-        out = sorted(((round(s, 9), p) for s, p in out), key=lambda x: (-x[0], x[1]))
-        return out[:n]
-
-    def chunk(self, text: str, n: int) -> tuple:
-        """(best score, its ids as array, gaps to and ids of the other segmentations)."""
-        key = f"{n}{text}"
-        got = self.cache.get(key)
-        if got is None:
-            found = self.n_best(text, n)
-            got = (found[0][0], array("i", found[0][1]), [(found[0][0] - s, p) for s, p in found[1:]])
-            if len(text) <= CACHE_CHARS:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[key] = got
+                heapq.heappush(queue, (-(behind + w + best[i]), own + tail, i, behind + w))
+        out.sort(key=lambda x: (-round(x[0], 9), x[1]))
+        return [(s, array("i", p).tobytes()) for s, p in out[:n]]
+
+    def chunk(self, text: str) -> tuple[float, bytes, float]:
+        """viterbi, kept for short chunks in two generations."""
+        got = self.older.get(text) or self.viterbi(text)
+        if len(text) <= CACHE_CHARS:
+            if len(self.cache) >= CACHE:
+                self.older, self.cache = self.cache, {}
+            self.cache[text] = got
         return got
 
 
-_CHUNKS = re.compile(f"{_SPACE}*[^{_SPACE}\n]+|\n|{_SPACE}+")
-
-
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary.load(path)
 
 
-def _split(text: str) -> list[str]:
-    """Chunks of the normalised text: a dummy blank in front, blanks as their own symbol."""
-    return _CHUNKS.findall(_SPACE + text.replace(" ", _SPACE)) if text else []
-
-
-def encode(text: str, vocab: Vocabulary, n: int = N_BEST) -> list[tuple[float, array]]:
-    """The text's n best segmentations as (score, ids), best first; fewer where fewer exist.
-
-    Equal scores come in order of the first chunk at which they differ. An empty text has one, empty.
-    """
-    parts = [vocab.chunk(c, n) for c in _split(text)]
-    total = math.fsum(p[0] for p in parts)
-    best = array("i")
-    for p in parts:
-        best.extend(p[1])
+def _encode(text: str, vocab: Vocabulary, n: int, swaps: list | None = None) -> list[tuple[float, bytes]]:
+    """The n best (score, int32 ids as bytes) of a text. ``swaps`` gets the (chunk, ids) that stand in for
+    the best ids of a chunk in the others."""
+    chunks = vocab.chunks(" " + text) if text else []
+    get, chunk = vocab.cache.get, vocab.chunk
+    parts = [get(c) or chunk(c) for c in chunks]
+    score, ids, gap = zip(*parts) if parts else ((), (), ())
+    total, best = sum(score), b"".join(ids)
     out = [(total, best)]
     if n == 1 or not parts:
         return out
-    # sums of n best: only the n - 1 chunks with the smallest first gaps can change
-    gaps = [(p[2][0][0], k) for k, p in enumerate(parts) if p[2]]
-    open_ = heapq.nsmallest(n - 1, gaps)
-    queue = [(g, ((k, 0),)) for g, k in open_]
+    # sums of n best: only the n - 1 chunks with the smallest gaps can change
+    gaps = np.array(gap)
+    near = np.argpartition(gaps, n - 2)[: n - 1] if len(gaps) >= n else np.arange(len(gaps))
+    near = [k for k in near[np.lexsort((near, gaps[near]))].tolist() if gaps[k] < math.inf]
+    other = {k: [(score[k] - s, p) for s, p in vocab.n_best(chunks[k], n) if p != ids[k]][: n - 1] for k in near}
+    ends = list(accumulate(map(len, ids)))
+    rank = {k: r for r, k in enumerate(near)}
+    queue = [(other[k][0][0], ((k, 0),)) for k in near]
     heapq.heapify(queue)
-    rank = {k: r for r, (_, k) in enumerate(open_)}
     while queue and len(out) < n:
         g, change = heapq.heappop(queue)
-        swap = dict(change)
-        ids = array("i")
-        for k, p in enumerate(parts):
-            ids.extend(p[2][swap[k]][1] if k in swap else p[1])
-        out.append((total - g, ids))
+        made, at = [], 0
+        for k, r in sorted(change):
+            made += [best[at : ends[k] - len(ids[k])], other[k][r][1]]
+            at = ends[k]
+            if swaps is not None:
+                swaps.append((chunks[k], other[k][r][1]))
+        out.append((total - g, b"".join([*made, best[at:]])))
         k, r = change[-1]
-        if r + 1 < len(parts[k][2]):  # the same chunk's next segmentation
-            heapq.heappush(queue, (g - parts[k][2][r][0] + parts[k][2][r + 1][0], (*change[:-1], (k, r + 1))))
-        for h, q in open_:  # or one more chunk, further down the list
-            if rank[q] > rank[k]:
-                heapq.heappush(queue, (g + h, (*change, (q, 0))))
+        if r + 1 < len(other[k]):  # the same chunk's next segmentation
+            heapq.heappush(queue, (g - other[k][r][0] + other[k][r + 1][0], (*change[:-1], (k, r + 1))))
+        for q in near[rank[k] + 1 :]:  # or one more chunk, further down the list
+            heapq.heappush(queue, (g + other[q][0][0], (*change, (q, 0))))
+    return out
+
+
+def _ids(raw: bytes) -> array:
+    out = array("i")
+    out.frombytes(raw)
     return out
 
 
+def encode(text: str, vocab: Vocabulary, n: int = N_BEST) -> list[tuple[float, array]]:
+    """The text's n best segmentations as (score, ids), best first; fewer where fewer exist. An empty
+    text has one, empty."""
+    return [(s, _ids(p)) for s, p in _encode(text, vocab, n)]
+
+
+def _decode(ids, vocab: Vocabulary) -> bytes:
+    return b"".join(map(vocab.raw.__getitem__, ids))[1:]
+
+
 def decode(ids, vocab: Vocabulary) -> str:
     """The text of a list of ids, byte pieces joined to characters; the dummy blank in front goes."""
-    out, raw = [], bytearray()
-    for k in ids:
-        b = vocab.byte_of.get(k)
-        if b is not None:
-            raw.append(b)
-            continue
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-            raw.clear()
-        out.append(vocab.pieces[k])
-    if raw:
-        out.append(raw.decode("utf-8", "replace"))
-    text = "".join(out).replace(_SPACE, " ")
-    return text[1:] if text[:1] == " " else text
+    return _decode(ids, vocab).decode("utf-8", "replace")
 
 
 def _pieces(b: pa.Array, model: str, n: int):
@@ -236,7 +288,7 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
 
     score is the best segmentation's, gap what the second lacks (null without one); the hashes are over
     little-endian int32 ids, of all segmentations one after another for the second; exact tells whether
-    every found segmentation decodes to the text again. Null reads as empty; ids may be null or repeated.
+    the best segmentation decodes to the text again, and each part that others have in its place to the same. Null reads as empty; ids may be null or repeated.
     """
     names = ["doc_id", *carry, "n_pieces", "n_byte_pieces", "n_found", "score", "gap", "ids_sha256", "n_best_sha256", "exact"]
     kinds = [df.schema[c].dataType.simpleString() for c in (id_col, *carry)]
@@ -250,14 +302,13 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
             rows = []
             for v in b.column(b.num_columns - 1):
                 text = v.as_py() or ""
-                found = encode(text, vocab, n)
-                ids = np.frombuffer(found[0][1], np.int32) if found[0][1] else np.zeros(0, np.int32)
-                every = hashlib.sha256()
-                for _, p in found:
-                    every.update(p.tobytes())
-                exact = all(decode(p, vocab) == text for _, p in found)
+                swaps: list = []
+                found = _encode(text, vocab, n, swaps)
+                ids = np.frombuffer(found[0][1], np.int32)
+                exact = _decode(ids.tolist(), vocab) == text.encode()
+                exact = exact and all(b"".join(map(vocab.raw.__getitem__, _ids(p))) == c.encode() for c, p in swaps)
                 gap = found[0][0] - found[1][0] if len(found) > 1 else None
-                rows.append((len(ids), int(is_byte[ids].sum()), len(found), found[0][0], gap, hashlib.sha256(ids.tobytes()).hexdigest(), every.hexdigest(), exact))
+                rows.append((len(ids), int(is_byte[ids].sum()), len(found), found[0][0], gap, hashlib.sha256(found[0][1]).hexdigest(), hashlib.sha256(b"".join(p for _, p in found)).hexdigest(), exact))
             cols = list(zip(*rows)) if rows else [()] * 8
             types = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(c, t) for c, t in zip(cols, types)]], names=names)
