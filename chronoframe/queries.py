@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .plans import backtest, metrics
@@ -229,10 +229,10 @@ def _weights_sql(legs: str, size: str, cap: float = 1.0, long: float = 0.5, shor
 , sized AS (SELECT *, {raw or f'side * ({size})'} AS raw FROM legs {'' if raw else 'WHERE side IS NOT NULL'})
 , leg AS (SELECT *, sign(raw) AS sg, abs(raw) AS m, CASE WHEN raw > 0 THEN {long} WHEN raw < 0 THEN {short} ELSE 0 END AS t FROM sized)
 , o AS (SELECT *, row_number() OVER (PARTITION BY date, sg ORDER BY m DESC, asset_id) AS i, count(*) OVER (PARTITION BY date, sg) AS c, sum(m) OVER (PARTITION BY date, sg) AS s FROM leg)
-, tried AS (SELECT a.date, a.sg, a.i - 1 AS j, a.t - (a.i - 1) * {cap} AS l, a.s - coalesce(sum(b.m), 0) AS rest, a.m, a.c FROM o a LEFT JOIN o b ON a.date = b.date AND a.sg = b.sg AND b.i < a.i GROUP BY ALL)
+, tried AS (SELECT a.date, a.sg, a.i - 1 AS j, a.t - (a.i - 1) * {cap} AS l, a.s - coalesce(sum(b.m), 0) AS rest, a.m, a.c FROM o a LEFT JOIN o b ON a.date = b.date AND a.sg = b.sg AND b.i < a.i GROUP BY a.date, a.sg, a.i, a.t, a.s, a.m, a.c)
 , fit AS (SELECT date, sg, min(j) AS j FROM tried WHERE CASE WHEN rest <= 0 THEN l / (c - j) ELSE m * l / rest END <= {cap} + 1e-9 GROUP BY date, sg)
-, at AS (SELECT f.date, f.sg, f.j, tr.l, tr.rest FROM fit f JOIN tried tr USING (date, sg, j))
-, w AS (SELECT o.*, CASE WHEN o.sg = 0 OR o.t <= 0 THEN 0.0 WHEN at.j IS NULL OR o.i <= at.j THEN {cap} * o.sg WHEN at.rest <= 0 THEN o.sg * at.l / (o.c - at.j) ELSE o.sg * o.m * at.l / at.rest END AS weight FROM o LEFT JOIN at USING (date, sg))"""
+, fx AS (SELECT f.date, f.sg, f.j, tr.l, tr.rest FROM fit f JOIN tried tr USING (date, sg, j))
+, w AS (SELECT o.*, CASE WHEN o.sg = 0 OR o.t <= 0 THEN 0.0 WHEN fx.j IS NULL OR o.i <= fx.j THEN {cap} * o.sg WHEN fx.rest <= 0 THEN o.sg * fx.l / (o.c - fx.j) ELSE o.sg * o.m * fx.l / fx.rest END AS weight FROM o LEFT JOIN fx USING (date, sg))"""
 
 
 _K = "greatest(1, CAST(round_even(0.1 * n, 0) AS INTEGER))"
@@ -241,12 +241,17 @@ _RANK = "rank() OVER (PARTITION BY date, side ORDER BY signal * side) + (count(*
 _SIG = ", sig AS (SELECT date, asset_id, ret_1d AS signal, sector, country, volume AS vol, close / 1000.0 AS beta FROM panel WHERE ret_1d IS NOT NULL)"
 
 
-def _book(name: str, portfolio: Portfolio, sql: str, final: str = "weight") -> None:
+def _book(name: str, portfolio: Portfolio, sql: str, final: str = "weight", least: int = 1) -> None:
+    """A book over all dates with at least so many names."""
+
     def run(spark, sf_dir):
         p = weekly_supplier(spark, sf_dir).select("date", "asset_id", F.col("ret_1d").alias("signal"), "sector", "country", F.col("volume").alias("vol"), (F.col("close") / 1000.0).alias("beta"))
+        if least > 1:
+            p = p.withColumn("_c", F.count("signal").over(Window.partitionBy("date"))).where(F.col("_c") >= least).drop("_c")
         return construct_weights(p, portfolio).select("date", "asset_id", _out(F.col("weight"), 9).alias("weight"))
 
-    query(name, f"{PANEL}{_SIG}{sql} SELECT date, asset_id, round({final}, 9) + 0.0 AS weight FROM w")(run)
+    sig = _SIG.removesuffix(")") + f" QUALIFY count(*) OVER (PARTITION BY date) >= {least})"
+    query(name, f"{PANEL}{sig}{sql} SELECT date, asset_id, round({final}, 9) + 0.0 AS weight FROM w")(run)
 
 
 _book("pf_ls_quantile", book(), _weights_sql(_LS, "1.0"))
@@ -257,8 +262,8 @@ _book("pf_rank_weighted", book(construction="rank_weighted"), _weights_sql("1.0"
 _book("pf_weight_rank", book(weighting="rank"), _weights_sql(_LS, _RANK))
 _book("pf_weight_signal", book(weighting="signal"), _weights_sql(_LS, "abs(signal)"))
 _book("pf_vol_scaled", book(weighting="vol_scaled"), _weights_sql(_LS, "1.0 / vol"))
-_book("pf_capped", book(weighting="signal", quantile=0.25, max_position=0.05), _weights_sql(_LS.replace("0.1", "0.25"), "abs(signal)", cap=0.05))
-_book("pf_levered", book(gross_leverage=2.0, net_exposure=0.5), _weights_sql(_LS, "1.0", long=1.25, short=0.75))
+_book("pf_capped", book(weighting="signal", quantile=0.4, max_position=0.3), _weights_sql(_LS.replace("0.1", "0.4"), "abs(signal)", cap=0.3), least=6)
+_book("pf_levered", book(gross_leverage=2.0, net_exposure=0.5, max_position=1.25), _weights_sql(_LS, "1.0", cap=1.25, long=1.25, short=0.75))
 _book("pf_neutral_sector", book(neutralize=["sector"]), _weights_sql(_LS, "1.0"), "weight - avg(weight) OVER (PARTITION BY date, sector)")
 _book("pf_neutral_country", book(neutralize=["country"], quantile=0.2), _weights_sql(_LS.replace("0.1", "0.2"), "1.0"), "weight - avg(weight) OVER (PARTITION BY date, country)")
 _book("pf_neutral_beta", book(neutralize=["beta"]), _weights_sql(_LS, "1.0"), "weight - beta * sum(weight * beta) OVER (PARTITION BY date) / sum(beta * beta) OVER (PARTITION BY date)")
@@ -359,7 +364,7 @@ def _(spark, sf_dir):
 
 
 _SUMMARY = """
-, g AS (SELECT date, gross - cost AS net, exp(sum(ln(1 + gross - cost)) OVER (ORDER BY date)) AS growth FROM daily)
+, g AS (SELECT date, gross - cost AS net, product(1 + gross - cost) OVER (ORDER BY date) AS growth FROM daily)
 , pk AS (SELECT *, max(growth) OVER (ORDER BY date) AS peak FROM g)"""
 
 
@@ -368,14 +373,14 @@ _SUMMARY = """
     _backtest_sql("monthly", 1)
     + _RETURNS
     + _SUMMARY
-    + " SELECT count(*) AS n, round(arg_max(growth, date) - 1, 6) + 0.0 AS total_return, round(pow(arg_max(growth, date), 252.0 / count(*)) - 1, 6) + 0.0 AS annualized_return, round(stddev_samp(net) * sqrt(252), 6) + 0.0 AS annualized_vol, round(avg(net) / stddev_samp(net) * sqrt(252), 6) + 0.0 AS sharpe, round(min(growth / peak - 1), 6) + 0.0 AS max_drawdown FROM pk",
+    + " SELECT count(*) AS n, round(arg_max(growth, date) - 1, 6) + 0.0 AS total_return, CASE WHEN arg_max(growth, date) > 0 THEN round(pow(arg_max(growth, date), 252.0 / count(*)) - 1, 6) + 0.0 ELSE 0.0 END AS annualized_return, round(stddev_samp(net) * sqrt(252), 6) + 0.0 AS annualized_vol, round(avg(net) / stddev_samp(net) * sqrt(252), 6) + 0.0 AS sharpe, round(min(growth / peak - 1), 6) + 0.0 AS max_drawdown FROM pk",
 )
 def _(spark, sf_dir):
     s = metrics.summary(_run(spark, sf_dir, _plain(rebalance="monthly")).returns)
     return s.select("n", *[_out(F.col(c)).alias(c) for c in ("total_return", "annualized_return", "annualized_vol", "sharpe", "max_drawdown")])
 
 
-@query("m_turnover", _backtest_sql("monthly", 2) + ", s AS (SELECT m.trade, sum(abs(dw)) AS d FROM moves m WHERE m.trade BETWEEN 2 AND (SELECT max(trade) FROM held) GROUP BY m.trade) SELECT round(avg(d), 6) + 0.0 AS turnover FROM s")
+@query("m_turnover", _backtest_sql("monthly", 2) + ", l AS (SELECT max(trade) AS n FROM held) SELECT round(sum(abs(dw)) / any_value(l.n - 1), 6) + 0.0 AS turnover FROM moves, l WHERE trade BETWEEN 2 AND l.n")
 def _(spark, sf_dir):
     t = metrics.turnover(_run(spark, sf_dir, _plain(rebalance="monthly", holding_period=2)).positions)
     return t.select(_out(F.col("turnover")).alias("turnover"))
@@ -390,7 +395,7 @@ def _series(spark, sf_dir) -> DataFrame:
     return weekly_supplier(spark, sf_dir).where("ret_1d is not null").groupBy(F.col("region").alias("claim"), "date").agg(F.avg("ret_1d").alias("net"))
 
 
-@query("m_drawdown", _BY_REGION + ", g AS (SELECT *, exp(sum(ln(1 + net)) OVER (PARTITION BY claim ORDER BY date)) AS growth FROM s), p AS (SELECT *, max(growth) OVER (PARTITION BY claim ORDER BY date) AS peak FROM g) SELECT claim, round(min(growth / peak - 1), 6) + 0.0 AS max_drawdown, round(avg(net) / stddev_samp(net) * sqrt(252), 6) + 0.0 AS sharpe FROM p GROUP BY claim")
+@query("m_drawdown", _BY_REGION + ", g AS (SELECT *, product(1 + net) OVER (PARTITION BY claim ORDER BY date) AS growth FROM s), p AS (SELECT *, max(growth) OVER (PARTITION BY claim ORDER BY date) AS peak FROM g) SELECT claim, round(min(growth / peak - 1), 6) + 0.0 AS max_drawdown, round(avg(net) / stddev_samp(net) * sqrt(252), 6) + 0.0 AS sharpe FROM p GROUP BY claim")
 def _(spark, sf_dir):
     return metrics.summary(_series(spark, sf_dir), ("claim",)).select("claim", *[_out(F.col(c)).alias(c) for c in ("max_drawdown", "sharpe")])
 
@@ -441,12 +446,10 @@ def _(spark, sf_dir):
     "flagship",
     _backtest_sql("weekly", 1, signal="z").replace("FROM panel p JOIN rebal", f"FROM (SELECT *, -1 * (c - avg(c) OVER {_D}) / nullif(stddev_samp(c) OVER {_D}, 0) AS z FROM (SELECT *, close / lag(close, 4) OVER {_A} - 1 AS c FROM panel)) p JOIN rebal")
     + _RETURNS
-    + _SUMMARY
-    + " SELECT count(*) AS n, round(avg(net) / stddev_samp(net) * sqrt(252), 6) + 0.0 AS net_sharpe, round(min(growth / peak - 1), 6) + 0.0 AS max_drawdown FROM pk",
+    + " SELECT count(*) AS n, round(avg(gross - cost) / stddev_samp(gross - cost) * sqrt(252), 6) + 0.0 AS net_sharpe, round(avg(gross) / stddev_samp(gross) * sqrt(252), 6) + 0.0 AS gross_sharpe, round(sum(cost), 6) + 0.0 AS cost FROM daily",
 )
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reversal of four-week returns: signal, decile book, weekly trades, costs, statistics."""
     spec = spec_of([node("n1", "pct_change", "close", n="n"), node("n2", "cs_zscore", "n1")], {"n": 4}, sign=-1)
-    s = metrics.summary(_run(spark, sf_dir, spec).returns)
-    return s.select("n", _out(F.col("sharpe")).alias("net_sharpe"), _out(F.col("max_drawdown")).alias("max_drawdown"))
-
+    r = _run(spark, sf_dir, spec).returns
+    return r.agg(F.count(F.lit(1)).alias("n"), _out(metrics.sharpe("net")).alias("net_sharpe"), _out(metrics.sharpe("gross")).alias("gross_sharpe"), _out(F.sum("cost")).alias("cost"))
