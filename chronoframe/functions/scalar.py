@@ -43,3 +43,12 @@ def mean_rank(x: Column, group: WindowSpec) -> Column:
     ordered = group.orderBy(x.asc_nulls_last())
     ties = F.count(x).over(ordered.rangeBetween(0, 0))
     return F.when(x.isNotNull(), F.rank().over(ordered) + (ties - 1) / 2.0)
+
+
+def pearson(a: Column, b: Column, over: WindowSpec | None = None) -> Column:
+    """Correlation over rows that have both; NULL where either does not vary (``corr`` would divide by zero)."""
+    have = a.isNotNull() & b.isNotNull()
+    x, y = F.when(have, a), F.when(have, b)
+    parts = [F.covar_samp(x, y), F.var_samp(x), F.var_samp(y)]
+    c, u, v = [p.over(over) for p in parts] if over is not None else parts
+    return nan_to_null(F.try_divide(c, F.sqrt(u) * F.sqrt(v)))

@@ -9,7 +9,7 @@ from dataclasses import replace
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions import finite, ieee_div, safe_ln
+from ..functions import finite, ieee_div, pearson, safe_ln
 from .registry import ASSET, OPERATORS, ROW, operator
 
 TRADING_DAYS = 252
@@ -123,7 +123,7 @@ def beta(keys, y, x, n):
 def corr(keys, a, b, n):
     w = _trailing(keys, n)
     a, b, have = _both(a, b)
-    return _full(finite(F.corr(a, b).over(w)), have, w, n)
+    return _full(pearson(a, b, w), have, w, n)
 
 
 @operator("rolling_vol", 1, ASSET, n="number")

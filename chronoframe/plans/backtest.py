@@ -28,9 +28,17 @@ SIGNIFICANT = 1e-12
 
 
 class Result(NamedTuple):
+    """Lazy tables over the held weights, which are persisted once something reads them (to disk where
+    memory is short; lost blocks are computed again) and freed by ``release``."""
+
     positions: DataFrame  # scenario, date, asset_id, weight
     returns: DataFrame  # scenario, date, gross, net, cost
     trades: DataFrame  # scenario, date, asset_id, delta_weight, cost_bps
+    held: DataFrame | None = None
+
+    def release(self) -> None:
+        if self.held is not None:
+            self.held.unpersist()
 
 
 @dataclass(frozen=True)
@@ -147,14 +155,14 @@ def run_backtests(spec: Spec, panel: DataFrame, scenarios: list[Scenario] | None
     if spec.portfolio.holding_period < 1:
         raise ValueError("holding_period must be at least 1")
     spark = panel.sparkSession
-    cal = spark.createDataFrame([tuple(r) for r in calendar(panel).orderBy("idx").collect()], "date date, idx int")  # a row for each date
+    cal = spark.createDataFrame([tuple(r) for r in calendar(panel).orderBy("idx").collect()], "date date, idx int").coalesce(1)  # a row for each date
     rebal = rebalance_dates(cal, spec.portfolio.rebalance)
     last = cal.count()
-    book = spark.createDataFrame([(s.name, float(s.aum)) for s in scenarios], "scenario string, aum double")
+    book = spark.createDataFrame([(s.name, float(s.aum)) for s in scenarios], "scenario string, aum double").coalesce(1)
 
     signals = _signals(spec, panel, scenarios, keep_history).join(F.broadcast(rebal.select("date")), "date")
     weights = construct_weights(signals, spec.portfolio, ("scenario",))
-    held = held_weights(weights, rebal, spec.portfolio.holding_period, lag, last)
+    held = held_weights(weights, rebal, spec.portfolio.holding_period, lag, last).persist()
 
     by_idx = F.broadcast(cal)
     positions = held.join(by_idx, "idx").select("scenario", "date", "asset_id", "weight")
@@ -176,7 +184,7 @@ def run_backtests(spec: Spec, panel: DataFrame, scenarios: list[Scenario] | None
     trades = moves.withColumn("cost_bps", bps).join(by_idx, "idx")
 
     # daily profit and loss: the trade in force on each date
-    days = cal.crossJoin(book.select("scenario"))  # dates x scenarios, both few
+    days = cal.select("*", F.explode(F.array(*[F.lit(s.name) for s in scenarios])).alias("scenario"))
     force = days.join(turns.select("scenario", "idx", "trade"), ["scenario", "idx"], "left")
     force = force.withColumn("trade", F.last("trade", ignorenulls=True).over(Window.partitionBy("scenario").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)))
     rets = panel.select("date", "asset_id", "ret_1d").where("ret_1d is not null")
@@ -188,7 +196,7 @@ def run_backtests(spec: Spec, panel: DataFrame, scenarios: list[Scenario] | None
     out = force.join(gross, ["scenario", "date"], "left").join(paid, ["scenario", "date"], "left").join(short, ["scenario", "trade"], "left")
     cost = zero("paid") + zero("short") * (spec.costs.borrow_bps_annual / 1e4 / TRADING_DAYS)
     returns = out.select("scenario", "date", zero("gross").alias("gross"), (zero("gross") - cost).alias("net"), cost.alias("cost"))
-    return Result(positions, returns, trades.select("scenario", "date", "asset_id", "delta_weight", "cost_bps"))
+    return Result(positions, returns, trades.select("scenario", "date", "asset_id", "delta_weight", "cost_bps"), held)
 
 
 def run_backtest(spec: Spec, panel: DataFrame, **options) -> Result:

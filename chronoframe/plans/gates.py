@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import pearson
 from . import metrics
 from .backtest import Result
 
@@ -124,7 +125,7 @@ def _robust(sharpes: list[float], headline: float) -> float:
 def correlations(net: DataFrame, others: DataFrame) -> DataFrame:
     """``claim_id, corr`` with every other claim of at least two common dates."""
     both = net.select("date", F.col("net").alias("_own")).join(others, "date")
-    return both.groupBy("claim_id").agg(F.count(F.lit(1)).alias("n"), F.corr("_own", "net").alias("corr")).where("n >= 2").select("claim_id", "corr")
+    return both.groupBy("claim_id").agg(F.count(F.lit(1)).alias("n"), pearson(F.col("_own"), F.col("net")).alias("corr")).where("n >= 2").select("claim_id", "corr")
 
 
 def gate_values(head: DataFrame, c: GateContext):

@@ -208,6 +208,7 @@ def stage_code(w: Workbench, stage: Stage, spec: Spec, panel: DataFrame) -> None
 def _write_runs(stage: Stage, name: str, r: Result) -> None:
     for part, df in zip(("positions", "returns", "trades"), r):
         stage.write_table(f"{name}_{part}.parquet", df)
+    r.release()
 
 
 def _window(w: Workbench, claim: Claim, name: str) -> tuple[str, str]:

@@ -83,14 +83,20 @@ FIXED = Costs(spread_model="fixed_bps", spread_bps=10.0, impact_model="none", im
 BY_ADV = Costs(spread_model="adv_based", impact_model="sqrt", impact_coeff=0.1, borrow_bps_annual=50.0)
 
 
-def _signal(name: str, spec: Spec, sql: str, ctes: str = "") -> None:
-    """A query of a spec's signal on the weekly panel."""
+#: Prices are in the ten thousands, where sums in another order differ from the tenth digit on.
+PRICE_DIGITS = 3
+
+
+def _signal(name: str, spec: Spec, sql: str, ctes: str = "", digits: int | None = 6) -> None:
+    """A query of a spec's signal on the weekly panel; without digits the values are compared bit by bit."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = compile_signal(spec, weekly_supplier(spark, sf_dir))
-        return out.select("date", "asset_id", _out(F.col("signal")).alias("v"))
+        v = F.col("signal") if digits is None else _out(F.col("signal"), digits)
+        return out.select("date", "asset_id", (v + F.lit(0.0)).alias("v"))
 
-    query(name, f"{PANEL}{ctes} SELECT date, asset_id, round({sql}, 6) + 0.0 AS v FROM {'x' if ctes else 'panel'}")(run)
+    sql = f"({sql})" if digits is None else f"round({sql}, {digits})"
+    query(name, f"{PANEL}{ctes} SELECT date, asset_id, {sql} + 0.0 AS v FROM {'x' if ctes else 'panel'}")(run)
 
 
 def _w(n: int, of: str = "asset_id") -> str:
@@ -105,7 +111,8 @@ def _guard(value: str, n: int, count: str) -> str:
 
 
 def _ts(op: str, sql: str, n: float, *inputs: str, key: str = "n", ctes: str = "") -> None:
-    _signal(f"ts_{op}", spec_of([node("s", op, *(inputs or ("close",)), **{key: "p"})], {"p": n}), sql, ctes)
+    digits = None if op in ("lag", "diff", "pct_change", "rolling_max", "rolling_min") else 6 if inputs else PRICE_DIGITS
+    _signal(f"ts_{op}", spec_of([node("s", op, *(inputs or ("close",)), **{key: "p"})], {"p": n}), sql, ctes, digits)
 
 
 _ts("lag", f"lag(close, 4) OVER {_A}", 4)
@@ -121,15 +128,15 @@ _ts("rolling_zscore", _guard(f"(ret_1d - avg(ret_1d) OVER {_w(8)}) / nullif(stdd
 _ts("rolling_rank", "CASE WHEN len(l) = 8 THEN (len(list_filter(l, lambda e: e < ret_1d)) + (len(list_filter(l, lambda e: e = ret_1d)) + 1) / 2.0) / 8 END", 8, "ret_1d", ctes=f", x AS (SELECT *, list(ret_1d) FILTER (ret_1d IS NOT NULL) OVER {_w(8)} AS l FROM panel)")
 _ts("ewm", "v", 4, "ret_1d", key="halflife", ctes=", r AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY date) AS i FROM panel), x AS (SELECT a.date, a.asset_id, sum(b.ret_1d * pow(0.5, (a.i - b.i) / 4.0)) / sum(CASE WHEN b.ret_1d IS NOT NULL THEN pow(0.5, (a.i - b.i) / 4.0) END) AS v FROM r a JOIN r b ON a.asset_id = b.asset_id AND b.i <= a.i GROUP BY a.date, a.asset_id)")
 _ts("rolling_beta", _guard(f"covar_samp(ret_1d, volume) OVER {_w(12)} / nullif(var_samp(CASE WHEN ret_1d IS NOT NULL THEN volume END) OVER {_w(12)}, 0)", 12, "ret_1d"), 12, "ret_1d", "volume")
-_ts("rolling_corr", _guard(f"corr(ret_1d, volume) OVER {_w(12)}", 12, "ret_1d"), 12, "ret_1d", "volume")
+_ts("rolling_corr", _guard(f"covar_samp(ret_1d, volume) OVER {_w(12)} / nullif(stddev_samp(ret_1d) OVER {_w(12)} * stddev_samp(CASE WHEN ret_1d IS NOT NULL THEN volume END) OVER {_w(12)}, 0)", 12, "ret_1d"), 12, "ret_1d", "volume")
 _ts("rolling_vol", _guard(f"stddev_samp(ret_1d) OVER {_w(8)} * sqrt(252)", 8, "ret_1d"), 8, "ret_1d")
 
 _Z = "(ret_1d - avg(ret_1d) OVER (PARTITION BY date)) / nullif(stddev_samp(ret_1d) OVER (PARTITION BY date), 0)"
 _signal("cs_rank", spec_of([node("s", "cs_rank", "ret_1d")]), "CASE WHEN ret_1d IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY ret_1d NULLS LAST) + (count(*) OVER (PARTITION BY date, ret_1d) - 1) / 2.0) / count(ret_1d) OVER (PARTITION BY date) - 0.5 END")
 _signal("cs_zscore", spec_of([node("s", "cs_zscore", "ret_1d")]), _Z)
-_signal("cs_demean", spec_of([node("s", "cs_demean", "close")]), f"close - avg(close) OVER {_D}")
-_signal("cs_winsorize", spec_of([node("s", "cs_winsorize", "close", k="k")], {"k": 1.5}), f"least(greatest(close, avg(close) OVER {_D} - 1.5 * stddev_samp(close) OVER {_D}), avg(close) OVER {_D} + 1.5 * stddev_samp(close) OVER {_D})")
-_signal("cs_neutralize", spec_of([node("s", "cs_neutralize", "close", group="region")]), "close - avg(close) OVER (PARTITION BY date, region)")
+_signal("cs_demean", spec_of([node("s", "cs_demean", "close")]), f"close - avg(close) OVER {_D}", digits=PRICE_DIGITS)
+_signal("cs_winsorize", spec_of([node("s", "cs_winsorize", "close", k="k")], {"k": 1.5}), f"least(greatest(close, avg(close) OVER {_D} - 1.5 * stddev_samp(close) OVER {_D}), avg(close) OVER {_D} + 1.5 * stddev_samp(close) OVER {_D})", digits=PRICE_DIGITS)
+_signal("cs_neutralize", spec_of([node("s", "cs_neutralize", "close", group="region")]), "close - avg(close) OVER (PARTITION BY date, region)", digits=PRICE_DIGITS)
 _signal("cs_scale", spec_of([node("s", "cs_scale", "ret_1d")]), f"CASE WHEN sum(abs(ret_1d)) OVER {_D} = 0 THEN ret_1d * 0 ELSE ret_1d / sum(abs(ret_1d)) OVER {_D} END")
 
 for _op, _sql, _in in (
@@ -142,9 +149,9 @@ for _op, _sql, _in in (
     ("sign", "sign(ret_1d)", ("ret_1d",)),
     ("where", "CASE WHEN coalesce(ret_1d, 0) <> 0 THEN close ELSE volume END", ("ret_1d", "close", "volume")),
 ):
-    _signal(f"ar_{_op}", spec_of([node("s", _op, *_in)]), _sql)
-_signal("ar_clip", spec_of([node("s", "clip", "ret_1d", lo="lo", hi="hi")], {"lo": -0.05, "hi": 0.05}), "CASE WHEN ret_1d IS NOT NULL THEN least(greatest(ret_1d, -0.05), 0.05) END")
-_signal("combine", spec_of([node("s", "combine", "close", "volume", weights=["a", "b"])], {"a": 0.6, "b": 0.4}), "close * 0.6 + volume * 0.4")
+    _signal(f"ar_{_op}", spec_of([node("s", _op, *_in)]), _sql, digits=None)
+_signal("ar_clip", spec_of([node("s", "clip", "ret_1d", lo="lo", hi="hi")], {"lo": -0.05, "hi": 0.05}), "CASE WHEN ret_1d IS NOT NULL THEN least(greatest(ret_1d, -0.05), 0.05) END", digits=None)
+_signal("combine", spec_of([node("s", "combine", "close", "volume", weights=["a", "b"])], {"a": 0.6, "b": 0.4}), "close * 0.6 + volume * 0.4", digits=None)
 
 REVERSAL = spec_of([node("n1", "cs_zscore", "ret_1d")], sign=-1)
 MOMENTUM = spec_of([node("n1", "pct_change", "close", n="n"), node("n2", "cs_zscore", "n1"), node("n3", "cs_winsorize", "n2", k="k")], {"n": 5, "k": 3}, sign=-1)
@@ -416,7 +423,7 @@ def _(spark, sf_dir):
     return metrics.subperiods(_series(spark, sf_dir), 3, ("claim",)).select("claim", "part", _out(F.col("sharpe")).alias("sharpe"))
 
 
-@query("g_correlation", _BY_REGION + " SELECT b.claim AS claim_id, round(corr(a.net, b.net), 6) + 0.0 AS corr FROM s a JOIN s b USING (date) WHERE a.claim = 'ASIA' AND b.claim <> 'ASIA' GROUP BY b.claim")
+@query("g_correlation", _BY_REGION + " SELECT b.claim AS claim_id, round(covar_samp(a.net, b.net) / sqrt(var_samp(a.net) * var_samp(b.net)), 6) + 0.0 AS corr FROM s a JOIN s b USING (date) WHERE a.claim = 'ASIA' AND b.claim <> 'ASIA' GROUP BY b.claim")
 def _(spark, sf_dir):
     s = _series(spark, sf_dir)
     out = correlations(s.where("claim = 'ASIA'"), s.where("claim <> 'ASIA'").withColumnRenamed("claim", "claim_id"))
