@@ -69,6 +69,7 @@ class Vocabulary:
         self.chunks = (_CHUNKS if joined else _FINE_CHUNKS).findall
         self.cache: dict[str, tuple[float, bytes, float]] = {}
         self.older: dict[str, tuple[float, bytes, float]] = {}
+        self.limit = CACHE
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -151,7 +152,8 @@ class Vocabulary:
 
     def n_best(self, chunk: str, n: int) -> list[tuple[float, bytes]]:
         """The chunk's n best segmentations, best first, by A* from its end: the forward Viterbi score of a
-        position is exactly the best that can still come before it. Ties come in order of their ids."""
+        position is exactly the best that can still come before it. Of equal priorities the furthest goes on
+        first, so of many equal segmentations only as many as are asked for are followed to the end."""
         size, edges = len(chunk), self.edges(chunk)
         best = [0.0] + [-math.inf] * size
         into: list[list] = [[] for _ in range(size + 1)]
@@ -160,16 +162,23 @@ class Vocabulary:
             if best[i] + w > best[j]:
                 best[j] = best[i] + w
         out: list[tuple[float, tuple[int, ...]]] = []
-        queue: list[tuple[float, tuple[int, ...], int, float]] = [(-best[size], (), size, 0.0)]
+        # (priority, position, serial, score behind, ids from here on as a linked list)
+        queue: list[tuple] = [(-round(best[size], 9), size, 0, 0.0, None)]
+        serial = 0
         while queue:
-            f, tail, at, behind = heapq.heappop(queue)
+            f, at, _, behind, tail = heapq.heappop(queue)
             if len(out) >= n and -f < out[n - 1][0] - 1e-9 or len(out) >= 4 * n:
                 break
             if at == 0:
-                out.append((behind, tail))
+                ids: list[int] = []
+                while tail:
+                    ids += tail[0]
+                    tail = tail[1]
+                out.append((behind, tuple(ids)))
                 continue
             for i, w, own in into[at]:
-                heapq.heappush(queue, (-(behind + w + best[i]), own + tail, i, behind + w))
+                serial += 1
+                heapq.heappush(queue, (-round(behind + w + best[i], 9), i, serial, behind + w, (own, tail)))
         out.sort(key=lambda x: (-round(x[0], 9), x[1]))
         return [(s, array("i", p).tobytes()) for s, p in out[:n]]
 
@@ -177,7 +186,7 @@ class Vocabulary:
         """viterbi, kept for short chunks in two generations."""
         got = self.older.get(text) or self.viterbi(text)
         if len(text) <= CACHE_CHARS:
-            if len(self.cache) >= CACHE:
+            if len(self.cache) >= self.limit:
                 self.older, self.cache = self.cache, {}
             self.cache[text] = got
         return got
@@ -282,13 +291,15 @@ def decode_table(df: DataFrame, ids_col: str = "ids", model: str = MODEL, out: s
     return df.mapInArrow(run, schema)
 
 
-def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, n: int = N_BEST, carry: tuple[str, ...] = ()) -> DataFrame:
+def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, n: int = N_BEST, carry: tuple[str, ...] = (), cache: int = CACHE, keep: bool = True) -> DataFrame:
     """``doc_id, n_pieces, n_bytes_pieces, n_found, score, gap, ids_sha256, n_best_sha256, exact`` (and
     columns to carry) for each row.
 
     score is the best segmentation's, gap what the second lacks (null without one); the hashes are over
     little-endian int32 ids, of all segmentations one after another for the second; exact tells whether
     the best segmentation decodes to the text again, and each part that others have in its place to the same. Null reads as empty; ids may be null or repeated.
+
+    A worker keeps up to twice ``cache`` chunks (about 260 bytes each), with ``keep`` also between tasks.
     """
     names = ["doc_id", *carry, "n_pieces", "n_byte_pieces", "n_found", "score", "gap", "ids_sha256", "n_best_sha256", "exact"]
     kinds = [df.schema[c].dataType.simpleString() for c in (id_col, *carry)]
@@ -296,6 +307,7 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
 
     def run(batches):
         vocab = vocabulary(model)
+        vocab.limit = cache
         is_byte = np.zeros(len(vocab.pieces), bool)
         is_byte[vocab.bytes_at] = True
         for b in batches:
@@ -312,6 +324,8 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
             cols = list(zip(*rows)) if rows else [()] * 8
             types = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(c, t) for c, t in zip(cols, types)]], names=names)
+        if not keep:
+            vocab.cache, vocab.older = {}, {}
 
     docs = df.select(F.col(id_col).alias("doc_id"), *[F.col(c) for c in carry], F.col(text_col).cast("string").alias("_text"))
     return docs.mapInArrow(run, schema)
