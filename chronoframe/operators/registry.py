@@ -21,6 +21,7 @@ class Operator:
     scope: str
     build: Callable[..., Column]
     params: dict[str, str] = field(default_factory=dict)  # name -> number | numbers | choice a|b
+    prepare: Callable[..., Column] | None = None  # a column that the builder gets as ``helper``
     settle: Callable[..., Column] | None = None  # a second pass over the built column
 
 

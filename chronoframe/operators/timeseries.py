@@ -13,8 +13,8 @@ from ..functions import finite, ieee_div, pearson, safe_ln
 from .registry import ASSET, OPERATORS, ROW, operator
 
 TRADING_DAYS = 252
-#: Half-lives after which a weight is below double precision.
-EWM_REACH = 60
+#: Half-lives to a block of cumulative weights; their growth must stay within a double.
+EWM_BLOCK = 400
 
 
 def _line(keys: list[str]) -> WindowSpec:
@@ -82,27 +82,39 @@ def rank(keys, x, n):
 
 
 @operator("ewm", 1, ASSET, halflife="number")
-def ewm(keys, x, halflife):
-    """Weighted mean of the past, weights halving every ``halflife`` rows; gaps keep their age."""
+def ewm(keys, x, halflife, helper):
+    """Weighted mean of the past, weights halving every ``halflife`` rows; gaps keep their age.
+
+    Rows fall into blocks of ``EWM_BLOCK`` half-lives. Within one, weights relative to its start make the
+    sums cumulative, one step a row; of earlier rows, the block before adds its total and what lies
+    further back is below 2**-EWM_BLOCK of any newer value. ``helper`` is the row number.
+    """
+    size = max(1, math.floor(EWM_BLOCK * halflife))
+    block, step = F.floor((helper - 1) / size), (helper - 1) % size
     x = finite(x)
-    past = F.collect_list(F.struct(x.alias("v"))).over(_line(keys).rowsBetween(-math.ceil(EWM_REACH * halflife), 0))
-    start = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"))
-    fade = 0.5 ** (1.0 / halflife)
+    grow = F.pow(F.lit(2.0), step / F.lit(float(halflife)))
+    here = Window.partitionBy(*keys, "asset_id", block).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys, "asset_id").orderBy(block).rangeBetween(-1, -1)
+    fade = F.lit(0.5 ** (size / halflife))
 
-    def step(acc: Column, row: Column) -> Column:
-        have = row["v"].isNotNull()
-        num = acc["num"] * fade + F.coalesce(row["v"], F.lit(0.0))
-        return F.struct(num.alias("num"), (acc["den"] * fade + F.when(have, 1.0).otherwise(0.0)).alias("den"))
+    def total(v: Column) -> Column:
+        # the row's own growth cancels in the ratio, so neither part is scaled back
+        return F.coalesce(F.sum(v).over(here), F.lit(0.0)) + F.coalesce(F.sum(v).over(before), F.lit(0.0)) * fade
 
-    # a window without a value has denominator 0: nothing yet, or a gap that the second pass bridges
-    return F.aggregate(past, start, step, lambda a: F.when(a["den"] > 0, F.try_divide(a["num"], a["den"])))
+    num, den = total(x * grow), total(F.when(x.isNotNull(), grow))
+    return F.when(den > 0, F.try_divide(num, den))
+
+
+def _row_number(keys):
+    return F.row_number().over(_line(keys))
 
 
 def _carry(keys, built):
+    """Bridges gaps that leave two blocks without a value."""
     return F.last(built, ignorenulls=True).over(_line(keys).rowsBetween(Window.unboundedPreceding, 0))
 
 
-OPERATORS["ewm"] = replace(OPERATORS["ewm"], settle=_carry)
+OPERATORS["ewm"] = replace(OPERATORS["ewm"], prepare=_row_number, settle=_carry)
 
 
 def _both(y: Column, x: Column) -> tuple[Column, Column, Column]:

@@ -28,17 +28,17 @@ SIGNIFICANT = 1e-12
 
 
 class Result(NamedTuple):
-    """Lazy tables over the held weights, which are persisted once something reads them (to disk where
-    memory is short; lost blocks are computed again) and freed by ``release``."""
+    """Lazy tables over cohort and held weights, which are persisted once something reads them (to disk
+    where memory is short; lost blocks are computed again) and freed by ``release``."""
 
     positions: DataFrame  # scenario, date, asset_id, weight
     returns: DataFrame  # scenario, date, gross, net, cost
     trades: DataFrame  # scenario, date, asset_id, delta_weight, cost_bps
-    held: DataFrame | None = None
+    kept: tuple[DataFrame, ...] = ()
 
     def release(self) -> None:
-        if self.held is not None:
-            self.held.unpersist()
+        for df in self.kept:
+            df.unpersist()
 
 
 @dataclass(frozen=True)
@@ -155,13 +155,14 @@ def run_backtests(spec: Spec, panel: DataFrame, scenarios: list[Scenario] | None
     if spec.portfolio.holding_period < 1:
         raise ValueError("holding_period must be at least 1")
     spark = panel.sparkSession
-    cal = spark.createDataFrame([tuple(r) for r in calendar(panel).orderBy("idx").collect()], "date date, idx int").coalesce(1)  # a row for each date
+    days = sorted(r["date"] for r in panel.select("date").distinct().collect())  # a row for each date
+    cal = spark.createDataFrame([(d, k) for k, d in enumerate(days, 1)], "date date, idx int").coalesce(1)
     rebal = rebalance_dates(cal, spec.portfolio.rebalance)
-    last = cal.count()
+    last = len(days)
     book = spark.createDataFrame([(s.name, float(s.aum)) for s in scenarios], "scenario string, aum double").coalesce(1)
 
     signals = _signals(spec, panel, scenarios, keep_history).join(F.broadcast(rebal.select("date")), "date")
-    weights = construct_weights(signals, spec.portfolio, ("scenario",))
+    weights = construct_weights(signals, spec.portfolio, ("scenario",)).persist()
     held = held_weights(weights, rebal, spec.portfolio.holding_period, lag, last).persist()
 
     by_idx = F.broadcast(cal)
@@ -196,7 +197,7 @@ def run_backtests(spec: Spec, panel: DataFrame, scenarios: list[Scenario] | None
     out = force.join(gross, ["scenario", "date"], "left").join(paid, ["scenario", "date"], "left").join(short, ["scenario", "trade"], "left")
     cost = zero("paid") + zero("short") * (spec.costs.borrow_bps_annual / 1e4 / TRADING_DAYS)
     returns = out.select("scenario", "date", zero("gross").alias("gross"), (zero("gross") - cost).alias("net"), cost.alias("cost"))
-    return Result(positions, returns, trades.select("scenario", "date", "asset_id", "delta_weight", "cost_bps"), held)
+    return Result(positions, returns, trades.select("scenario", "date", "asset_id", "delta_weight", "cost_bps"), (weights, held))
 
 
 def run_backtest(spec: Spec, panel: DataFrame, **options) -> Result:

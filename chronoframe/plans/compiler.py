@@ -73,7 +73,14 @@ def compile_signal(spec: Spec, panel: DataFrame, keys: tuple[str, ...] = (), nam
         if not now:
             scope = DATE if scope == ASSET else ASSET
             continue
-        df = df.select("*", *[op.build(list(keys), *[F.col(i).cast("double") for i in inputs], **values).alias(out) for out, op, inputs, values in now])
+        helpers = {out: f"{out}_h" for out, op, _, _ in now if op.prepare}
+        if helpers:
+            df = df.select("*", *[op.prepare(list(keys)).alias(helpers[out]) for out, op, _, _ in now if op.prepare])
+        built = []
+        for out, op, inputs, values in now:
+            extra = {"helper": F.col(helpers[out])} if op.prepare else {}
+            built.append(op.build(list(keys), *[F.col(i).cast("double") for i in inputs], **values, **extra).alias(out))
+        df = df.select("*", *built)
         for out, op, _, _ in now:
             if op.settle:
                 df = df.withColumn(out, op.settle(list(keys), F.col(out)))

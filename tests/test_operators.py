@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from chronoframe.operators import OPERATORS
+from chronoframe.operators import OPERATORS, timeseries
 from chronoframe.plans.compiler import compile_signal, describe_signal, fields_of
 from chronoframe.queries import MOMENTUM, node, spec_of
 
@@ -85,7 +85,9 @@ def test_warm_up_and_missing_values(spark, frame):
     assert get("ewm", 1, halflife=1) == 1.0  # carried over the gap
 
 
-def test_ewm_and_rank_against_pandas(spark):
+@pytest.mark.parametrize("block", [60, 400])
+def test_ewm_and_rank_against_pandas(spark, monkeypatch, block):
+    monkeypatch.setattr(timeseries, "EWM_BLOCK", block)
     rng = random.Random(3)
     x = [None if rng.random() < 0.2 else float(rng.randint(0, 6)) for _ in range(60)]
     days = [dt.date(2020, 1, 1) + dt.timedelta(days=k) for k in range(60)]
@@ -93,7 +95,7 @@ def test_ewm_and_rank_against_pandas(spark):
     s = pd.Series(x, dtype=float)
     for h in (0.5, 3.0):
         got = compile_signal(spec_of([node("s", "ewm", "x", halflife="h")], {"h": h}), df).orderBy("date").toPandas()["signal"]
-        assert np.allclose(got, s.ewm(halflife=h).mean(), equal_nan=True)
+        assert np.allclose(got, s.ewm(halflife=h).mean(), equal_nan=True, rtol=1e-12 if block > 60 else 1e-9)
     got = compile_signal(spec_of([node("s", "rolling_rank", "x", n="n")], {"n": 5}), df).orderBy("date").toPandas()["signal"]
     assert np.allclose(got.astype(float), s.rolling(5).apply(lambda w: pd.Series(w).rank(pct=True).iloc[-1]), equal_nan=True)
 
