@@ -29,6 +29,9 @@ PICKED = 8192
 Z = 3.0
 LEAST = 3
 GRADES = 4
+#: A text counts as toxic from this probability of grade 1 or more; below one half, since a toxic text
+#: that stays costs more than a clean one that goes.
+TOXIC_FROM = 0.3
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _SIEVE_BITS = 21
@@ -182,18 +185,19 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(picked, weight, bias)
 
 
-def grade(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+def grade(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, toxic_from: float = TOXIC_FROM) -> DataFrame:
     """``doc_id, severity, grade, p_toxic, toxic`` for each row of ``df``.
 
-    severity is the expected grade (0 to 3), grade the number of thresholds more likely passed than
-    not, toxic 1 where grade is 1 or more. Null and empty texts have no features.
+    severity is the expected grade (0 to 3), p_toxic the probability of 1 or more. grade is 0 below
+    ``toxic_from``, else the number of thresholds more likely passed than not, at least 1; toxic tells
+    whether it is 1 or more. Null and empty texts have no features.
     """
     model = train(df, labels, id_col, text_col, sample=sample)
 
     def run(batches):
         for b in batches:
             p = model.above(*text_buffer(b.column(1)))
-            level = (p >= 0.5).sum(axis=1).astype(np.int32)
+            level = np.where(p[:, 0] >= toxic_from, np.maximum(1, (p >= 0.5).sum(axis=1)), 0).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p.sum(axis=1)), pa.array(level), pa.array(p[:, 0]), pa.array((level > 0).astype(np.int32))], names=["doc_id", "severity", "grade", "p_toxic", "toxic"])
 
     kind = df.schema[id_col].dataType.simpleString()
@@ -201,13 +205,13 @@ def grade(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return docs.mapInArrow(run, f"doc_id {kind}, severity double, grade int, p_toxic double, toxic int")
 
 
-def drop_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+def drop_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, toxic_from: float = TOXIC_FROM) -> DataFrame:
     """The rows of ``df`` of grade 0, with all their columns (a narrow filter)."""
     model = train(df, labels, id_col, text_col, sample=sample)
     at = df.columns.index(text_col)
 
     def run(batches):
         for b in batches:
-            yield b.filter(pa.array(model.above(*text_buffer(b.column(at)))[:, 0] < 0.5))
+            yield b.filter(pa.array(model.above(*text_buffer(b.column(at)))[:, 0] < toxic_from))
 
     return df.mapInArrow(run, df.schema)

@@ -18,7 +18,7 @@ def test_held_out_documents(spark):
     rows = got.join(labels.where(test).withColumnRenamed("toxic", "truth"), "doc_id").collect()
     bad = [r for r in rows if r["truth"] == 1]
     good = [r for r in rows if r["truth"] == 0]
-    assert np.mean([r["toxic"] for r in bad]) > 0.85 and np.mean([r["toxic"] for r in good]) < 0.01  # a tenth of the toxic labels show nothing in the text
+    assert np.mean([r["toxic"] for r in bad]) > 0.85 and np.mean([r["toxic"] for r in good]) < 0.015  # a tenth of the toxic labels show nothing in the text
     assert np.mean([r["severity"] for r in bad]) > 1 > np.mean([r["severity"] for r in good])
     assert all(0 <= r["severity"] <= GRADES - 1 and r["toxic"] == (r["grade"] > 0) for r in rows)
 
