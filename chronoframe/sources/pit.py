@@ -37,7 +37,8 @@ def snapshot(rows: DataFrame, start=None, end=None, as_of=None, lag_days: int |
 def decision_time(rows: DataFrame, dates: DataFrame) -> DataFrame:
     """``date, asset_id, value`` of what was known on each of ``dates``: the row of the newest event date
     among those with a knowledge date up to it. An as-of join by one window over both sides."""
-    asked = rows.select("asset_id").distinct().join(dates.select("date"))
+    days = dates.agg(F.collect_set("date").alias("d")).scalar()  # a calendar's worth at most
+    asked = rows.select("asset_id").distinct().select("asset_id", F.explode(days).alias("date"))
     known = rows.select("asset_id", F.col("knowledge_date").alias("at"), F.struct("date", "knowledge_date", "value").alias("v"))
     both = known.unionByName(asked.select("asset_id", F.col("date").alias("at"), F.lit(None).cast(known.schema["v"].dataType).alias("v")))
     w = Window.partitionBy("asset_id").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
