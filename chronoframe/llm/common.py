@@ -1,8 +1,10 @@
-"""Shared plumbing: scratch tables on shared storage and Arrow text buffers."""
+"""Shared plumbing: scratch tables on shared storage, Arrow text buffers and packed columns."""
 
 from __future__ import annotations
 
 import atexit
+import math
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,9 +18,12 @@ _made: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``. Where that is unset, a local one serves a driver that runs
+    its own tasks; on a cluster other executors could not read it, so that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="chronoframe-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -56,6 +61,14 @@ class Scratch:
             _drop(self.spark, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Remove the scratch tables of this session. For long sessions, once the results that read them
+    are written; a result that was not is lost with them."""
+    for path in [p for p, s in _made.items() if s is spark]:
+        _drop(spark, path)
+        del _made[path]
+
+
 @atexit.register
 def _sweep() -> None:
     for path, spark in _made.items():
@@ -97,6 +110,73 @@ def spans(offsets: np.ndarray, target: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
+# Columns of many small rows travel as packed binaries, one or more for each bucket.
+DEALT = "kind int, part int, blob binary"
+#: Buckets up to which rows are dealt at once; more are dealt by groups of buckets first.
+FAN = 1024
+#: Bytes that a task of the second dealing gathers before it deals them on.
+GATHERED = 96 << 20
+
+
+def pack(*cols: np.ndarray) -> bytes:
+    return np.int64(len(cols[0])).tobytes() + b"".join(np.ascontiguousarray(c).tobytes() for c in cols)
+
+
+def unpack(blobs, kinds: list) -> list[np.ndarray]:
+    """The columns of packed binaries, one after another; ``kinds`` are (type, width)."""
+    parts: list[list] = [[] for _ in kinds]
+    for blob in blobs:
+        n, at = int(np.frombuffer(blob, np.int64, 1)[0]), 8
+        for k, (t, width) in enumerate(kinds):
+            x = np.frombuffer(blob, t, n * width, at)
+            parts[k].append(x.reshape(n, width) if width > 1 else x)
+            at += x.nbytes
+    return [np.concatenate(p) if p else np.zeros((0, w) if w > 1 else 0, t) for p, (t, w) in zip(parts, kinds)]
+
+
+def deal(kind: int, part: np.ndarray, *cols: np.ndarray) -> pa.RecordBatch:
+    """Rows (kind, part, blob) of the parts that occur."""
+    order = np.argsort(part, kind="stable")
+    sorted_part = part[order]
+    edge = np.flatnonzero(np.concatenate([[True], sorted_part[1:] != sorted_part[:-1], [True]])) if len(part) else np.zeros(1, np.int64)
+    blobs = [pack(*[c[order[a:z]] for c in cols]) for a, z in zip(edge[:-1].tolist(), edge[1:].tolist())]
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(blobs), pa.int32()), pa.array(sorted_part[edge[:-1]], pa.int32()), pa.array(blobs, pa.binary())], names=["kind", "part", "blob"])
+
+
+def fan(parts: int) -> int:
+    """Buckets to a group of the first dealing; 1 where all rows are dealt at once."""
+    return 1 if parts <= FAN else math.isqrt(parts - 1) + 1
+
+
+def dealt_again(rows: DataFrame, parts: int, own: dict[int, tuple[list, object]]) -> DataFrame:
+    """Rows dealt by groups of ``fan(parts)`` buckets (part // fan) -> rows dealt by bucket, so that no task
+    cuts its rows in more than about sqrt(parts) pieces. ``own`` has, by kind, the types of the columns and
+    a function of them that gives each row's bucket."""
+    if fan(parts) == 1:
+        return rows
+
+    def run(batches):
+        held: dict[int, list] = {}
+        size = 0
+
+        def flush():
+            for kind, blobs in held.items():
+                kinds, part = own[kind]
+                cols = unpack(blobs, kinds)
+                yield deal(kind, part(*cols), *cols)
+
+        for b in batches:
+            for kind, blob in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                held.setdefault(kind, []).append(blob)
+                size += len(blob)
+                if size > GATHERED:
+                    yield from flush()
+                    held, size = {}, 0
+        yield from flush()
+
+    return rows.repartition("kind", "part").mapInArrow(run, DEALT)
+
+
 #: A-Z to a-z, every other byte as it is.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

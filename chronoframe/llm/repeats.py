@@ -17,7 +17,14 @@ without losing a match:
    removed. Windows shared by two documents extend to a maximal repeat that holds both, so
    the union over groups is exact.
 
-Contexts are compared by 112 or more hash bits; fragments by their bytes.
+Fragments are compared by their bytes. Contexts are compared by hashes: 48 bits of the gram, 30 of the near
+halves, and 96 independent ones of the gram, both sides whole and their lengths. Contexts that agree on the
+gram and a near half are so told apart by 96 bits at least; 10**12 different contexts of one anchor would
+meet a wrong match with odds of 1 to 10**5. Windows of crowded anchors are compared by 128 bits and the key.
+
+An anchor with very many different contexts (a licence line amid different texts) is dealt by context
+instead of by key, so no task gathers it. Such keys are found in a sample of ``SAMPLED`` of all distinct
+texts; the sample decides where rows are compared and never what is removed.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, spans, text_buffer
+from .common import DEALT, Scratch, deal, dealt_again, fan, pack, spans, text_buffer, unpack
 
 SPAN = 50
 GRAM = 16
@@ -42,10 +49,13 @@ BUCKET = 700_000
 #: Contexts of one anchor that a task compares at most, and fragments that it sorts at once.
 CROWD = 2_000
 SORTED = 8_000
+#: Share of the texts in which hot keys are looked for, and the sampled contexts that make a key hot: one of
+#: about BUCKET contexts in all.
+SAMPLED, HOT = 1 / 40_000, 16
 #: Ids up to which a set of documents is broadcast to thin texts before they are shuffled.
 FEW = 1_000_000
 
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
 def _mix(*words: np.ndarray) -> np.ndarray:
@@ -76,10 +86,10 @@ def _words(b: np.ndarray) -> np.ndarray:
 
 
 def anchors(body: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
-    """Anchors of the texts: row, pos, left and right context bytes, key (of the gram) and context.
+    """Anchors of the texts: row, pos, left and right context bytes, key (48 bits of the gram), context, far.
 
     The context word has 16 bits for the near half of each side (0 where a text ends earlier) and 32
-    for the whole of both sides with their lengths.
+    for the whole of both sides with their lengths; far has 64 more for those and the gram.
     """
     size = np.diff(offs)
     gap = SIDE + 8
@@ -108,10 +118,12 @@ def anchors(body: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     right = np.minimum(shift[row] + size[row] - at - GRAM, SIDE)
     near_l = _mix(w[at - 8], w[at - 16], w[at - HALF])
     near_r = _mix(w[at + GRAM], w[at + GRAM + 8], w[at + GRAM + HALF - 8])
-    far = _mix(near_l, near_r, w[at - 24], w[at - 32], w[at - SIDE], w[at + 32], w[at + 40], w[at + GRAM + SIDE - 8], left * 64 + right)
+    whole = (near_l, near_r, w[at - 24], w[at - 32], w[at - SIDE], w[at + 32], w[at + 40], w[at + GRAM + SIDE - 8], left * 64 + right)
+    short = _mix(*whole)
+    far = _mix(w[at] ^ _B, w[at + 8], *whole[::-1])
     bits = np.uint64(0xFFFF)
-    context = (far & np.uint64(0xFFFFFFFF)) | np.where(left >= HALF, (near_l & bits) | np.uint64(1), 0).astype(np.uint64) << np.uint64(48) | np.where(right >= HALF, (near_r & bits) | np.uint64(1), 0).astype(np.uint64) << np.uint64(32)
-    return {"row": row, "pos": at - shift[row], "left": left, "right": right, "key": h[at], "context": context}
+    context = (short & np.uint64(0xFFFFFFFF)) | np.where(left >= HALF, (near_l & bits) | np.uint64(1), 0).astype(np.uint64) << np.uint64(48) | np.where(right >= HALF, (near_r & bits) | np.uint64(1), 0).astype(np.uint64) << np.uint64(32)
+    return {"row": row, "pos": at - shift[row], "left": left, "right": right, "key": h[at] >> np.uint64(16), "context": context, "far": far}
 
 
 def _new(*cols: np.ndarray) -> np.ndarray:
@@ -122,10 +134,10 @@ def _new(*cols: np.ndarray) -> np.ndarray:
     return out
 
 
-def collapse(key: np.ndarray, context: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (key, context, id), and in it the smallest id of the row's (key, context)."""
-    order = np.lexsort((ids, context, key))
-    first = np.flatnonzero(_new(key[order], context[order]))
+def collapse(ids: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by the columns ``same`` and the id, and in it the smallest id of the rows that agree on them."""
+    order = np.lexsort((ids, *same[::-1]))
+    first = np.flatnonzero(_new(*[x[order] for x in same]))
     return order, np.repeat(ids[order][first], np.diff(np.append(first, len(order))))
 
 
@@ -143,11 +155,11 @@ def merged(ids, ths, start, end) -> tuple[np.ndarray, ...]:
     return ids[first], ths[first], start[first], reach[last] - doc[first] * np.int64(1 << 40)
 
 
-def _windows(words: np.ndarray, key: np.ndarray, starts: int) -> np.ndarray:
+def _windows(words: np.ndarray, key: np.ndarray, starts: int, by: np.uint64 = _A) -> np.ndarray:
     """Hash of the SPAN bytes from every start of every fragment, [fragments, starts]."""
     h = np.repeat(key[:, None], starts, axis=1)
     for k in (*range(0, SPAN - 8, 8), SPAN - 8):
-        h = (h ^ words[:, k : k + starts]) * _A
+        h = (h ^ words[:, k : k + starts]) * by
         h ^= h >> np.uint64(29)
     return h * _B
 
@@ -220,66 +232,91 @@ def _intervals(lcp: list[int], a: int, before: np.ndarray, least: int):
             stack.append((h, first))
 
 
-# Columns of many small rows travel as one packed binary for each bucket.
-def _pack(*cols: np.ndarray) -> bytes:
-    return np.int64(len(cols[0])).tobytes() + b"".join(np.ascontiguousarray(c).tobytes() for c in cols)
-
-
-def _unpack(blobs, types: list) -> list[np.ndarray]:
-    parts: list[list] = [[] for _ in types]
-    for blob in blobs:
-        n, at = int(np.frombuffer(blob, np.int64, 1)[0]), 8
-        for k, (t, width) in enumerate(types):
-            size = n * width * np.dtype(t).itemsize
-            x = np.frombuffer(blob, t, n * width, at)
-            parts[k].append(x.reshape(n, width) if width > 1 else x)
-            at += size
-    return [np.concatenate(p) if p else np.zeros((0, w) if w > 1 else 0, t) for p, (t, w) in zip(parts, types)]
-
-
-_ANCHOR = [(np.uint8, 6), (np.uint64, 1), (np.int64, 1), (np.int64, 1), (np.uint16, 1), (np.uint16, 1), (np.uint8, 1), (np.uint8, 1)]
+_ANCHOR = [(np.uint8, 6), (np.uint64, 1), (np.uint64, 1), (np.int64, 1), (np.int64, 1), (np.uint16, 1), (np.uint16, 1), (np.uint8, 1), (np.uint8, 1)]
 _MARK = [(np.int64, 1), (np.int64, 1), (np.uint32, 1), (np.uint32, 1)]
-_ASK = [(np.int64, 1), (np.int64, 1), (np.uint32, 1), (np.uint64, 1), (np.int32, 1)]
-_WINDOW = [(np.uint64, 1), (np.uint64, 1), (np.int64, 1), (np.int64, 1), (np.uint32, 1)]
+_ASK = [(np.int64, 1), (np.int64, 1), (np.uint32, 1), (np.uint64, 1), (np.int8, 1)]
+_WINDOW = [(np.uint64, 1), (np.uint64, 1), (np.uint64, 1), (np.int64, 1), (np.int64, 1), (np.uint32, 1)]
 _FRAG = [(np.uint64, 1), (np.int64, 1), (np.int64, 1), (np.uint32, 1), (np.uint8, 1), (np.uint8, WIDTH)]
+#: Kinds of dealt rows: anchors by key, spans by document, requests by document, fragments by key, windows of
+#: crowded keys by their hash, anchors of hot keys by context.
+ANCHORS, MARKS, ASKS, FRAGS, WINDOWS, SPLIT = range(6)
 
 
 def _doc_part(ids: np.ndarray, parts: int) -> np.ndarray:
     return (_mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
 
-def _dealt(part: np.ndarray, parts: int, kind: int, *cols: np.ndarray):
-    """Rows (kind, part, blob) with the columns dealt by part."""
-    order = np.argsort(part, kind="stable")
-    edge = np.searchsorted(part[order], np.arange(parts + 1))
-    got = [p for p in range(parts) if edge[p + 1] > edge[p]]
-    blobs = [_pack(*[c[order[edge[p] : edge[p + 1]]] for c in cols]) for p in got]
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(got), pa.int32()), pa.array(got, pa.int32()), pa.array(blobs, pa.binary())], names=["kind", "part", "blob"])
+def _key_part(key: np.ndarray, parts: int) -> np.ndarray:
+    return ((key & np.uint64(0xFFFFFF)) % np.uint64(parts)).astype(np.int64)
+
+
+def _hash_part(h: np.ndarray, parts: int) -> np.ndarray:
+    return ((h >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+
+
+def _six(key: np.ndarray) -> np.ndarray:
+    return key.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:]
+
+
+def _of_six(six: np.ndarray) -> np.ndarray:
+    eight = np.zeros((len(six), 8), np.uint8)
+    eight[:, 2:] = six
+    return eight.reshape(-1).view(">u8").astype(np.uint64)
 
 
-_DEALT = "kind int, part int, blob binary"
+def _owners(parts: int) -> dict:
+    """For ``dealt_again``: the columns of each kind and the bucket of a row."""
+    by_doc = lambda ids, *_: _doc_part(ids, parts)
+    return {
+        ANCHORS: (_ANCHOR, lambda six, *_: _key_part(_of_six(six), parts)),
+        MARKS: (_MARK, by_doc),
+        ASKS: (_ASK, by_doc),
+        FRAGS: (_FRAG, lambda key, *_: _key_part(key, parts)),
+        WINDOWS: (_WINDOW, lambda h, *_: _hash_part(h, parts)),
+        SPLIT: (_ANCHOR, lambda six, context, far, *_: _hash_part(far, parts)),
+    }
 
 
 def _marks(parts: int, ids, ths, start, end):
     ids, ths, start, end = merged(ids, ths, np.asarray(start, np.int64), np.asarray(end, np.int64))
-    return _dealt(_doc_part(ids, parts), parts, 1, ids, ths, start.astype(np.uint32), end.astype(np.uint32))
+    return deal(MARKS, _doc_part(ids, parts) // fan(parts), ids, ths, start.astype(np.uint32), end.astype(np.uint32))
+
+
+def hot_keys(facts: DataFrame) -> np.ndarray:
+    """Keys of which the sampled texts hold ``HOT`` or more different contexts (sorted)."""
+
+    def run(batches):
+        for b in batches:
+            body, offs = text_buffer(b.column(0))
+            for i, j in spans(offs, 1 << 18):
+                a = anchors(body[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                yield pa.RecordBatch.from_arrays([pa.array(a["key"].view(np.int64)), pa.array(_mix(a["context"], a["far"]).view(np.int64))], names=["key", "context"])
+
+    found = facts.where("sample is not null").select("sample").mapInArrow(run, "key long, context long").distinct().groupBy("key").count().where(F.col("count") >= HOT)
+    return np.sort(np.array([r["key"] for r in found.select("key").collect()], np.int64).view(np.uint64))
+
 
+def _gather(parts: int, at_once: int, hot: np.ndarray):
+    """Texts -> collapsed anchors by key or, of hot keys, by context, and spans that a task could settle."""
 
-def _gather(parts: int, at_once: int):
-    """Texts -> collapsed anchors by key bucket (kind 0) and spans that a task could settle (kind 1)."""
+    def dealt(kind: int, part: np.ndarray, c: dict):
+        return deal(kind, part // fan(parts), _six(c["key"]), c["context"], c["far"], c["id"], c["th"], (c["pos"] & 0xFFFF).astype(np.uint16), (c["pos"] >> 16).astype(np.uint16), c["left"].astype(np.uint8), c["right"].astype(np.uint8))
 
     def flush(held):
         c = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-        order, least = collapse(c["key"], c["context"], c["id"])
+        order, least = collapse(c["id"], c["key"], c["context"], c["far"])
         c = {k: v[order] for k, v in c.items()}
         copy = c["id"] > least
         yield _marks(parts, c["id"][copy], c["th"][copy], (c["pos"] - c["left"])[copy], (c["pos"] + GRAM + c["right"])[copy])
         c = {k: v[~copy] for k, v in c.items()}
         by_doc = np.lexsort((c["pos"], c["th"], c["id"]))
         c = {k: v[by_doc] for k, v in c.items()}
-        part = ((c["key"] & np.uint64(0xFFFFFF)) % np.uint64(parts)).astype(np.int64)
-        key6 = c["key"].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]
-        yield _dealt(part, parts, 0, key6, c["context"], c["id"], c["th"], (c["pos"] & 0xFFFF).astype(np.uint16), (c["pos"] >> 16).astype(np.uint16), c["left"].astype(np.uint8), c["right"].astype(np.uint8))
+        if len(hot):
+            split = hot[np.minimum(np.searchsorted(hot, c["key"]), len(hot) - 1)] == c["key"]
+            own = {k: v[split] for k, v in c.items()}
+            yield dealt(SPLIT, _hash_part(own["far"], parts), own)
+            c = {k: v[~split] for k, v in c.items()}
+        yield dealt(ANCHORS, _key_part(c["key"], parts), c)
 
     def run(batches):
         held, n = [], 0
@@ -302,36 +339,37 @@ def _gather(parts: int, at_once: int):
 
 
 def _settle(parts: int, crowd_from: int):
-    """A key bucket's anchors -> spans of further copies (kind 1) and fragments to fetch (kind 2)."""
+    """A bucket's anchors -> spans of further copies and requests for the texts about the rest."""
 
     def run(table: pa.Table) -> pa.Table:
         kind = table.column("kind")[0].as_py()
-        if kind == 1:
+        if kind == MARKS:
             return table
-        key6, context, ids, ths, lo, hi, left, right = _unpack([x.as_py() for x in table.column("blob")], _ANCHOR)
-        eight = np.zeros((len(key6), 8), np.uint8)
-        eight[:, 2:] = key6
-        key = eight.reshape(-1).view(">u8").astype(np.uint64)
+        six, context, far, ids, ths, lo, hi, left, right = unpack([x.as_py() for x in table.column("blob")], _ANCHOR)
+        key = _of_six(six)
         pos = lo.astype(np.int64) | hi.astype(np.int64) << 16
-        order, least = collapse(key, context, ids)
-        key, context, ids, ths, pos, left, right = (x[order] for x in (key, context, ids, ths, pos, left.astype(np.int64), right.astype(np.int64)))
+        order, least = collapse(ids, key, context, far)
+        key, context, far, ids, ths, pos, left, right = (x[order] for x in (key, context, far, ids, ths, pos, left.astype(np.int64), right.astype(np.int64)))
         copy = ids > least
         out = [_marks(parts, ids[copy], ths[copy], (pos - left)[copy], (pos + GRAM + right)[copy])]
-        # contexts of one key of which two agree on a near half
-        first = np.flatnonzero(_new(key, context))
-        shared = np.zeros(len(first), np.int32)
-        for flag, bits in ((1, np.uint64(48)), (2, np.uint64(32))):
-            half = context[first] >> bits & np.uint64(0xFFFF)
-            o = np.lexsort((half, key[first]))
-            new = np.flatnonzero(_new(key[first][o], half[o]))
-            size = np.repeat(np.diff(np.append(new, len(o))), np.diff(np.append(new, len(o))))
-            shared[o] |= flag * ((size > 1) & (half[o] > 0)).astype(np.int32)
-        own = np.flatnonzero(_new(key[first]))
-        crowd = np.repeat(np.add.reduceat(shared > 0, own, dtype=np.int64), np.diff(np.append(own, len(first)))) > crowd_from
-        times = np.diff(np.append(first, len(key)))
-        ask = np.repeat(shared > 0, times) & ~copy
-        bucket = np.repeat(np.where(crowd, -shared, table.column("part")[0].as_py()), times)[ask].astype(np.int32)
-        out.append(_dealt(_doc_part(ids[ask], parts), parts, 2, ids[ask], ths[ask], pos[ask].astype(np.uint32), key[ask], bucket))
+        if kind == SPLIT:  # further contexts of the key are in other buckets: all windows are compared
+            ask, how = ~copy, np.full(len(ids), -3, np.int8)
+        else:
+            # contexts of one key of which two agree on a near half
+            first = np.flatnonzero(_new(key, context, far))
+            shared = np.zeros(len(first), np.int8)
+            for flag, bits in ((1, np.uint64(48)), (2, np.uint64(32))):
+                half = context[first] >> bits & np.uint64(0xFFFF)
+                o = np.lexsort((half, key[first]))
+                new = np.flatnonzero(_new(key[first][o], half[o]))
+                size = np.repeat(np.diff(np.append(new, len(o))), np.diff(np.append(new, len(o))))
+                shared[o] |= flag * ((size > 1) & (half[o] > 0)).astype(np.int8)
+            own = np.flatnonzero(_new(key[first]))
+            crowd = np.repeat(np.add.reduceat(shared > 0, own, dtype=np.int64), np.diff(np.append(own, len(first)))) > crowd_from
+            times = np.diff(np.append(first, len(key)))
+            ask = np.repeat(shared > 0, times) & ~copy
+            how = np.repeat(np.where(crowd, -shared, 0), times).astype(np.int8)
+        out.append(deal(ASKS, _doc_part(ids[ask], parts) // fan(parts), ids[ask], ths[ask], pos[ask].astype(np.uint32), key[ask], how[ask]))
         return pa.Table.from_batches(out)
 
     return run
@@ -339,12 +377,12 @@ def _settle(parts: int, crowd_from: int):
 
 def _asked(table: pa.Table) -> pa.Table:
     """Requests of a document bucket -> one row for each document."""
-    ids, ths, pos, key, bucket = _unpack([x.as_py() for x in table.column("blob")], _ASK)
+    ids, ths, pos, key, how = unpack([x.as_py() for x in table.column("blob")], _ASK)
     order = np.lexsort((pos, ths, ids))
-    ids, ths, pos, key, bucket = (x[order] for x in (ids, ths, pos, key, bucket))
+    ids, ths, pos, key, how = (x[order] for x in (ids, ths, pos, key, how))
     first = np.flatnonzero(_new(ids, ths))
     end = np.append(first[1:], len(ids))
-    blobs = [_pack(pos[a:z], key[a:z], bucket[a:z]) for a, z in zip(first, end)]
+    blobs = [pack(pos[a:z], key[a:z], how[a:z]) for a, z in zip(first, end)]
     return pa.table({"doc_id": ids[first], "th": ths[first], "ask": pa.array(blobs, pa.binary())})
 
 
@@ -355,9 +393,9 @@ def _fetch(parts: int):
         held, n = [], 0
 
         def flush():
-            bucket, key, ids, ths, start, length, anchor, frag = (np.concatenate(x) for x in zip(*held))
-            few = bucket >= 0
-            yield _dealt(bucket[few].astype(np.int64), parts, 3, key[few], ids[few], ths[few], start[few], length[few], frag[few])
+            how, key, ids, ths, start, length, anchor, frag = (np.concatenate(x) for x in zip(*held))
+            few = how == 0
+            yield deal(FRAGS, _key_part(key[few], parts) // fan(parts), key[few], ids[few], ths[few], start[few], length[few], frag[few])
             if few.all():
                 return
             many = ~few
@@ -366,31 +404,32 @@ def _fetch(parts: int):
             grid = np.zeros(flat.size, np.uint64)
             w = _words(flat.reshape(-1))
             grid[: len(w)] = w
-            h = _windows(grid.reshape(flat.shape), key[many], SIDE + 1)
+            grid = grid.reshape(flat.shape)
             left = anchor[many].astype(np.int64)[:, None] - np.arange(SIDE + 1)  # context bytes before the gram
-            flag = -bucket[many][:, None]
+            flag = -how[many][:, None]
             ok = (left >= 0) & (np.arange(SIDE + 1) + SPAN <= length[many][:, None])
             ok &= ((flag & 1) > 0) & (left >= HALF) | ((flag & 2) > 0) & (SIDE - left >= HALF)
             f, s = np.nonzero(ok)
-            hash_, key, ids, ths, pos = h[f, s], key[many][f], ids[many][f], ths[many][f], start[many][f].astype(np.int64) + s
-            order, least = collapse(hash_, key, ids)
-            hash_, key, ids, ths, pos = (x[order] for x in (hash_, key, ids, ths, pos))
+            one, two = (_windows(grid, key[many], SIDE + 1, by)[f, s] for by in (_A, _C))
+            key, ids, ths, pos = key[many][f], ids[many][f], ths[many][f], start[many][f].astype(np.int64) + s
+            order, least = collapse(ids, one, two, key)
+            one, two, key, ids, ths, pos = (x[order] for x in (one, two, key, ids, ths, pos))
             copy = ids > least
             yield _marks(parts, ids[copy], ths[copy], pos[copy], pos[copy] + SPAN)
             keep = ~copy
-            yield _dealt(((hash_[keep] >> np.uint64(20)) % np.uint64(parts)).astype(np.int64), parts, 4, hash_[keep], key[keep], ids[keep], ths[keep], pos[keep].astype(np.uint32))
+            yield deal(WINDOWS, _hash_part(one[keep], parts) // fan(parts), one[keep], two[keep], key[keep], ids[keep], ths[keep], pos[keep].astype(np.uint32))
 
         for b in batches:
             body, offs = text_buffer(b.column(2))
             for k in range(b.num_rows):
-                pos, key, bucket = _unpack([b.column(3)[k].as_py()], [(np.uint32, 1), (np.uint64, 1), (np.int32, 1)])
+                pos, key, how = unpack([b.column(3)[k].as_py()], [(np.uint32, 1), (np.uint64, 1), (np.int8, 1)])
                 text = np.zeros(int(offs[k + 1] - offs[k]) + 2 * WIDTH, np.uint8)
                 text[: offs[k + 1] - offs[k]] = body[offs[k] : offs[k + 1]]
                 start = np.maximum(pos.astype(np.int64) - SIDE, 0)
                 length = np.minimum(pos.astype(np.int64) + SPAN, offs[k + 1] - offs[k]) - start
                 frag = text[start[:, None] + np.arange(WIDTH)]
                 ids, ths = (np.full(len(pos), b.column(c)[k].as_py(), np.int64) for c in (0, 1))
-                held.append((bucket, key, ids, ths, start.astype(np.uint32), length.astype(np.uint8), (pos.astype(np.int64) - start).astype(np.uint8), frag))
+                held.append((how, key, ids, ths, start.astype(np.uint32), length.astype(np.uint8), (pos.astype(np.int64) - start).astype(np.uint8), frag))
                 n += len(pos)
                 if n >= 60_000:
                     yield from flush()
@@ -402,20 +441,20 @@ def _fetch(parts: int):
 
 
 def _compare(parts: int, at_once: int):
-    """A key bucket's fragments (kind 3) -> spans, through the maximal repeats of its keys; the windows of
-    crowded keys (kind 4) -> spans, by their smallest document."""
+    """A key bucket's fragments -> spans, through the maximal repeats of its keys; the windows of crowded
+    keys, which are the common-prefix intervals of length SPAN, -> spans by their smallest document."""
 
     def run(table: pa.Table) -> pa.Table:
         kind = table.column("kind")[0].as_py()
-        if kind == 1:
+        if kind == MARKS:
             return table
-        if kind == 4:
-            hash_, key, ids, ths, pos = _unpack([x.as_py() for x in table.column("blob")], _WINDOW)
-            order, least = collapse(hash_, key, ids)
+        if kind == WINDOWS:
+            one, two, key, ids, ths, pos = unpack([x.as_py() for x in table.column("blob")], _WINDOW)
+            order, least = collapse(ids, one, two, key)
             far = ids[order] > least
             at = pos[order][far].astype(np.int64)
             return pa.Table.from_batches([_marks(parts, ids[order][far], ths[order][far], at, at + SPAN)])
-        key, ids, ths, start, length, frag = _unpack([x.as_py() for x in table.column("blob")], _FRAG)
+        key, ids, ths, start, length, frag = unpack([x.as_py() for x in table.column("blob")], _FRAG)
         order = np.argsort(key, kind="stable")
         edge = np.flatnonzero(_new(key[order]))
         edge = np.append(edge, len(order))
@@ -439,12 +478,12 @@ def _compare(parts: int, at_once: int):
 
 def _union(table: pa.Table) -> pa.Table:
     """Spans of a document bucket -> one row for each document, runs merged."""
-    ids, ths, start, end = _unpack([x.as_py() for x in table.column("blob")], _MARK)
+    ids, ths, start, end = unpack([x.as_py() for x in table.column("blob")], _MARK)
     ids, ths, start, end = merged(ids, ths, start.astype(np.int64), end.astype(np.int64))
     first = np.flatnonzero(_new(ids, ths))
     last = np.append(first[1:], len(ids))
     total = np.add.reduceat(end - start, first) if len(first) else first
-    blobs = [_pack(start[a:z], end[a:z]) for a, z in zip(first, last)]
+    blobs = [pack(start[a:z], end[a:z]) for a, z in zip(first, last)]
     return pa.table({"doc_id": ids[first], "th": ths[first], "n_removed": total.astype(np.int64), "n_spans": (last - first).astype(np.int64), "runs": pa.array(blobs, pa.binary())})
 
 
@@ -462,17 +501,22 @@ def removed_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = scratch or Scratch(df.sparkSession, "repeats")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    facts = scratch.table(docs.select("doc_id", "th", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256")))
+    sampled = F.pmod(F.xxhash64("th"), F.lit(1 << 30)) < int(SAMPLED * (1 << 30))
+    facts = scratch.table(docs.select("doc_id", "th", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256"), F.when(sampled, F.col("text")).alias("sample")))
     total = facts.agg(F.sum("n_bytes")).first()[0] or 0
     parts = max(4, -(-total // (BUCKET * 18)))
     docs = docs.where("doc_id is not null")
-    found = docs.mapInArrow(_gather(parts, AT_ONCE), _DEALT).groupBy("kind", "part").applyInArrow(_settle(parts, CROWD), _DEALT)
-    found = scratch.table(found)
-    wanted = scratch.table(found.where("kind = 2").groupBy("part").applyInArrow(_asked, "doc_id long, th long, ask binary"))
-    frags = _thinned(docs, wanted).select("doc_id", "th", "text", "ask").mapInArrow(_fetch(parts), _DEALT)
-    more = frags.groupBy("kind", "part").applyInArrow(_compare(parts, SORTED), _DEALT)
-    runs = found.where("kind = 1").unionByName(more).groupBy("part").applyInArrow(_union, "doc_id long, th long, n_removed long, n_spans long, runs binary")
-    return facts, scratch.table(runs)
+    own = _owners(parts)
+    given = dealt_again(docs.mapInArrow(_gather(parts, AT_ONCE, hot_keys(facts)), DEALT), parts, own)
+    found = scratch.table(dealt_again(given.groupBy("kind", "part").applyInArrow(_settle(parts, CROWD), DEALT), parts, own))
+    wanted = scratch.table(found.where(f"kind = {ASKS}").groupBy("part").applyInArrow(_asked, "doc_id long, th long, ask binary"))
+    frags = dealt_again(_thinned(docs, wanted).select("doc_id", "th", "text", "ask").mapInArrow(_fetch(parts), DEALT), parts, own)
+    more = dealt_again(frags.groupBy("kind", "part").applyInArrow(_compare(parts, SORTED), DEALT), parts, own)
+    runs = found.where(f"kind = {MARKS}").unionByName(more).groupBy("part").applyInArrow(_union, "doc_id long, th long, n_removed long, n_spans long, runs binary")
+    runs = scratch.table(runs)
+    scratch.drop(found)
+    scratch.drop(wanted)
+    return facts.drop("sample"), runs
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -495,7 +539,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
             out = []
             for k in range(b.num_rows):
                 raw = body[offs[k] : offs[k + 1]].tobytes()
-                start, end = _unpack([b.column(3)[k].as_py()], [(np.int64, 1), (np.int64, 1)])
+                start, end = unpack([b.column(3)[k].as_py()], [(np.int64, 1), (np.int64, 1)])
                 keep = zip([0, *end.tolist()], [*start.tolist(), len(raw)])
                 out.append(hashlib.sha256(b"".join(raw[a:z] for a, z in keep)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["doc_id", "th", "kept"])

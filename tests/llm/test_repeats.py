@@ -77,6 +77,40 @@ def test_crowded_anchors(spark, monkeypatch):
     check(spark, corpus(13, 80))
 
 
+def test_hot_keys_and_groups_of_buckets(spark, monkeypatch):
+    from chronoframe.llm import common
+
+    rng = random.Random(14)
+    line = "a licence line that stands amid quite different words, as they do."
+    tail = lambda: "".join(rng.choice("xyz ") for _ in range(rng.randint(0, 60)))
+    rows = [(k, tail() + line + tail()) for k in range(120)] + [(k + 200, t) for k, t in corpus(15, 60)]
+    monkeypatch.setattr(repeats, "SAMPLED", 1)
+    monkeypatch.setattr(repeats, "HOT", 5)
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("text as sample")
+    assert len(repeats.hot_keys(df))
+    check(spark, rows)
+    monkeypatch.setattr(repeats, "BUCKET", 20)
+    monkeypatch.setattr(common, "FAN", 3)
+    monkeypatch.setattr(common, "GATHERED", 2000)
+    check(spark, rows)
+
+
+def test_contexts_of_one_core_are_told_apart():
+    rng = np.random.default_rng(3)
+    core = np.frombuffer(b"the same sixty bytes stand in the midst of every text of them", np.uint8)
+    n = 300_000
+    side = rng.integers(97, 123, (n, 2, 30), np.uint8)
+    body = np.concatenate([side[:, 0], np.broadcast_to(core, (n, len(core))), side[:, 1]], axis=1)
+    width = body.shape[1]
+    words: dict[int, set] = {}
+    for i in range(0, n, 4000):
+        a = anchors(body[i : i + 4000].reshape(-1), np.arange(len(body[i : i + 4000]) + 1) * width)
+        for k, c, f in zip(a["key"].tolist(), a["context"].tolist(), a["far"].tolist()):
+            words.setdefault(k, set()).add((c, f))
+    most = max(len(x) for x in words.values())
+    assert most == len(np.unique(side.reshape(n, -1), axis=0))
+
+
 def test_edges(spark):
     long = "Lorem ipsum dolor sit amet, consectetur adipiscing elit sed do " * 2000
     rows = [(None, "n" * 60), (5, "n" * 60), (1, None), (2, ""), (3, "short"), (7, long), (8, long[:-1]), (9, "q" * 200), (9, "q" * 200), (9, "r" * 70), (10, "r" * 70), (0, "tail " + "q" * 49), (12, "\x00" * 80), (13, "\x00" * 80)]
