@@ -1,18 +1,19 @@
 """SimHash near-duplicates over a byte-position inverted index with count filtering.
 
-A 64-bit fingerprint is eight positional bytes. Two fingerprints at most ``BITS`` bits apart
-differ in at most ``BITS`` of those bytes, so they share at least ``8 - BITS`` of them, and of
-the four two-byte groups they share at least ``4 - BITS`` whole. The index therefore holds one
-posting for each pair of groups (two groups = four positional bytes): every linked pair meets in
-at least one posting, while a posting of unrelated fingerprints is 2**32 times thinner than the
-corpus. A list on one single byte would hold 1/256 of all rows, so its pairs would grow with the
-square of the corpus. Pairs of a posting are tallied by positional byte, kept at the guaranteed
-minimum, and verified by their differing bits.
+A 64-bit fingerprint is eight positional bytes. Two fingerprints at most ``BITS`` bits apart differ in
+at most ``BITS`` of those bytes, so they share at least ``8 - BITS`` of them. A list on one single byte
+would hold 1/256 of all rows, so its pairs would grow with the square of the corpus. The index
+therefore has one posting for each block of a Steiner system S(3, 4, 8): 14 sets of four byte positions,
+of which any five positions hold exactly one, six hold 3, seven hold 7. A posting of unrelated
+fingerprints is 2**32 times thinner than the corpus, and the number of postings that a pair shares tells
+how many positional bytes it shares. Pairs are tallied over the postings, those below the guaranteed
+minimum (3 postings, that is six bytes, for two bits) are dropped, and the rest is verified by its bits.
 
 A posting with more than ``WIDE`` members (many near copies) emits no pairs. Its members agree on
 32 bits, so two that link are each within one bit of a common word in the other 32: every member is
 listed under itself and its 32 one-bit neighbours, and each such list (33 members at most) links
-its members to its smallest. That gives the same components with 33 rows for each member.
+its members to its smallest. A linked pair either shares a wide posting, and is connected through those
+lists, or has all its postings tallied; so the components are the same, with 33 rows for each member.
 """
 
 from __future__ import annotations
@@ -32,7 +33,10 @@ from .components import connected_components
 BITS = 2
 WIDE = 32
 
-_GROUPS = list(combinations(range(4), 2))
+#: The blocks: four positions of which the numbers cancel out under exclusive or.
+_BLOCKS = [c for c in combinations(range(8), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0]
+#: Postings that a pair of so many differing bytes at most shares at least.
+LEAST_SHARED = {0: 14, 1: 7, 2: 3}
 #: Byte values against their bits, the highest first.
 _BIT_ROWS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -81,36 +85,38 @@ def _byte(fp: str, k: int) -> Column:
     return F.shiftrightunsigned(F.col(fp), 56 - 8 * k).bitwiseAND(F.lit(255))
 
 
-def _group(fp: str, g: int) -> Column:
-    return F.shiftrightunsigned(F.col(fp), 48 - 16 * g).bitwiseAND(F.lit(0xFFFF))
+def _key(fp: str, block: tuple[int, ...]) -> Column:
+    """The four bytes of a block as one number."""
+    out = F.lit(0).cast("bigint")
+    for k in block:
+        out = F.shiftleft(out, 8).bitwiseOR(_byte(fp, k))
+    return out
 
 
 def _verified(pairs: DataFrame, bits: int) -> DataFrame:
-    """Tally shared positional bytes, keep pairs at the guaranteed minimum, then count bits."""
-    tally = sum((_byte("u", k) == _byte("v", k)).cast("int") for k in range(8))
-    return pairs.where(tally >= 8 - bits).where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= bits)
+    return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= bits)
 
 
 def links(nodes: DataFrame, scratch: Scratch, bits: int = BITS, wide: int = WIDE) -> DataFrame:
     """``nodes(fp)`` distinct -> verified ``(u, v)``, enough of them to connect every linked pair."""
-    if not 0 <= bits <= 2:
+    if bits not in LEAST_SHARED:
         raise ValueError("the index guarantees links of at most two differing bits")
-    entries = [F.struct(F.lit(s).alias("slot"), F.shiftleft(_group("fp", a), 16).bitwiseOR(_group("fp", b)).alias("key")) for s, (a, b) in enumerate(_GROUPS)]
+    entries = [F.struct(F.lit(s).alias("slot"), _key("fp", block).alias("key")) for s, block in enumerate(_BLOCKS)]
     index = nodes.select("fp", F.explode(F.array(*entries)).alias("e")).select("e.slot", "e.key", "fp")
     sizes = index.groupBy("slot", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     index = scratch.table(index.join(sizes, ["slot", "key"]))
     slim = index.where(F.col("n") <= wide).drop("n")
-    pairs = slim.withColumnRenamed("fp", "u").join(slim.withColumnRenamed("fp", "v"), ["slot", "key"]).where("u < v").select("u", "v")
+    met = slim.withColumnRenamed("fp", "u").join(slim.withColumnRenamed("fp", "v"), ["slot", "key"]).where("u < v")
+    pairs = met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= LEAST_SHARED[bits]).select("u", "v")
 
-    rest = [sorted({0, 1, 2, 3} - set(g)) for g in _GROUPS]
-    masks = [[0] + [1 << (48 - 16 * g + b) for g in own for b in range(16)] for own in rest]
+    masks = [[0] + [1 << (56 - 8 * k + b) for k in range(8) if k not in block for b in range(8)] for block in _BLOCKS]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     flips = F.array(*[F.array(*[F.lit(signed(m)).cast("bigint") for m in own]) for own in masks])
     full = index.where(F.col("n") > wide).select("slot", "key", F.col("fp").alias("u"), F.explode(F.element_at(flips, F.col("slot") + 1)).alias("m"))
     full = full.select("slot", "key", "u", F.col("u").bitwiseXOR(F.col("m")).alias("mid"))
     stars = full.groupBy("slot", "key", "mid").agg(F.min("u").alias("v"), F.max("u").alias("top")).where("v <> top")
     stars = full.join(stars, ["slot", "key", "mid"]).where("u <> v").select("u", "v")
-    return _verified(pairs.unionByName(stars), bits).distinct()
+    return scratch.table(_verified(pairs.unionByName(stars), bits).distinct())
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, bits: int = BITS, wide: int = WIDE) -> DataFrame:
@@ -123,7 +129,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scratch = Scratch(df.sparkSession, "simhash")
     prints = scratch.table(fingerprints(df, id_col, text_col, shingle, seed))
     nodes = scratch.table(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")))
-    labels = connected_components(links(nodes.select("fp"), scratch, bits, wide), scratch)
+    edges = links(nodes.select("fp"), scratch, bits, wide)
+    labels = connected_components(edges, scratch)
     named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     names = named.groupBy("label").agg(F.min("least").alias("component_id"), F.sum("rows").alias("component_rows"))
     named = scratch.table(named.select("fp", "label").join(names, "label").drop("label"))

@@ -1,8 +1,9 @@
 import random
+from itertools import combinations
 
 import xxhash
 
-from chronoframe.llm.simhash import fingerprint, fingerprints, links, near_duplicates
+from chronoframe.llm.simhash import _BLOCKS, LEAST_SHARED, fingerprint, fingerprints, links, near_duplicates
 from chronoframe.llm.common import Scratch
 
 
@@ -44,6 +45,14 @@ def test_fingerprint_matches_definition():
         assert fingerprint(t.encode()) == brute(t)
 
 
+def test_shared_postings_tell_shared_bytes():
+    for differing, least in LEAST_SHARED.items():
+        for gone in combinations(range(8), differing):
+            assert sum(not set(gone) & set(b) for b in _BLOCKS) == least
+    for gone in combinations(range(8), 3):  # five shared bytes stay below the minimum for two bits
+        assert sum(not set(gone) & set(b) for b in _BLOCKS) == 1
+
+
 def test_near_duplicates_against_brute_force(spark):
     rng = random.Random(2)
     base = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta"]) + str(rng.randint(0, 50)) for _ in range(150)) for _ in range(8)]
