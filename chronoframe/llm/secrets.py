@@ -2,9 +2,9 @@
 
 Base candidates come from three patterns. Bare tokens (long, with upper case, lower case and a
 digit) are candidates too, but a shape alone says little: the hash of every candidate is counted
-over the distinct repositories and owners of the whole corpus. A value that many owners hold is a
-copied example; one that few owners hold looks live. Bare tokens become spans only when they are
-owner-specific; base spans always stay and carry the same class.
+over the distinct repositories and owners of the whole corpus. A value that many owners hold, or that is
+spread over many repositories, is a copied example; one of few owners and repositories looks live. Bare
+tokens become spans only when they look live; base spans always stay and carry the same class.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ TOKEN = r"[A-Za-z0-9_-]{20,}"
 ASSIGN_VALUE = 12
 #: From so many distinct owners on, a value counts as a widely copied example.
 SHARED_OWNERS = 3
+#: From so many distinct repositories on it does too, even where they belong to one or two owners.
+SHARED_REPOS = 6
 
 
 def _found(text: Column, kind: int, pattern: str, group: int = 0) -> Column:
@@ -49,14 +51,16 @@ def _found(text: Column, kind: int, pattern: str, group: int = 0) -> Column:
 
 
 def candidates(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with ``base`` and ``bare`` candidate arrays; null text reads as empty.
+    """``df`` with ``base`` and ``bare`` candidate arrays (columns of those names are replaced); null text
+    reads as empty.
 
     ACCESS and HEX state their length in the pattern, which keeps the same matches as dropping short
     ones (a shorter run cannot hold a longer match). ASSIGN consumes short values, so those are
     dropped afterwards.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    out = df.select("*", F.filter(_found(text, 0, ASSIGN, 2), lambda s: F.length(s["value"]) >= ASSIGN_VALUE).alias("_a"), _found(text, 1, ACCESS).alias("_k"), _found(text, 2, HEX).alias("_h"), _found(text, 3, TOKEN).alias("_t"))
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in ("base", "bare")]
+    out = df.select(*rest, F.filter(_found(text, 0, ASSIGN, 2), lambda s: F.length(s["value"]) >= ASSIGN_VALUE).alias("_a"), _found(text, 1, ACCESS).alias("_k"), _found(text, 2, HEX).alias("_h"), _found(text, 3, TOKEN).alias("_t"))
     out = out.withColumn("base", F.array_sort(F.concat("_a", "_k", "_h")))
 
     def lone(s: Column) -> Column:
@@ -77,15 +81,15 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.sum("n").alias("n_rows"), F.sum("repos").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
 
 
-def _classed(rows: DataFrame, shared_owners: int) -> DataFrame:
-    """Rows with ``_row, owner, repo, base, bare`` -> ``(_row, spans)``, spans with their class.
+def _classed(rows: DataFrame, shared_owners: int, shared_repos: int) -> DataFrame:
+    """Rows with ``_row, owner, repo, base, bare`` -> ``(_row, spans)``, spans with their class and counts.
 
     Bare tokens of shared values are left out here; rows without a candidate have no row.
     """
     each = rows.select("_row", "owner", "repo", F.explode(F.concat("base", "bare")).alias("s")).withColumn("hash", F.xxhash64("s.value"))
-    counts = ownership(each.select("hash", "owner", "repo")).withColumn("live", F.col("n_owners") < shared_owners)
-    each = each.select("_row", "hash", "s").join(counts.select("hash", "live"), "hash").where(F.col("live") | (F.col("s.kind") < 3))
-    span = F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), F.col("live").alias("live"))
+    counts = ownership(each.select("hash", "owner", "repo")).withColumn("live", (F.col("n_owners") < shared_owners) & (F.col("n_repos") < shared_repos))
+    each = each.select("_row", "hash", "s").join(counts.select("hash", "live", "n_owners", "n_repos"), "hash").where(F.col("live") | (F.col("s.kind") < 3))
+    span = F.struct(F.col("s.start").alias("start"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), F.col("live").alias("live"), F.col("n_owners").alias("owners"), F.col("n_repos").alias("repos"))
     return each.groupBy("_row").agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
 
@@ -94,18 +98,19 @@ def _text_of(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(name, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "lang", shared_owners: int = SHARED_OWNERS) -> DataFrame:
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "lang", shared_owners: int = SHARED_OWNERS, shared_repos: int = SHARED_REPOS) -> DataFrame:
     """One row for each row of ``df``: ``doc_id, n_assign, n_access, n_hex, n_token, n_live, n_shared,
-    base_sha256, spans``.
+    most_owners, most_repos, base_sha256, spans``.
 
     n_assign, n_access and n_hex count base spans, n_token added ones; n_live and n_shared split all
-    spans by ownership. A repository is (owner_col, repo_col). Null or empty text has no spans and the
+    spans by ownership; most_owners and most_repos are the counts of the row's most spread value (0 without
+    a span). A repository is (owner_col, repo_col). Null or empty text has no spans and the
     sha256 of the empty string. Ids may be null or repeated; other columns are ignored.
     """
     scratch = Scratch(df.sparkSession, "secrets")
     rows = candidates(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(owner_col).alias("owner"), F.col(repo_col).alias("repo")))
     rows = scratch.table(rows.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "owner", "repo", "base", "bare"))
-    spans = _classed(rows.where(F.size("base") + F.size("bare") > 0), shared_owners)
+    spans = _classed(rows.where(F.size("base") + F.size("bare") > 0), shared_owners, shared_repos)
     out = rows.join(spans, "_row", "left").withColumn("spans", F.coalesce("spans", F.array()))
     number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
     return out.select(
@@ -116,12 +121,14 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
         F.size(F.filter("spans", lambda s: s["kind"] == 3)).cast("bigint").alias("n_token"),
         F.size(F.filter("spans", lambda s: s["live"])).cast("bigint").alias("n_live"),
         F.size(F.filter("spans", lambda s: ~s["live"])).cast("bigint").alias("n_shared"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["owners"])), F.lit(0)).cast("bigint").alias("most_owners"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["repos"])), F.lit(0)).cast("bigint").alias("most_repos"),
         F.sha2(_text_of(F.col("base")), 256).alias("base_sha256"),
         _text_of(F.col("spans")).alias("spans"),
     )
 
 
-def redact(df: DataFrame, text_col: str = "text", owner_col: str = "source", repo_col: str = "lang", shared_owners: int = SHARED_OWNERS, mark: str = "[SECRET]") -> DataFrame:
+def redact(df: DataFrame, text_col: str = "text", owner_col: str = "source", repo_col: str = "lang", shared_owners: int = SHARED_OWNERS, shared_repos: int = SHARED_REPOS, mark: str = "[SECRET]") -> DataFrame:
     """``df`` with every live-looking span of its text replaced by ``mark``; all rows and columns stay.
 
     Rows without a candidate, and null texts, pass as they are. Values that many owners hold are
@@ -131,10 +138,12 @@ def redact(df: DataFrame, text_col: str = "text", owner_col: str = "source", rep
     names = df.columns
     own = F.struct(*[F.col(f"`{c}`") for c in names]).alias("_own")
     found = candidates(df.select(own, F.col(f"`{text_col}`").alias("_text"), F.col(f"`{owner_col}`").alias("owner"), F.col(f"`{repo_col}`").alias("repo")), "_text")
+    # one table of all rows, so that the patterns are searched once; it holds the text once, in _own
+    found = scratch.table(found.select(F.monotonically_increasing_id().alias("_row"), "_own", "owner", "repo", "base", "bare"))
     some = F.size("base") + F.size("bare") > 0
     kept = found.where(~some).select("_own.*")
-    hit = scratch.table(found.where(some).select(F.monotonically_increasing_id().alias("_row"), "_own", "_text", "owner", "repo", "base", "bare"))
-    live = _classed(hit, shared_owners).select("_row", F.filter("spans", lambda s: s["live"]).alias("spans"))
+    hit = found.where(some).withColumn("_text", F.coalesce(F.col(f"_own.`{text_col}`").cast("string"), F.lit("")))
+    live = _classed(hit, shared_owners, shared_repos).select("_row", F.filter("spans", lambda s: s["live"]).alias("spans"))
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.col("_text").substr(acc["at"] + 1, s["start"] - acc["at"])
@@ -175,16 +184,19 @@ WITH d AS (
   SELECT * FROM b AS t WHERE kind = 3 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]')
     AND NOT EXISTS (SELECT 1 FROM b AS o WHERE o.kind < 3 AND o.rid = t.rid AND o.a < t.z AND t.a < o.z)
 ), f AS (
-  SELECT value, count(DISTINCT coalesce(owner, '')) < {SHARED_OWNERS} AS live FROM c GROUP BY value
+  SELECT value, count(DISTINCT (owner IS NULL, coalesce(owner, ''))) AS owners,
+         count(DISTINCT (owner IS NULL, coalesce(owner, ''), repo IS NULL, coalesce(repo, ''))) AS repos FROM c GROUP BY value
 ), l AS (
-  SELECT c.*, f.live, list_extract(['assign', 'access', 'hex', 'token'], kind + 1) || ':' || a || ':' || z AS w FROM c JOIN f USING (value)
+  SELECT c.*, owners, repos, owners < {SHARED_OWNERS} AND repos < {SHARED_REPOS} AS live, list_extract(['assign', 'access', 'hex', 'token'], kind + 1) || ':' || a || ':' || z AS w FROM c JOIN f USING (value)
 ), r AS (
   SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
          count(*) FILTER (kind = 3 AND live) AS n_token, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live AND kind < 3) AS n_shared,
+         max(owners) FILTER (kind < 3 OR live) AS most_owners, max(repos) FILTER (kind < 3 OR live) AS most_repos,
          string_agg(w, ',' ORDER BY a, kind) FILTER (kind < 3) AS base, string_agg(w, ',' ORDER BY a, kind) FILTER (kind < 3 OR live) AS spans
   FROM l GROUP BY rid
 )
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_token, 0) AS n_token,
-       coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+       coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared,
+       coalesce(most_owners, 0) AS most_owners, coalesce(most_repos, 0) AS most_repos, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN r USING (rid)
 """

@@ -25,22 +25,24 @@ def base(text):
 
 def brute(rows):
     """rows: (doc_id, text, source, lang) -> the query's rows."""
-    found, owners = [], defaultdict(set)
-    for _, text, owner, _ in rows:
+    found, owners, repos = [], defaultdict(set), defaultdict(set)
+    for _, text, owner, lang in rows:
         b = base(text)
         t = [(m.start(), 3, m.end(), m[0]) for m in re.finditer(r"[A-Za-z0-9_-]{20,}", text or "") if all(re.search(c, m[0]) for c in ("[0-9]", "[A-Z]", "[a-z]"))]
         t = [s for s in t if not any(o[0] < s[2] and s[0] < o[2] for o in b)]
         found.append((b, t))
         for s in b + t:
             owners[s[3]].add(owner)
+            repos[s[3]].add((owner, lang))
     names = ["assign", "access", "hex", "token"]
     say = lambda spans: ",".join(f"{names[k]}:{a}:{z}" for a, k, z, _ in sorted(spans))
     out = []
     for (i, *_), (b, t) in zip(rows, found):
-        live = lambda s: len(owners[s[3]]) < 3
+        live = lambda s: len(owners[s[3]]) < 3 and len(repos[s[3]]) < 6
         t = [s for s in t if live(s)]
+        most = [max((len(x[s[3]]) for s in b + t), default=0) for x in (owners, repos)]
         n = [sum(s[1] == k for s in b) for k in range(3)]
-        out.append((i, *n, len(t), sum(map(live, b + t)), sum(not live(s) for s in b), hashlib.sha256(say(b).encode()).hexdigest(), say(b + t)))
+        out.append((i, *n, len(t), sum(map(live, b + t)), sum(not live(s) for s in b), *most, hashlib.sha256(say(b).encode()).hexdigest(), say(b + t)))
     return out
 
 
@@ -49,6 +51,7 @@ def corpus():
     bits = ["password", "PassWD", "secret", "token", "API_KEY", "apikey", '"', "'", " ", "  ", ":", "=", "==", "AKIA", "ABCD1234EFGH5678", "deadbeef", "0123456789abcdef", "é😀", "\n", "x", "Zz9_", "Tok3nLongEnoughToCount1", ".", "/", "K", "ſecret"]
     rows = [(None, "token=abcdefghijkl", "s", None), (1, None, None, None), (2, "", "a", "b"), (3, "é😀 AKIAABCD1234EFGH56 " * 300, "a", "b"), (4, "w " * 40000, "a", "b")]
     rows += [(k, "".join(rng.choice(bits) for _ in range(rng.randint(0, 40))), rng.choice(["a", "b", "c", "d", None]), rng.choice(["x", "y"])) for k in range(10, 300)]
+    rows += [(400 + k, f"vendored secret: onlyOneOwnerManyRepos{k % 2}", "big", f"r{k // 2 if k % 2 else 0}") for k in range(14)]
     return rows + [(7, rows[0][1], "s", None)] * 2
 
 
