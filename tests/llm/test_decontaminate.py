@@ -1,6 +1,9 @@
 import random
+from itertools import combinations
 
-from chronoframe.llm.decontaminate import MASKS, Index, decontaminate, find_overlaps, overlaps, words_of
+import pytest
+
+from chronoframe.llm.decontaminate import MASKS, Index, _ids, decontaminate, find_overlaps, overlaps, words_of
 
 
 def vocab(rng, n=400):
@@ -14,7 +17,7 @@ def brute(docs, items, least=0.8):
         w = words_of((t or "").encode())
         for i, s in items:
             x = words_of((s or "").encode())
-            if len(x) < 5:
+            if not x:
                 continue
             best = max((sum(0 <= s0 + k < len(w) and w[s0 + k] == x[k] for k in range(len(x))) for s0 in range(-len(x), len(w) + 1)), default=0)
             if best >= least * len(x) - 1e-9:
@@ -40,19 +43,37 @@ def planted(rng, v):
 def test_against_brute_force(spark):
     rng = random.Random(8)
     docs, items = planted(rng, vocab(rng))
-    items += [(90, None), (91, ""), (92, "too few words"), (93, items[0][1])]
-    docs += [(None, None), (500, ""), (501, items[3][1]), (501, items[3][1]), (502, "pad " * 30000 + items[4][1])]
+    items += [(90, None), (91, ""), (92, "few words"), (93, items[0][1]), (94, "lone"), (95, " ... ")]
+    docs += [(None, None), (500, ""), (501, items[3][1]), (501, items[3][1]), (502, "pad " * 30000 + items[4][1]), (503, "a FEW, words here"), (504, "few other words"), (505, "a lone word")]
     want = brute(docs, items)
-    assert any(i == 93 for _, i in want)
+    assert any(i == 93 for _, i in want) and {(503, 92), (505, 94)} <= want
     df = spark.createDataFrame([(d, t, 7) for d, t in docs], "doc_id long, text string, item_id int")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (8_000, 7):
-        got = find_overlaps(df, bench, block_items=block).collect()
-        assert {(r["doc_id"], r["item_id"]) for r in got} == want
+    rows = [sorted(map(tuple, find_overlaps(df, bench, most_items=most).collect())) for most in (30_000, 7)]
+    assert rows[0] == rows[1]
+    got = find_overlaps(df, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
     assert len([r for r in got if (r["doc_id"], r["item_id"]) == (501, 3)]) == 2
     kept = sorted(str(r["doc_id"]) for r in decontaminate(df, bench).collect())
     assert kept == sorted(str(d) for d, _ in docs if d not in {x for x, _ in want})
-    assert decontaminate(df, bench, block_items=7).count() == len(kept)
+    joined = decontaminate(df, bench, most_items=7)
+    assert joined.columns == df.columns and sorted(str(r["doc_id"]) for r in joined.collect()) == kept
+    with pytest.raises(ValueError):
+        decontaminate(df, bench, overlap=0.5)
+
+
+def test_every_placement_of_allowed_substitutions_is_found():
+    for n in range(1, 21):
+        x = [f"w{k}" for k in range(n)]
+        index = Index.of([("item", " ".join(x))])
+        most = n - -(-4 * n // 5)
+        for gone in combinations(range(n), most):
+            y = ["other" if k in gone else w for k, w in enumerate(x)]
+            ids = _ids([w.encode() for w in y])
+            assert 0 in index.alignments(ids)[2], (n, gone)
+            if n < 12:
+                assert overlaps(" ".join(["pre", *y, "post"]).encode(), index)[0][2] == n - most
+        assert not overlaps(" ".join(x[: n - most - 1] + ["other"] * (most + 1)).encode(), index)
 
 
 def test_every_fifth_word_substituted_and_words_put_in():
