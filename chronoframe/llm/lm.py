@@ -1,13 +1,20 @@
 """Language-model scores: a hashed maximum-entropy model with a class-factored softmax.
 
-P(w | h) = P(class | h) P(slot | class, h). Both factors are softmaxes over sums of hashed feature
-weights: the word before, the word before that (a skip feature) and the pair of them. The
-``CLASSES * (SLOTS - 1)`` most frequent words have a slot each; every other word belongs to the last slot
-of a class by its hash, where it has its add-one share of that slot's training tokens (unseen words
+P(w | h) = P(class | h) P(group | class, h) P(slot | class, group, h). All three factors are softmaxes over
+sums of hashed feature weights: the word before, the word before that (a skip feature) and the pair of them.
+Each has ``arity`` outcomes, so a token costs three short softmaxes however many words there are. The
+most frequent words, arity**2 * (arity - 1) of them, have a slot each; every other word belongs to the last
+slot of a group by its hash, where it has its add-one share of that slot's training tokens (unseen words
 share one).
 
+The model grows with the training tokens N: arity is N**(1/6), so about sqrt(N) words have a slot of their own
+(2,000 at 3 million tokens, 9,000 at 80 million, 70,000 at 5 billion), and each factor hashes its features
+to a number of rows that grows with N**(1/4). Tasks that train in parallel are as many as keep the
+weights they send in proportion to the text.
+
 Counts cover all training tokens. They stay in hash buckets; the words above a count that at most
-``HEAD`` words reach are broadcast, and the counts of all others come to a document by a bucketed join
+``HEAD`` words (or those with a slot, where these are more) reach are broadcast, and the counts of all others
+come to a document by a bucketed join
 of (word, document) against the count table, so no table of all words is ever gathered. Training passes
 over all training texts once, in ``ROUNDS`` rounds: tasks take Adagrad steps from the shared weights
 over their own texts, and the weights are averaged by tokens after each round.
@@ -24,12 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, spans, text_buffer
+from .common import DEALT, Scratch, deal, dealt_again, fan, pack, spans, text_buffer, unpack
 from .sums import tree_sum
 
-CLASSES, SLOTS = 16, 16
-BUCKETS = 1 << 14
+#: Outcomes of a factor at least; feature rows of a factor at a million training tokens, and at least.
+ARITY, ROWS = 6, 8_192
 ROUNDS = 3
+#: Bytes of weights that the training tasks of a round send, as a share of the text's, and such tasks at least.
+SENT, TRAINERS = 0.17, 8
 STEP = 0.08
 BATCH = 20_000
 #: Words of which the counts are broadcast (12 bytes each).
@@ -60,33 +69,12 @@ def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes.view(np.uint64) >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
 
 
-def _pack(*cols: np.ndarray) -> bytes:
-    return np.int64(len(cols[0])).tobytes() + b"".join(np.ascontiguousarray(c).tobytes() for c in cols)
-
-
-def _unpack(blobs, types) -> list[np.ndarray]:
-    got: list[list] = [[] for _ in types]
-    for b in blobs:
-        n, at = int(np.frombuffer(b, np.int64, 1)[0]), 8
-        for k, t in enumerate(types):
-            got[k].append(np.frombuffer(b, t, n, at))
-            at += n * np.dtype(t).itemsize
-    return [np.concatenate(g) if g else np.zeros(0, t) for g, t in zip(got, types)]
-
-
-def _deal(kind: int, part: np.ndarray, parts: int, *cols: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(part, kind="stable")
-    edge = np.searchsorted(part[order], np.arange(parts + 1))
-    live = [p for p in range(parts) if edge[p + 1] > edge[p]]
-    blobs = [_pack(*[c[order[edge[p] : edge[p + 1]]] for c in cols]) for p in live]
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(live), pa.int32()), pa.array(live, pa.int32()), pa.array(blobs, pa.binary())], names=["kind", "part", "blob"])
-
-
-_DEALT = "kind int, part int, blob binary"
-_COUNT = (np.int64, np.int64)
-_NEED = (np.int64, np.int64, np.int32)
-_DOC = (np.int64, np.int64, np.int8, np.int8, np.int64, np.int64, np.float64, np.float64)
-_SUM = (np.int64, np.float64, np.int64)
+_COUNT, _NEED, _DOC, _SUM = (
+    [(t, 1) for t in types]
+    for types in ((np.int64, np.int64), (np.int64, np.int64, np.int32), (np.int64, np.int64, np.int8, np.int8, np.int64, np.int64, np.float64, np.float64), (np.int64, np.float64, np.int64))
+)
+#: Kinds of dealt rows: words with counts or requests by word, documents and their sums by document.
+WORD, DOC, SUM = range(3)
 
 
 def _chunks(column, size: int = 1 << 20):
@@ -114,19 +102,20 @@ def count_words(texts: DataFrame, parts: int) -> DataFrame:
                     held = [add()]
                     n = len(held[0][0])
                     if n > AT_ONCE:
-                        yield _deal(0, _part(held[0][0], parts), parts, *held[0])
+                        yield deal(WORD, _part(held[0][0], parts) // fan(parts), *held[0])
                         held, n = [], 0
         if held:
             key, count = add()
-            yield _deal(0, _part(key, parts), parts, key, count)
+            yield deal(WORD, _part(key, parts) // fan(parts), key, count)
 
     def bucket(table: pa.Table) -> pa.Table:
-        key, n = _unpack([x.as_py() for x in table.column("blob")], _COUNT)
+        key, n = unpack([x.as_py() for x in table.column("blob")], _COUNT)
         key, back = np.unique(key, return_inverse=True)
         n = np.bincount(back, n, minlength=len(key)).astype(np.int64)
-        return pa.table({"part": table.column("part")[:1], "n_words": pa.array([len(key)], pa.int64()), "n_tokens": pa.array([int(n.sum())], pa.int64()), "blob": pa.array([_pack(key, n)], pa.binary())})
+        return pa.table({"part": table.column("part")[:1], "n_words": pa.array([len(key)], pa.int64()), "n_tokens": pa.array([int(n.sum())], pa.int64()), "blob": pa.array([pack(key, n)], pa.binary())})
 
-    return texts.mapInArrow(run, _DEALT).groupBy("part").applyInArrow(bucket, "part int, n_words long, n_tokens long, blob binary")
+    dealt = dealt_again(texts.mapInArrow(run, DEALT), parts, {WORD: (_COUNT, lambda key, _: _part(key, parts))})
+    return dealt.groupBy("part").applyInArrow(bucket, "part int, n_words long, n_tokens long, blob binary")
 
 
 def head_of(counts: DataFrame, size: int = HEAD) -> tuple[np.ndarray, np.ndarray, int]:
@@ -136,7 +125,7 @@ def head_of(counts: DataFrame, size: int = HEAD) -> tuple[np.ndarray, np.ndarray
     def steps(batches):
         for b in batches:
             for x in b.column("blob"):
-                v, n = np.unique(_unpack([x.as_py()], _COUNT)[1], return_counts=True)
+                v, n = np.unique(unpack([x.as_py()], _COUNT)[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(n)], names=["n", "words"])
 
     least, words = None, 0
@@ -152,39 +141,58 @@ def head_of(counts: DataFrame, size: int = HEAD) -> tuple[np.ndarray, np.ndarray
     def pick(batches):
         for b in batches:
             for x in b.column("blob"):
-                key, n = _unpack([x.as_py()], _COUNT)
-                yield pa.RecordBatch.from_arrays([pa.array([_pack(key[n >= least], n[n >= least])], pa.binary())], names=["blob"])
+                key, n = unpack([x.as_py()], _COUNT)
+                yield pa.RecordBatch.from_arrays([pa.array([pack(key[n >= least], n[n >= least])], pa.binary())], names=["blob"])
 
-    key, n = _unpack([r["blob"] for r in counts.mapInArrow(pick, "blob binary").collect()], _COUNT)
+    key, n = unpack([r["blob"] for r in counts.mapInArrow(pick, "blob binary").collect()], _COUNT)
     order = np.argsort(key)
     return key[order], n[order], int(least) - 1
 
 
 class Shape:
-    """Classes and slots of words; the words without a slot of their own, by class."""
-
-    def __init__(self, key: np.ndarray, count: np.ndarray):
-        top = np.lexsort((key, -count))[: CLASSES * (SLOTS - 1)]
+    """Sizes of the model, and classes, groups and slots of words. A word's group is its class times
+    ``arity`` and its place in it."""
+
+    def __init__(self, key: np.ndarray, count: np.ndarray, tokens: int):
+        self.arity = max(ARITY, int(np.ceil(max(tokens, 1) ** (1 / 6))))
+        self.rows = int(ROWS * max(1.0, (tokens / 1e6) ** 0.25))
+        self.groups, self.rest = self.arity**2, self.arity - 1
+        top = np.lexsort((key, -count))[: self.groups * self.rest]
         rank = np.arange(len(top))
         order = np.argsort(key[top])
         self.key = key[top][order]
-        self.cls = (rank % CLASSES)[order].astype(np.int64)
-        self.slot = (rank // CLASSES)[order].astype(np.int64)
-        self.rest_log = np.zeros(CLASSES)
+        self.group = (rank % self.groups)[order].astype(np.int64)
+        self.slot = (rank // self.groups)[order].astype(np.int64)
+        self.rest_log = np.zeros(self.groups)
+
+    @property
+    def size(self) -> int:
+        return 3 * self.rows * self.arity
 
     def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(class, slot) of distinct words."""
-        cls = ((words.view(np.uint64) * _MIX[0]) >> np.uint64(40)).astype(np.int64) % CLASSES
-        slot = np.full(len(words), SLOTS - 1)
+        """(group, slot) of distinct words."""
+        group = ((words.view(np.uint64) * _MIX[0]) >> np.uint64(24)).astype(np.int64) % self.groups
+        slot = np.full(len(words), self.rest)
         if len(self.key):
             at = np.minimum(np.searchsorted(self.key, words), len(self.key) - 1)
             hit = self.key[at] == words
-            cls[hit], slot[hit] = self.cls[at[hit]], self.slot[at[hit]]
-        return cls, slot
+            group[hit], slot[hit] = self.group[at[hit]], self.slot[at[hit]]
+        return group, slot
+
+    def factors(self, feats: np.ndarray, group: np.ndarray, slot: np.ndarray):
+        """For each factor its feature rows and outcomes; the rows of later factors hold what came before."""
+        first = group // self.arity
+        yield (feats % np.uint64(self.rows)).astype(np.int32), first
+        for given, y in ((first + 1, group % self.arity), (group + self.arity + 1, slot)):
+            mixed = (feats ^ given.astype(np.uint64) * _MIX[2]) * _MIX[3]
+            yield ((mixed >> np.uint64(20)) % np.uint64(self.rows)).astype(np.int32), y
+
+    def split(self, flat: np.ndarray) -> np.ndarray:
+        return flat[: self.size].reshape(3, self.rows, self.arity)
 
 
 def features(tok: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Hashed features of every token's history, [3, tokens]; texts start after two start marks."""
+    """Hashes of every token's history, [3, tokens]; texts start after two start marks."""
     t = tok.view(np.uint64)
     one, two = np.full(len(t), _START), np.full(len(t), _START)
     one[1:], two[2:] = t[:-1], t[:-2]
@@ -195,98 +203,91 @@ def features(tok: np.ndarray, at: np.ndarray) -> np.ndarray:
     a = one * _MIX[1]
     b = (two ^ _MIX[2]) * _MIX[3]
     pair = (a ^ (b >> np.uint64(17))) * _MIX[2]
-    return np.stack([a >> np.uint64(50), b >> np.uint64(50), pair >> np.uint64(50)]).astype(np.int64)
-
+    return np.stack([a >> np.uint64(20), b >> np.uint64(20), pair >> np.uint64(20)])
 
-def _within(feats: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    """The buckets of the same features within a class."""
-    return (feats * 40503 + cls * 9973 + 7919) & (BUCKETS - 1)
 
-
-def _softmax(table: np.ndarray, feats: np.ndarray) -> np.ndarray:
-    z = table[feats[0]] + table[feats[1]] + table[feats[2]]
+def _softmax(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    z = table[rows[0]]
+    z += table[rows[1]]
+    z += table[rows[2]]
     z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
     z /= z.sum(axis=1, keepdims=True)
     return z
 
 
-def _gradient(p: np.ndarray, feats: np.ndarray, truth: np.ndarray) -> np.ndarray:
-    p[np.arange(len(truth)), truth] -= 1
-    n = p.shape[1]
-    cell = (feats[:, :, None] * n + np.arange(n)).reshape(-1)
-    return np.bincount(cell, np.broadcast_to(p, (3, *p.shape)).reshape(-1), minlength=BUCKETS * n).reshape(BUCKETS, n)
-
+def _gradient(p: np.ndarray, rows: np.ndarray, truth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows and the gradient of each."""
+    n = len(truth)
+    p[np.arange(n), truth] -= 1
+    flat = rows.reshape(-1)
+    order = np.argsort(flat.astype(np.uint16) if flat.max() < 1 << 16 else flat, kind="stable")
+    own = flat[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    return own[first], np.add.reduceat(p[order % n], first, axis=0)
 
-_SIZE = BUCKETS * (CLASSES + SLOTS)
 
-
-def _split(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return flat[: BUCKETS * CLASSES].reshape(BUCKETS, CLASSES), flat[BUCKETS * CLASSES : _SIZE].reshape(BUCKETS, SLOTS)
-
-
-def train(texts: DataFrame, shape: Shape) -> np.ndarray:
-    """``texts(text, turn)`` with turn below ROUNDS -> weights of both softmaxes (flat float32)."""
-    flat = np.zeros(_SIZE, np.float32)
+def train(texts: DataFrame, shape: Shape, chars: int) -> np.ndarray:
+    """``texts(text, turn)`` with turn below ROUNDS, of about ``chars`` bytes -> weights (flat float32)."""
+    context = texts.sparkSession.sparkContext
+    flat = np.zeros(shape.size, np.float32)
+    tasks = max(TRAINERS, int(SENT * chars / flat.nbytes))
     for turn in range(ROUNDS):
+        sent = context.broadcast(flat)
 
-        def run(batches, flat=flat):
-            start = [w.copy() for w in _split(flat)]
-            tables = [w.copy() for w in start]
-            seen = [np.full(w.shape, 1e-2, np.float32) for w in start]
-            n = 0
+        def run(batches, sent=sent):
+            start = shape.split(sent.value)
+            tables, seen, n = start.copy(), np.full(start.shape, 1e-2, np.float32), 0
             for b in batches:
                 for _, _, tok, at in _chunks(b.column(0), 1 << 19):
                     feats = features(tok, at)
                     words, back = np.unique(tok, return_inverse=True)
-                    cls, slot = (x[back] for x in shape.of(words))
+                    group, slot = (x[back] for x in shape.of(words))
                     for i in range(0, len(tok), BATCH):
-                        f, c, s = feats[:, i : i + BATCH], cls[i : i + BATCH], slot[i : i + BATCH]
-                        for k, (ff, y) in enumerate(((f, c), (_within(f, c), s))):
-                            g = _gradient(_softmax(tables[k], ff), ff, y).astype(np.float32)
-                            seen[k] += g * g
-                            tables[k] -= STEP * g / np.sqrt(seen[k])
+                        cut = slice(i, i + BATCH)
+                        for table, s, (rows, y) in zip(tables, seen, shape.factors(feats[:, cut], group[cut], slot[cut])):
+                            own, g = _gradient(_softmax(table, rows), rows, y)
+                            squares = s[own] + g * g
+                            s[own] = squares
+                            table[own] -= STEP * g / np.sqrt(squares)
                     n += len(tok)
             if n:
-                total = np.concatenate([((t - w) * n).reshape(-1) for t, w in zip(tables, start)] + [np.array([n], np.float32)])
+                total = np.append(((tables - start) * n).reshape(-1), np.float32(n))
                 yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["part"])
 
-        got = tree_sum(texts.where(F.col("turn") == turn).select("text").mapInArrow(run, "part binary"), _SIZE + 1, np.float32)
+        mine = texts.where(F.col("turn") == turn).select("text").coalesce(tasks)
+        got = tree_sum(mine.mapInArrow(run, "part binary"), shape.size + 1, np.float32)
+        sent.unpersist()
         if got[-1]:
             flat = (flat + got[:-1] / got[-1]).astype(np.float32)
     return flat
 
 
-class Model:
-    def __init__(self, shape: Shape, flat: np.ndarray):
-        self.shape, self.flat = shape, flat
-
-    def log10(self, tok: np.ndarray, at: np.ndarray, cls: np.ndarray, slot: np.ndarray) -> np.ndarray:
-        """log10 P(class, slot | history) of every token, in sparse batches."""
-        by_class, by_slot = _split(self.flat)
-        feats = features(tok, at)
-        out = np.empty(len(tok))
-        for i in range(0, len(tok), BATCH):
-            f, c, s = feats[:, i : i + BATCH], cls[i : i + BATCH], slot[i : i + BATCH]
-            rows = np.arange(len(c))
-            out[i : i + BATCH] = np.log10(np.maximum(_softmax(by_class, f)[rows, c], 1e-30)) + np.log10(np.maximum(_softmax(by_slot, _within(f, c))[rows, s], 1e-30))
-        return out
+def log10(flat: np.ndarray, shape: Shape, tok: np.ndarray, at: np.ndarray, group: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """log10 P(group, slot | history) of every token, in sparse batches."""
+    feats = features(tok, at)
+    out = np.zeros(len(tok))
+    for i in range(0, len(tok), BATCH):
+        cut = slice(i, i + BATCH)
+        for table, (rows, y) in zip(shape.split(flat), shape.factors(feats[:, cut], group[cut], slot[cut])):
+            out[cut] += np.log10(np.maximum(_softmax(table, rows)[np.arange(len(y)), y], 1e-30))
+    return out
 
 
 def _rest(counts: DataFrame, shape: Shape) -> np.ndarray:
-    """Tokens and distinct words of every class's last slot, [2, CLASSES]."""
+    """Tokens and distinct words of every group's last slot, [2, groups]."""
 
     def run(batches):
-        total = np.zeros((2, CLASSES))
+        total = np.zeros((2, shape.groups))
         for b in batches:
             for x in b.column("blob"):
-                key, n = _unpack([x.as_py()], _COUNT)
-                cls, slot = shape.of(key)
-                last = slot == SLOTS - 1
-                total += [np.bincount(cls[last], n[last], minlength=CLASSES), np.bincount(cls[last], minlength=CLASSES)]
+                key, n = unpack([x.as_py()], _COUNT)
+                group, slot = shape.of(key)
+                last = slot == shape.rest
+                total += [np.bincount(group[last], n[last], minlength=shape.groups), np.bincount(group[last], minlength=shape.groups)]
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
-    return tree_sum(counts.mapInArrow(run, "part binary"), 2 * CLASSES).reshape(2, CLASSES)
+    return tree_sum(counts.mapInArrow(run, "part binary"), 2 * shape.groups).reshape(2, shape.groups)
 
 
 def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", turn: Column | None = None, head_size: int = HEAD) -> DataFrame:
@@ -294,7 +295,7 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
 
     base_score is the add-one unigram log10 probability, score the model's. Ids are integers; null ids,
     null texts (read as empty) and repeated rows count like any other. Without training rows every word
-    is unseen and the model is uniform over classes and slots.
+    is unseen and the model is uniform over classes, groups and slots.
     """
     scratch = Scratch(df.sparkSession, "lm")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -306,11 +307,12 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
     counts = scratch.table(count_words(learnt.select("text"), parts))
     size = counts.agg(F.sum("n_tokens"), F.sum("n_words")).first()
     n_train, n_words = int(size[0] or 0), int(size[1] or 0)
-    key, count, tail_below = head_of(counts, head_size)
-    shape = Shape(key, count)
+    own_words = int(max(1, n_train) ** 0.5)
+    key, count, tail_below = head_of(counts, max(head_size, 2 * own_words) if head_size else 0)
+    shape = Shape(key, count, n_train)
     rest = _rest(counts, shape)
     shape.rest_log = np.log10(rest.sum(axis=0) + 1)
-    model = Model(shape, train(learnt, shape))
+    weights = df.sparkSession.sparkContext.broadcast(train(learnt, shape, chars))
     log_head = np.log10(count + 1.0)
     log_all = np.log10(n_train + (n_words + 1.0))
 
@@ -322,7 +324,7 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
             number = ids.fill_null(0).to_numpy(zero_copy_only=False)
             for i, j, tok, at in _chunks(b.column(2)):
                 words, back = np.unique(tok, return_inverse=True)
-                cls, slot = shape.of(words)
+                group, slot = shape.of(words)
                 found = np.zeros(len(words), bool)
                 logs = np.zeros(len(words))
                 if len(key):
@@ -330,48 +332,51 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
                     found = key[pos] == words
                     logs[found] = log_head[pos[found]]
                 tail = ~found & (tail_below > 0)
-                share = np.where(slot == SLOTS - 1, logs - shape.rest_log[cls], 0.0)  # tail counts follow by the join
-                own = model.log10(tok, at, cls[back], slot[back]) + share[back]
+                share = np.where(slot == shape.rest, logs - shape.rest_log[group], 0.0)  # tail counts follow by the join
+                own = log10(weights.value, shape, tok, at, group[back], slot[back]) + share[back]
                 uid = serial + np.arange(j - i)
                 serial += j - i
                 doc = np.repeat(np.arange(j - i), np.diff(at))
                 n = np.diff(at)
                 base = np.add.reduceat(logs[back], at[:-1]) - n * log_all
                 known = np.add.reduceat(found[back].astype(np.int64), at[:-1])
-                yield _deal(1, uid % parts, parts, uid, number[i:j], have[i:j], held[i:j], n, known, base, np.add.reduceat(own, at[:-1]))
+                yield deal(DOC, uid % parts // fan(parts), uid, number[i:j], have[i:j], held[i:j], n, known, base, np.add.reduceat(own, at[:-1]))
                 need = np.flatnonzero(tail[back])
                 if len(need):
                     order = need[np.lexsort((tok[need], doc[need]))]
                     w, d = tok[order], doc[order]
                     new = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (d[1:] != d[:-1])]))
                     times = np.diff(np.append(new, len(w))).astype(np.int32)
-                    yield _deal(0, _part(w[new], parts), parts, w[new], uid[d[new]], times)
+                    yield deal(WORD, _part(w[new], parts) // fan(parts), w[new], uid[d[new]], times)
 
-    dealt = scratch.table(docs.select("doc_id", "held_out", "text").mapInArrow(local, _DEALT))
+    by_doc = lambda uid, *_: uid % parts
+    owners = {WORD: (_NEED, lambda word, *_: _part(word, parts)), DOC: (_DOC, by_doc), SUM: (_SUM, by_doc)}
+    dealt = scratch.table(dealt_again(docs.select("doc_id", "held_out", "text").mapInArrow(local, DEALT), parts, owners))
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = _deal(2, np.zeros(0, np.int64), parts, *[np.zeros(0, t) for t in _SUM])
+        empty = deal(SUM, np.zeros(0, np.int64), *[np.zeros(0, t) for t, _ in _SUM])
         if not left.num_rows or not right.num_rows:
             return pa.Table.from_batches([empty])
-        word, uid, times = _unpack([x.as_py() for x in left.column("blob")], _NEED)
-        own, n = _unpack([x.as_py() for x in right.column("blob")], _COUNT)
+        word, uid, times = unpack([x.as_py() for x in left.column("blob")], _NEED)
+        own, n = unpack([x.as_py() for x in right.column("blob")], _COUNT)
         at = np.minimum(np.searchsorted(own, word), len(own) - 1)
         hit = own[at] == word
         uid, times, logs = uid[hit], times[hit], np.log10(n[at[hit]] + 1.0)
         who, back = np.unique(uid, return_inverse=True)
         sums = np.bincount(back, times * logs, minlength=len(who))
         known = np.bincount(back, times, minlength=len(who)).astype(np.int64)
-        return pa.Table.from_batches([_deal(2, who % parts, parts, who, sums, known)])
+        return pa.Table.from_batches([deal(SUM, who % parts // fan(parts), who, sums, known)])
 
-    needs = dealt.where("kind = 0").groupBy("part")
-    more = needs.cogroup(counts.select("part", "blob").groupBy("part")).applyInArrow(look_up, _DEALT)
+    needs = dealt.where(f"kind = {WORD}").groupBy("part")
+    more = needs.cogroup(counts.select("part", "blob").groupBy("part")).applyInArrow(look_up, DEALT)
+    more = dealt_again(more, parts, owners)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def finish(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()
         blob = table.column("blob").to_pylist()
-        uid, ids, have, held, n, known, base, own = _unpack([x for x, k in zip(blob, kind) if k == 1], _DOC)
-        who, sums, extra = _unpack([x for x, k in zip(blob, kind) if k == 2], _SUM)
+        uid, ids, have, held, n, known, base, own = unpack([x for x, k in zip(blob, kind) if k == DOC], _DOC)
+        who, sums, extra = unpack([x for x, k in zip(blob, kind) if k == SUM], _SUM)
         order = np.argsort(uid)
         at = order[np.searchsorted(uid, who, sorter=order)] if len(who) else np.zeros(0, np.int64)
         add = np.bincount(at, sums, minlength=len(uid))
@@ -379,5 +384,5 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
         cols = [pa.array(ids, mask=have == 0), pa.array(held == 1), pa.array(n), pa.array(known), pa.array(np.full(len(n), n_train)), pa.array(base + add), pa.array(own + add)]
         return pa.table(dict(zip(names, cols)))
 
-    both = dealt.where("kind = 1").unionByName(more)
+    both = dealt.where(f"kind = {DOC}").unionByName(more)
     return both.groupBy("part").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

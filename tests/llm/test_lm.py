@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoframe.llm import lm
-from chronoframe.llm.lm import CLASSES, END, SLOTS, Shape, features, score, tokens
+from chronoframe.llm import common
+from chronoframe.llm.lm import END, Shape, features, score, tokens
 from chronoframe.llm.queries import op6_lm
 
 SF = "/root/testdata/sf0.01"
@@ -55,24 +56,31 @@ def test_the_model_is_a_distribution_and_beats_the_unigrams(spark):
     own, uni, n = (sum(r[c] for r in rows) for c in ("score", "base_score", "n_tokens"))
     assert own / n > uni / n  # log10 probability a token
     # probabilities of all words, seen and unseen, after one history
-    key = np.arange(1, 400, dtype=np.int64) * 7919
-    count = np.arange(1, 400)[::-1].astype(np.int64)
-    shape = Shape(key, count)
-    cls, slot = shape.of(key)
-    rest = slot == SLOTS - 1
-    totals = np.bincount(cls[rest], count[rest] + 1, minlength=CLASSES) + 1
-    rng = np.random.default_rng(0)
-    by_class, by_slot = rng.normal(size=(lm.BUCKETS, CLASSES)), rng.normal(size=(lm.BUCKETS, SLOTS))
-    f = np.array([[3], [5], [9]])
-    pc = lm._softmax(by_class, f)[0]
+    key = np.arange(1, 900, dtype=np.int64) * 7919
+    count = np.arange(1, 900)[::-1].astype(np.int64)
+    shape = Shape(key, count, 100)
+    group, slot = shape.of(key)
+    rest = slot == shape.rest
+    assert rest.any() and (~rest).sum() == shape.groups * shape.rest
+    totals = np.bincount(group[rest], count[rest] + 1, minlength=shape.groups) + 1
+    flat = np.random.default_rng(0).normal(size=shape.size).astype(np.float32)
+    history = np.array([[3], [5], [9]], np.uint64)
     total = 0.0
-    for c in range(CLASSES):
-        ps = lm._softmax(by_slot, lm._within(f, np.array([c])))[0]
-        own = (cls == c) & ~rest
-        total += pc[c] * ps[slot[own]].sum()
-        total += pc[c] * ps[SLOTS - 1] * (((count[(cls == c) & rest] + 1) / totals[c]).sum() + 1 / totals[c])
-        total += pc[c] * np.delete(ps[:-1], slot[own]).sum()  # slots without a word
-    assert total == pytest.approx(1)
+    for g in range(shape.groups):
+        p = 1.0
+        for table, (rows, y), last in zip(shape.split(flat), shape.factors(history, np.array([g]), np.array([0])), (0, 0, 1)):
+            p = p * (lm._softmax(table, rows)[0] if last else lm._softmax(table, rows)[0][y[0]])
+        own = (group == g) & ~rest
+        total += p[slot[own]].sum() + np.delete(p[:-1], slot[own]).sum()
+        total += p[shape.rest] * (((count[(group == g) & rest] + 1) / totals[g]).sum() + 1 / totals[g])
+    assert total == pytest.approx(1, abs=1e-5)
+
+
+def test_the_model_grows_with_the_tokens():
+    none = np.zeros(0, np.int64)
+    sizes = [(lambda s: (s.groups * s.rest, s.rows))(Shape(none, none, n)) for n in (3_400_000, 80_000_000, 5_000_000_000)]
+    assert sizes[0][0] > 1500 and sizes[1][0] > 8000 and sizes[2][0] > 65_000
+    assert sizes[0][1] < sizes[1][1] < sizes[2][1]
 
 
 def test_features_stop_at_the_start_of_a_text():
@@ -87,17 +95,30 @@ def test_features_stop_at_the_start_of_a_text():
 
 def test_gradient_against_differences():
     rng = np.random.default_rng(3)
-    t = rng.normal(size=(lm.BUCKETS, 4))
-    f, y = rng.integers(0, 50, (3, 30)), rng.integers(0, 4, 30)
-    g = lm._gradient(lm._softmax(t, f), f, y)
+    t = rng.normal(size=(60, 4))
+    f, y = rng.integers(0, 50, (3, 30)).astype(np.int32), rng.integers(0, 4, 30)
+    own, g = lm._gradient(lm._softmax(t, f), f, y)
+    assert own.tolist() == sorted(set(f.reshape(-1).tolist()))
     loss = lambda: -np.log(lm._softmax(t, f)[np.arange(30), y]).sum()
-    for b, c in ((f[0, 0], 1), (f[1, 3], 2), (60, 0)):
+    for b, c in ((f[0, 0], 1), (f[1, 3], 2), (f[2, 7], 0)):
         was = loss()
         t[b, c] += 1e-6
-        assert (loss() - was) / 1e-6 == pytest.approx(g[b, c], abs=1e-3)
+        assert (loss() - was) / 1e-6 == pytest.approx(g[np.searchsorted(own, b), c], abs=1e-3)
         t[b, c] -= 1e-6
 
 
+def test_groups_of_buckets(spark, monkeypatch):
+    rows = corpus()[:60]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted((tuple(r) for r in score(df, F.lit(False), head_size=12).collect()), key=str)
+    monkeypatch.setattr(lm, "TOKENS_TO_BUCKET", 10)
+    monkeypatch.setattr(common, "FAN", 3)
+    monkeypatch.setattr(common, "GATHERED", 300)
+    got = sorted((tuple(r) for r in score(df, F.lit(False), head_size=12).collect()), key=str)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert [g[5] for g in got] == pytest.approx([w[5] for w in want])
+
+
 def test_empty_and_untrained(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert score(df.where("false"), F.lit(False)).count() == 0
