@@ -2,6 +2,7 @@
 
 P(w | h) = P(class | h) P(group | class, h) P(slot | class, group, h). All three factors are softmaxes over
 sums of hashed feature weights: the word before, the word before that (a skip feature) and the pair of them.
+A factor starts at the unigram frequencies and the features move it from there.
 Each has ``arity`` outcomes, so a token costs three short softmaxes however many words there are. The
 most frequent words, arity**2 * (arity - 1) of them, have a slot each; every other word belongs to the last
 slot of a group by its hash, where it has its add-one share of that slot's training tokens (unseen words
@@ -163,7 +164,20 @@ class Shape:
         self.key = key[top][order]
         self.group = (rank % self.groups)[order].astype(np.int64)
         self.slot = (rank // self.groups)[order].astype(np.int64)
-        self.rest_log = np.zeros(self.groups)
+        self.count = count[top][order]
+        self.prior(np.zeros((2, self.groups)))
+
+    def prior(self, rest: np.ndarray) -> None:
+        """Set log frequencies of the outcomes from the words' counts and ``rest``, the tokens and distinct
+        words of every group's last slot. A slot without a word gets next to nothing."""
+        n = np.full((self.groups, self.arity), 1e-3)
+        n[self.group, self.slot] = self.count + 1.0
+        n[:, self.rest] = rest.sum(axis=0) + 1
+        self.rest_log = np.log10(n[:, self.rest])
+        by_group = n.sum(axis=1)
+        by_class = by_group.reshape(self.arity, -1).sum(axis=1)
+        levels = (by_class / by_class.sum(), by_group.reshape(self.arity, -1).T / by_class, n.T / by_group)
+        self.bias = [np.log(x.reshape(self.arity, -1)).astype(np.float32) for x in levels]
 
     @property
     def size(self) -> int:
@@ -180,15 +194,17 @@ class Shape:
         return group, slot
 
     def factors(self, feats: np.ndarray, group: np.ndarray, slot: np.ndarray):
-        """For each factor its feature rows and outcomes; the rows of later factors hold what came before."""
+        """For each factor its feature rows, log frequencies, which of these hold, and outcomes; later factors
+        are given what came before."""
         first = group // self.arity
-        yield (feats % np.uint64(self.rows)).astype(np.int32), first
-        for given, y in ((first + 1, group % self.arity), (group + self.arity + 1, slot)):
-            mixed = (feats ^ given.astype(np.uint64) * _MIX[2]) * _MIX[3]
-            yield ((mixed >> np.uint64(20)) % np.uint64(self.rows)).astype(np.int32), y
+        yield (feats % np.uint64(self.rows)).astype(np.int32), self.bias[0], np.zeros_like(first), first
+        for bias, given, mark, y in ((self.bias[1], first, 1, group % self.arity), (self.bias[2], group, self.arity + 1, slot)):
+            mixed = (feats ^ (given + mark).astype(np.uint64) * _MIX[2]) * _MIX[3]
+            yield ((mixed >> np.uint64(20)) % np.uint64(self.rows)).astype(np.int32), bias, given, y
 
     def split(self, flat: np.ndarray) -> np.ndarray:
-        return flat[: self.size].reshape(3, self.rows, self.arity)
+        """Weights by factor, outcome and feature row: what runs over a batch is contiguous."""
+        return flat[: self.size].reshape(3, self.arity, self.rows)
 
 
 def features(tok: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -206,25 +222,30 @@ def features(tok: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([a >> np.uint64(20), b >> np.uint64(20), pair >> np.uint64(20)])
 
 
-def _softmax(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = table[rows[0]]
-    z += table[rows[1]]
-    z += table[rows[2]]
-    z -= z.max(axis=1, keepdims=True)
+def _softmax(table: np.ndarray, rows: np.ndarray, bias: np.ndarray, given: np.ndarray) -> np.ndarray:
+    """Probabilities [outcomes, tokens]."""
+    z = np.empty((len(table), rows.shape[1]), table.dtype)
+    for out, own, start in zip(z, table, bias):
+        np.take(own, rows[0], out=out, mode="clip")
+        out += own.take(rows[1], mode="clip")
+        out += own.take(rows[2], mode="clip")
+        out += start.take(given, mode="clip")
+    z -= z.max(axis=0)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z /= z.sum(axis=0)
     return z
 
 
-def _gradient(p: np.ndarray, rows: np.ndarray, truth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows and the gradient of each."""
+def _gradient(p: np.ndarray, rows: np.ndarray, truth: np.ndarray, size: int) -> np.ndarray:
+    """Gradient by outcome and feature row."""
     n = len(truth)
-    p[np.arange(n), truth] -= 1
-    flat = rows.reshape(-1)
-    order = np.argsort(flat.astype(np.uint16) if flat.max() < 1 << 16 else flat, kind="stable")
-    own = flat[order]
-    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    return own[first], np.add.reduceat(p[order % n], first, axis=0)
+    p[truth, np.arange(n)] -= 1
+    flat, thrice = rows.reshape(-1).astype(np.intp), np.empty((3, n))
+    out = np.empty((len(p), size), p.dtype)
+    for k, own in enumerate(p):
+        thrice[:] = own
+        out[k] = np.bincount(flat, thrice.reshape(-1), minlength=size)
+    return out
 
 
 def train(texts: DataFrame, shape: Shape, chars: int) -> np.ndarray:
@@ -233,10 +254,11 @@ def train(texts: DataFrame, shape: Shape, chars: int) -> np.ndarray:
     flat = np.zeros(shape.size, np.float32)
     tasks = max(TRAINERS, int(SENT * chars / flat.nbytes))
     for turn in range(ROUNDS):
-        sent = context.broadcast(flat)
+        sent = context.broadcast((shape, flat))
 
         def run(batches, sent=sent):
-            start = shape.split(sent.value)
+            shape, flat = sent.value
+            start = shape.split(flat)
             tables, seen, n = start.copy(), np.full(start.shape, 1e-2, np.float32), 0
             for b in batches:
                 for _, _, tok, at in _chunks(b.column(0), 1 << 19):
@@ -245,11 +267,10 @@ def train(texts: DataFrame, shape: Shape, chars: int) -> np.ndarray:
                     group, slot = (x[back] for x in shape.of(words))
                     for i in range(0, len(tok), BATCH):
                         cut = slice(i, i + BATCH)
-                        for table, s, (rows, y) in zip(tables, seen, shape.factors(feats[:, cut], group[cut], slot[cut])):
-                            own, g = _gradient(_softmax(table, rows), rows, y)
-                            squares = s[own] + g * g
-                            s[own] = squares
-                            table[own] -= STEP * g / np.sqrt(squares)
+                        for table, s, (rows, bias, given, y) in zip(tables, seen, shape.factors(feats[:, cut], group[cut], slot[cut])):
+                            g = _gradient(_softmax(table, rows, bias, given), rows, y, shape.rows)
+                            s += g * g
+                            table -= STEP * g / np.sqrt(s)
                     n += len(tok)
             if n:
                 total = np.append(((tables - start) * n).reshape(-1), np.float32(n))
@@ -269,8 +290,8 @@ def log10(flat: np.ndarray, shape: Shape, tok: np.ndarray, at: np.ndarray, group
     out = np.zeros(len(tok))
     for i in range(0, len(tok), BATCH):
         cut = slice(i, i + BATCH)
-        for table, (rows, y) in zip(shape.split(flat), shape.factors(feats[:, cut], group[cut], slot[cut])):
-            out[cut] += np.log10(np.maximum(_softmax(table, rows)[np.arange(len(y)), y], 1e-30))
+        for table, (rows, bias, given, y) in zip(shape.split(flat), shape.factors(feats[:, cut], group[cut], slot[cut])):
+            out[cut] += np.log10(np.maximum(_softmax(table, rows, bias, given)[y, np.arange(len(y))], 1e-30))
     return out
 
 
@@ -295,7 +316,7 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
 
     base_score is the add-one unigram log10 probability, score the model's. Ids are integers; null ids,
     null texts (read as empty) and repeated rows count like any other. Without training rows every word
-    is unseen and the model is uniform over classes, groups and slots.
+    is unseen and the model is uniform over classes and groups.
     """
     scratch = Scratch(df.sparkSession, "lm")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -310,13 +331,13 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
     own_words = int(max(1, n_train) ** 0.5)
     key, count, tail_below = head_of(counts, max(head_size, 2 * own_words) if head_size else 0)
     shape = Shape(key, count, n_train)
-    rest = _rest(counts, shape)
-    shape.rest_log = np.log10(rest.sum(axis=0) + 1)
-    weights = df.sparkSession.sparkContext.broadcast(train(learnt, shape, chars))
+    shape.prior(_rest(counts, shape))
+    model = df.sparkSession.sparkContext.broadcast((shape, train(learnt, shape, chars)))
     log_head = np.log10(count + 1.0)
     log_all = np.log10(n_train + (n_words + 1.0))
 
     def local(batches):
+        shape, weights = model.value
         serial = (TaskContext.get().partitionId() + 1) << 40
         for b in batches:
             ids, held = b.column(0), b.column(1).to_numpy(zero_copy_only=False).astype(np.int8)
@@ -333,7 +354,7 @@ def score(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str
                     logs[found] = log_head[pos[found]]
                 tail = ~found & (tail_below > 0)
                 share = np.where(slot == shape.rest, logs - shape.rest_log[group], 0.0)  # tail counts follow by the join
-                own = log10(weights.value, shape, tok, at, group[back], slot[back]) + share[back]
+                own = log10(weights, shape, tok, at, group[back], slot[back]) + share[back]
                 uid = serial + np.arange(j - i)
                 serial += j - i
                 doc = np.repeat(np.arange(j - i), np.diff(at))

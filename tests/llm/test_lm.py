@@ -63,13 +63,16 @@ def test_the_model_is_a_distribution_and_beats_the_unigrams(spark):
     rest = slot == shape.rest
     assert rest.any() and (~rest).sum() == shape.groups * shape.rest
     totals = np.bincount(group[rest], count[rest] + 1, minlength=shape.groups) + 1
+    shape.prior(np.stack([np.bincount(group[rest], count[rest], minlength=shape.groups), np.bincount(group[rest], minlength=shape.groups)]))
+    assert shape.rest_log == pytest.approx(np.log10(totals))
     flat = np.random.default_rng(0).normal(size=shape.size).astype(np.float32)
     history = np.array([[3], [5], [9]], np.uint64)
     total = 0.0
     for g in range(shape.groups):
         p = 1.0
-        for table, (rows, y), last in zip(shape.split(flat), shape.factors(history, np.array([g]), np.array([0])), (0, 0, 1)):
-            p = p * (lm._softmax(table, rows)[0] if last else lm._softmax(table, rows)[0][y[0]])
+        for table, (rows, bias, given, y), last in zip(shape.split(flat), shape.factors(history, np.array([g]), np.array([0])), (0, 0, 1)):
+            one = lm._softmax(table, rows, bias, given)[:, 0]
+            p = p * (one if last else one[y[0]])
         own = (group == g) & ~rest
         total += p[slot[own]].sum() + np.delete(p[:-1], slot[own]).sum()
         total += p[shape.rest] * (((count[(group == g) & rest] + 1) / totals[g]).sum() + 1 / totals[g])
@@ -95,16 +98,16 @@ def test_features_stop_at_the_start_of_a_text():
 
 def test_gradient_against_differences():
     rng = np.random.default_rng(3)
-    t = rng.normal(size=(60, 4))
+    t = rng.normal(size=(4, 60))
     f, y = rng.integers(0, 50, (3, 30)).astype(np.int32), rng.integers(0, 4, 30)
-    own, g = lm._gradient(lm._softmax(t, f), f, y)
-    assert own.tolist() == sorted(set(f.reshape(-1).tolist()))
-    loss = lambda: -np.log(lm._softmax(t, f)[np.arange(30), y]).sum()
-    for b, c in ((f[0, 0], 1), (f[1, 3], 2), (f[2, 7], 0)):
+    start, given = rng.normal(size=(4, 3)), rng.integers(0, 3, 30)
+    g = lm._gradient(lm._softmax(t, f, start, given), f, y, 60)
+    loss = lambda: -np.log(lm._softmax(t, f, start, given)[y, np.arange(30)]).sum()
+    for b, c in ((f[0, 0], 1), (f[1, 3], 2), (f[2, 7], 0), (55, 1)):
         was = loss()
-        t[b, c] += 1e-6
-        assert (loss() - was) / 1e-6 == pytest.approx(g[np.searchsorted(own, b), c], abs=1e-3)
-        t[b, c] -= 1e-6
+        t[c, b] += 1e-6
+        assert (loss() - was) / 1e-6 == pytest.approx(g[c, b], abs=1e-3)
+        t[c, b] -= 1e-6
 
 
 def test_groups_of_buckets(spark, monkeypatch):
