@@ -36,7 +36,7 @@ from .common import DEALT, Scratch, deal, dealt_again, fan, pack, spans, text_bu
 from .sums import tree_sum
 
 #: Outcomes of a factor at least; feature rows of a factor at a million training tokens, and at least.
-ARITY, ROWS = 6, 8_192
+ARITY, ROWS = 6, 16_384
 ROUNDS = 3
 #: Bytes of weights that the training tasks of a round send, as a share of the text's, and such tasks at least.
 SENT, TRAINERS = 0.17, 8
@@ -259,7 +259,7 @@ def train(texts: DataFrame, shape: Shape, chars: int) -> np.ndarray:
         def run(batches, sent=sent):
             shape, flat = sent.value
             start = shape.split(flat)
-            tables, seen, n = start.copy(), np.full(start.shape, 1e-2, np.float32), 0
+            tables, seen, n = start.copy(), np.ones(start.shape, np.float32), 0
             for b in batches:
                 for _, _, tok, at in _chunks(b.column(0), 1 << 19):
                     feats = features(tok, at)
