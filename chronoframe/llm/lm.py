@@ -36,7 +36,7 @@ from .common import DEALT, Scratch, deal, dealt_again, fan, pack, spans, text_bu
 from .sums import tree_sum
 
 #: Outcomes of a factor at least; feature rows of a factor at a million training tokens, and at least.
-ARITY, ROWS = 6, 16_384
+ARITY, ROWS = 6, 12_288
 ROUNDS = 3
 #: Bytes of weights that the training tasks of a round send, as a share of the text's, and such tasks at least.
 SENT, TRAINERS = 0.17, 8

@@ -292,18 +292,19 @@ def decode_table(df: DataFrame, ids_col: str = "ids", model: str = MODEL, out: s
 
 
 def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, n: int = N_BEST, carry: tuple[str, ...] = (), cache: int = CACHE, keep: bool = True) -> DataFrame:
-    """``doc_id, n_pieces, n_bytes_pieces, n_found, score, gap, ids_sha256, n_best_sha256, exact`` (and
-    columns to carry) for each row.
+    """``doc_id, ids, scores, n_pieces, n_byte_pieces, n_found, score, gap, ids_sha256, n_best_sha256, exact``
+    (and columns to carry) for each row.
 
-    score is the best segmentation's, gap what the second lacks (null without one); the hashes are over
+    ids is the best segmentation, which ``decode_table`` turns to the text again; scores are those of the n
+    best (``encode_table`` has their ids as well). score is the best segmentation's, gap what the second lacks (null without one); the hashes are over
     little-endian int32 ids, of all segmentations one after another for the second; exact tells whether
     the best segmentation decodes to the text again, and each part that others have in its place to the same. Null reads as empty; ids may be null or repeated.
 
     A worker keeps up to twice ``cache`` chunks (about 260 bytes each), with ``keep`` also between tasks.
     """
-    names = ["doc_id", *carry, "n_pieces", "n_byte_pieces", "n_found", "score", "gap", "ids_sha256", "n_best_sha256", "exact"]
+    names = ["doc_id", *carry, "ids", "scores", "n_pieces", "n_byte_pieces", "n_found", "score", "gap", "ids_sha256", "n_best_sha256", "exact"]
     kinds = [df.schema[c].dataType.simpleString() for c in (id_col, *carry)]
-    schema = ", ".join(f"`{c}` {t}" for c, t in zip(names, [*kinds, "long", "long", "int", "double", "double", "string", "string", "boolean"]))
+    schema = ", ".join(f"`{c}` {t}" for c, t in zip(names, [*kinds, "array<int>", "array<double>", "long", "long", "int", "double", "double", "string", "string", "boolean"]))
 
     def run(batches):
         vocab = vocabulary(model)
@@ -311,7 +312,7 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
         is_byte = np.zeros(len(vocab.pieces), bool)
         is_byte[vocab.bytes_at] = True
         for b in batches:
-            rows = []
+            rows, best, scores = [], [], []
             for v in b.column(b.num_columns - 1):
                 text = v.as_py() or ""
                 swaps: list = []
@@ -320,10 +321,14 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
                 exact = _decode(ids.tolist(), vocab) == text.encode()
                 exact = exact and all(b"".join(map(vocab.raw.__getitem__, _ids(p))) == c.encode() for c, p in swaps)
                 gap = found[0][0] - found[1][0] if len(found) > 1 else None
+                best.append(found[0][1])
+                scores.append([s for s, _ in found])
                 rows.append((len(ids), int(is_byte[ids].sum()), len(found), found[0][0], gap, hashlib.sha256(found[0][1]).hexdigest(), hashlib.sha256(b"".join(p for _, p in found)).hexdigest(), exact))
             cols = list(zip(*rows)) if rows else [()] * 8
             types = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(c, t) for c, t in zip(cols, types)]], names=names)
+            at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in best])]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(best), np.int32))), pa.array(scores, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *lists, *[pa.array(c, t) for c, t in zip(cols, types)]], names=names)
         if not keep:
             vocab.cache, vocab.older = {}, {}
 

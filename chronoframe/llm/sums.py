@@ -25,12 +25,12 @@ def tree_sum(parts: DataFrame, size: int, kind: type = np.float64) -> np.ndarray
                 total += np.frombuffer(x.as_py(), kind, size)
                 any_row = True
         if any_row:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype(kind).tobytes()], pa.binary())], names=["part"])
 
     total = np.zeros(size)
     spread = parts.select("part").repartition(n, F.rand(1))
     for r in spread.mapInArrow(add, "part binary").toLocalIterator():
-        total += np.frombuffer(r["part"], np.float64, size)
+        total += np.frombuffer(r["part"], kind, size)
     return total
 
 

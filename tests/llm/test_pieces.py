@@ -79,6 +79,9 @@ def test_tables(spark):
     assert len(got) == len(rows) and all(r["exact"] for r in got)
     by = {r["doc_id"]: r for r in got}
     assert by[1]["n_pieces"] == by[2]["n_pieces"] == 0 and by[1]["n_found"] == 1 and by[1]["gap"] is None
+    back = {str((r["doc_id"], r["n_pieces"])): r["decoded"] for r in decode_table(digest(df)).collect()}
+    assert all(back[str((r["doc_id"], r["n_pieces"]))] == (t or "") for r, (_, t) in zip(got, rows))
+    assert all(len(r["ids"]) == r["n_pieces"] and r["scores"][0] == r["score"] and len(r["scores"]) == r["n_found"] for r in got)
     assert by[3]["n_pieces"] >= 30000 and by[4]["gap"] > 0
     full = encode_table(df.drop("gap")).selectExpr("doc_id", "text", "segmentations[0].ids as ids")
     back = decode_table(full).collect()

@@ -1,7 +1,7 @@
 import corpus_pipeline
-from chronoframe.llm import decontaminate, secrets, simhash, toxicity
+from chronoframe.llm import decontaminate, near, pieces, secrets, toxicity
 from tests.llm.test_decontaminate import brute as contaminated
-from tests.llm.test_simhash import groups
+from tests.llm.test_near import groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,7 +20,7 @@ def test_stages_take_effect_and_keep_the_rest(spark):
 
     unique = corpus_pipeline.drop_near_duplicates(spark, clean, SF)
     assert unique.columns == columns
-    kept = {i for i, _, c in groups([(r["doc_id"], r["text"]) for r in rows]) if i == c}
+    kept = {i for i, c in groups([(r["doc_id"], r["text"]) for r in rows]) if i == c}
     rows = unique.collect()
     assert {r["doc_id"] for r in rows} == kept and len(rows) == len(kept)
 
@@ -35,6 +35,8 @@ def test_stages_take_effect_and_keep_the_rest(spark):
     assert secrets.scan(cut).where("n_live > 0").count() == 0 < secrets.scan(pure).where("n_live > 0").count()
 
     out = corpus_pipeline.encode_pieces(spark, cut, SF)
+    back = {r["doc_id"]: r["decoded"] for r in pieces.decode_table(out).collect()}
+    assert back == {r["doc_id"]: r["text"] for r in cut.collect()}
     assert out.count() == cut.count() and out.where("not exact").count() == 0
     want = sorted(map(str, out.collect()))
     assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) == want
@@ -45,6 +47,9 @@ def test_repeated_and_null_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
     assert sorted(str(r["doc_id"]) for r in got) == ["1", "4", "None"]
+    other = [(9, "p q r s", None, "s", 7), (9, "t u v w", None, "s", 7), (3, "t u v w", None, "s", 7), (8, "p q r s", None, "s", 7), (9, "only here", None, "s", 9)]
+    left = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(other, docs.schema), SF).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in left) == [(3, "t u v w"), (8, "p q r s"), (9, "only here")]
     assert corpus_pipeline.drop_contaminated(spark, docs, SF).count() == 5
     assert corpus_pipeline.redact_secrets(spark, docs, SF).count() == 5
     assert corpus_pipeline.encode_pieces(spark, docs, SF).count() == 5
@@ -52,4 +57,4 @@ def test_repeated_and_null_ids(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF).count() == 0
     assert len(corpus_pipeline.STAGES) == 5
-    assert simhash.BITS == 2 and decontaminate.OVERLAP == 0.8
+    assert near.LEAST == (4, 5) and near.SHINGLE == 5 and decontaminate.OVERLAP == 0.8
