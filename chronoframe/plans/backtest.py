@@ -1,8 +1,8 @@
 """Backtests as one set-based plan over scenarios, dates and assets.
 
-No date is looped over. Small tables (the calendar, rebalances, cohorts: one row for each date and
-scenario) are joined by broadcast, which their number of dates bounds; panels and holdings are joined by
-sort-merge on (date, asset) or (rebalance, asset).
+No date is looped over. The calendar and the rebalances (a row for each date) are joined by broadcast,
+which their number of dates bounds; how tables with a row for each scenario and date are joined is left to
+their size at run time, as are panels and holdings, joined on (date, asset) or (rebalance, asset).
 
 Timing: weights of a rebalance date trade ``execution_lag`` calendar rows later and earn that date's own
 return. They do not drift until the next trade. Dates before the first trade have zero returns.
@@ -123,11 +123,11 @@ def held_weights(weights: DataFrame, rebal: DataFrame, holding: int, lag: int, l
     rebalance that still has a trade date. ``trade`` counts them from 1."""
     days = weights.select("scenario", "date").distinct().join(F.broadcast(rebal), "date")
     days = days.withColumn("seq", F.row_number().over(Window.partitionBy("scenario").orderBy("idx")))
-    cohort = weights.join(F.broadcast(days.select("scenario", "date", "seq")), ["scenario", "date"])
+    cohort = weights.join(days.select("scenario", "date", "seq"), ["scenario", "date"])
     span = F.explode(F.sequence(F.col("seq"), F.col("seq") + (holding - 1))).alias("trade")
     spread = cohort.select("scenario", "asset_id", "weight", span)
     at = days.select("scenario", F.col("seq").alias("trade"), (F.col("idx") + lag).alias("idx")).where(F.col("idx") <= last)
-    spread = spread.join(F.broadcast(at), ["scenario", "trade"])
+    spread = spread.join(at, ["scenario", "trade"])
     return spread.groupBy("scenario", "trade", "idx", "asset_id").agg((F.sum("weight") / F.least(F.col("trade"), F.lit(holding))).alias("weight"))
 
 
@@ -173,7 +173,7 @@ def run_backtests(spec: Spec, panel: DataFrame, scenarios: list[Scenario] | None
     gone = held.select("scenario", (F.col("trade") + 1).alias("trade"), "asset_id", (-F.col("weight")).alias("weight"))
     moves = held.select("scenario", "trade", "asset_id", "weight").unionByName(gone)
     moves = moves.groupBy("scenario", "trade", "asset_id").agg(F.sum("weight").alias("delta_weight")).where(F.abs("delta_weight") > SIGNIFICANT)
-    moves = moves.join(F.broadcast(turns), ["scenario", "trade"]).join(F.broadcast(book), "scenario")
+    moves = moves.join(turns, ["scenario", "trade"]).join(book, "scenario")
     priced = [c for c in ("adv_20", "close", "region") if c in panel.columns]
     if spec.costs.spread_model == "adv_based" or spec.costs.impact_model == "sqrt":
         known = last_known(panel.join(by_idx, "date"), moves, priced)
@@ -189,7 +189,7 @@ def run_backtests(spec: Spec, panel: DataFrame, scenarios: list[Scenario] | None
     force = days.join(turns.select("scenario", "idx", "trade"), ["scenario", "idx"], "left")
     force = force.withColumn("trade", F.last("trade", ignorenulls=True).over(Window.partitionBy("scenario").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)))
     rets = panel.select("date", "asset_id", "ret_1d").where("ret_1d is not null")
-    earned = rets.join(F.broadcast(force.where("trade is not null")), "date").join(held.drop("idx"), ["scenario", "trade", "asset_id"])
+    earned = rets.join(force.where("trade is not null"), "date").join(held.drop("idx"), ["scenario", "trade", "asset_id"])
     gross = earned.groupBy("scenario", "date").agg(F.sum(F.col("weight") * F.col("ret_1d")).alias("gross"))
     paid = trades.groupBy("scenario", "date").agg(F.sum(F.abs("delta_weight") * F.col("cost_bps") / 1e4).alias("paid"))
     short = held.groupBy("scenario", "trade").agg(F.sum(F.when(F.col("weight") < 0, -F.col("weight")).otherwise(0.0)).alias("short"))

@@ -106,7 +106,6 @@ class GateContext:
     factor_names: list[str]
     trials: int
     reported_sharpe: float | None
-    predicted_sign: int = 1
     holding_period: int = 1
     assumption_sharpes: list[float] = field(default_factory=list)
     parameter_sharpes: list[float] = field(default_factory=list)
@@ -118,6 +117,13 @@ def _ratio(a: float, b: float) -> float:
     return a / b if b else 0.0
 
 
+def replication_ratio(replicated: float, reported: float | None) -> float:
+    """The replicated Sharpe as a share of the reported one's size. A replication that loses money keeps its
+    minus sign, also where the report did; unlike signs give a negative share, no report gives 0."""
+    share = _ratio(replicated, abs(reported or 0.0))
+    return -abs(share) if replicated * (reported or 0.0) < 0 else share
+
+
 def _robust(sharpes: list[float], headline: float) -> float:
     return sum(s > 0.5 * headline for s in sharpes) / len(sharpes) if sharpes else 0.0
 
@@ -134,9 +140,7 @@ def gate_values(head: DataFrame, c: GateContext):
     net, gross = sharpe_of(head), sharpe_of(head, "gross")
     guard = (lambda v: None if net <= 0 else v) if c.strict_sign else (lambda v: v)
     yield "G1_turnover_cost", guard(_ratio(net, gross))
-    rep = sharpe_of(c.replication)
-    wrong = c.reported_sharpe is None or rep * c.reported_sharpe < 0
-    yield "G2_replication", 0.0 if wrong else _ratio(abs(rep), abs(c.reported_sharpe))
+    yield "G2_replication", replication_ratio(sharpe_of(c.replication), c.reported_sharpe)
     yield "G3_significance", metrics.newey_west(head.withColumn("scenario", F.lit("x")), max(1, c.holding_period)).first()["t"] if head.limit(1).count() else None
     yield "G4_deflated_sharpe", deflated_sharpe(head, max(1, c.trials))
     oos = sharpe_of(c.oos)

@@ -251,7 +251,7 @@ def stage_evaluate(w: Workbench, stage: Stage, spec: Spec, claim: Claim, factors
     head = read["headline"].where("scenario = 'headline'")
     before = w.store.trial_count(claim.claim_id)
     trials = before + 4 + len(sweeps)
-    context = gates.GateContext(read["replication"], read["oos"], read["headline"].where("scenario = 'capacity'"), factors, factor_names, before, claim.reported_sharpe, claim.predicted_sign, spec.portfolio.holding_period, list(sweeps.values()), list(sweeps.values()), others)
+    context = gates.GateContext(read["replication"], read["oos"], read["headline"].where("scenario = 'capacity'"), factors, factor_names, before, claim.reported_sharpe, spec.portfolio.holding_period, list(sweeps.values()), list(sweeps.values()), others)
     rows = gates.run_gates(Result(head, head, head), context)
     fit = gates.factor_regression(head, factors, factor_names) or {}
     stage.write_text("gates.json", json.dumps([r.__dict__ for r in rows], indent=2))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .plans import backtest, metrics
 from .plans.backtest import Scenario
 from .plans.compiler import compile_signal
-from .plans.gates import correlations
+from .plans.gates import GateContext, correlations, factor_regression, gate_values
 from .plans.portfolio import construct_weights
 from .plans.spec import Assumption, Costs, ParamSpec, Portfolio, Signal, SignalNode, Spec, Threshold, Universe, UniverseFilters
 from .sources import pit
@@ -197,10 +197,10 @@ def _(spark, sf_dir):
     return pit.assemble({"close": pit.snapshot(_field(p, "close"))}, pit.snapshot(_field(p, "adv_20")))
 
 
-@query("pit_decision_time", f"{PANEL}, d AS (SELECT DISTINCT date FROM panel WHERE date BETWEEN DATE '1995-01-01' AND DATE '1995-12-31') SELECT d.date, p.asset_id, arg_max(p.close, p.date) AS value FROM d JOIN panel p ON p.knowledge_date <= d.date GROUP BY d.date, p.asset_id")
+@query("pit_decision_time", f"{PANEL}, d AS (SELECT DISTINCT date FROM panel) SELECT d.date, p.asset_id, arg_max(p.close, p.date) AS value FROM d JOIN panel p ON p.knowledge_date <= d.date GROUP BY d.date, p.asset_id")
 def _(spark, sf_dir):
     p = weekly_supplier(spark, sf_dir)
-    return pit.decision_time(_field(p, "close"), p.where("date between '1995-01-01' and '1995-12-31'").select("date").distinct())
+    return pit.decision_time(_field(p, "close"), p.select("date").distinct())
 
 
 @query("coverage", f"{PANEL} SELECT date, count(*) FILTER (adv_20 IS NOT NULL AND ret_1d IS NOT NULL) AS n_names, count(*) FILTER (adv_20 IS NOT NULL AND ret_1d IS NOT NULL) < 30 AS below FROM panel GROUP BY date")
@@ -316,12 +316,21 @@ def _run(spark, sf_dir, spec: Spec, **options) -> backtest.Result:
     return backtest.run_backtests(spec, weekly_supplier(spark, sf_dir).persist(), costs=DRIVER_COSTS, **options)
 
 
-@query("bt_rebalance_weekly", f"{PANEL}{_CAL} SELECT date, idx FROM cal")
+_DAYS = "WITH cal AS (SELECT date, row_number() OVER (ORDER BY date) AS idx FROM (SELECT DISTINCT CAST(ts AS DATE) AS date FROM events))"
+
+
+@query("bt_rebalance_weekly", _DAYS + " SELECT min(date) AS date, min(idx) AS idx FROM cal GROUP BY date_trunc('week', date)")
 def _(spark, sf_dir):
-    cal = backtest.calendar(weekly_supplier(spark, sf_dir))
+    cal = backtest.calendar(daily_user(spark, sf_dir))
     return backtest.rebalance_dates(cal, "weekly").select("date", F.col("idx").cast("long").alias("idx"))
 
 
+@query("bt_rebalance_daily", _DAYS + " SELECT date, idx FROM cal")
+def _(spark, sf_dir):
+    cal = backtest.calendar(daily_user(spark, sf_dir))
+    return backtest.rebalance_dates(cal, "daily").select("date", F.col("idx").cast("long").alias("idx"))
+
+
 @query("bt_rebalance_monthly", f"{PANEL}{_CAL}{_REBAL['monthly']}, t AS (SELECT r.date, c.date AS trade_date FROM rebal r JOIN cal c ON c.idx = r.idx + 2) SELECT * FROM t")
 def _(spark, sf_dir):
     cal = backtest.calendar(weekly_supplier(spark, sf_dir))
@@ -436,6 +445,62 @@ def _(spark, sf_dir):
     return both.groupBy("claim").agg(_out(F.regr_slope("net", "market")).alias("beta"), _out(F.regr_intercept("net", "market"), 9).alias("alpha"))
 
 
+_FACTORS = ", f AS (SELECT date, avg(ret_1d) AS market, avg(ret_1d) FILTER (sector IN ('S0', 'S1', 'S2')) - avg(ret_1d) FILTER (sector IN ('S5', 'S6', 'S7')) AS spread FROM panel WHERE ret_1d IS NOT NULL GROUP BY date)"
+
+
+@query(
+    "g_factor_regression",
+    _BY_REGION
+    + _FACTORS
+    + """, o AS (SELECT net AS y, market AS a, spread AS b FROM s JOIN f USING (date) WHERE claim = 'ASIA' AND spread IS NOT NULL)
+    , c AS (SELECT var_samp(a) AS aa, var_samp(b) AS bb, covar_samp(a, b) AS ab, covar_samp(a, y) AS ay, covar_samp(b, y) AS yb, avg(y) AS y, avg(a) AS a, avg(b) AS b, count(*) AS n, var_samp(y) AS yy FROM o)
+    , k AS (SELECT *, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS m, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS s FROM c)
+    , e AS (SELECT *, y - m * a - s * b AS alpha, (yy - m * ay - s * yb) * (n - 1) / (n - 3) AS v FROM k)
+    SELECT round(alpha, 9) + 0.0 AS alpha, round(alpha / sqrt(v * (1.0 / n + (a * a * bb - 2 * a * b * ab + b * b * aa) / ((n - 1) * (aa * bb - ab * ab)))), 6) + 0.0 AS alpha_t, round(m, 6) + 0.0 AS market, round(s, 6) + 0.0 AS spread FROM e""",
+)
+def _(spark, sf_dir):
+    p = weekly_supplier(spark, sf_dir).where("ret_1d is not null")
+    side = lambda *names: F.avg(F.when(F.col("sector").isin(*names), F.col("ret_1d")))
+    factors = p.groupBy("date").agg(F.avg("ret_1d").alias("market"), (side("S0", "S1", "S2") - side("S5", "S6", "S7")).alias("spread"))
+    fit = factor_regression(_series(spark, sf_dir).where("claim = 'ASIA'"), factors, ["market", "spread"])
+    return spark.createDataFrame([fit], "alpha double, alpha_t double, market double, spread double").select(_out(F.col("alpha"), 9).alias("alpha"), *[_out(F.col(c)).alias(c) for c in ("alpha_t", "market", "spread")])
+
+
+_NET = "avg(net) / stddev_samp(net) * sqrt(252)"
+
+
+@query(
+    "gate_values",
+    _BY_REGION
+    + f""", h AS (SELECT * FROM s WHERE claim = 'ASIA'), x AS (SELECT {_NET} AS asia FROM h), a AS (SELECT {_NET} AS africa FROM s WHERE claim = 'AFRICA')
+    , e AS (SELECT net, net - avg(net) OVER () AS e, avg(net) OVER () AS m, row_number() OVER (ORDER BY date) AS i FROM h)
+    , v AS (SELECT sum(p.e * q.e * CASE WHEN p.i = q.i THEN 1 ELSE 2 * (1 - (p.i - q.i) / 5.0) END) AS v FROM e p JOIN e q ON p.i - q.i BETWEEN 0 AND 4)
+    , g AS (SELECT *, product(1 + net) OVER (ORDER BY date) AS growth FROM h), d AS (SELECT *, max(growth) OVER (ORDER BY date) AS peak FROM g)
+    , b AS (SELECT ntile(3) OVER (ORDER BY date) AS part, net FROM h), parts AS (SELECT {_NET} AS sharpe FROM b GROUP BY part)
+    , o AS (SELECT q.claim, covar_samp(p.net, q.net) / sqrt(var_samp(p.net) * var_samp(q.net)) AS corr FROM h p JOIN s q USING (date) WHERE q.claim <> 'ASIA' GROUP BY q.claim)
+    , z AS (
+      SELECT 'G1_turnover_cost' AS name, 1.0 AS value UNION ALL SELECT 'G2_replication', CASE WHEN africa < 0 THEN -1 ELSE 1 END * abs(africa) / 2.0 FROM a
+      UNION ALL SELECT 'G3_significance', (SELECT any_value(m) * count(*) FROM e) / sqrt(v) FROM v
+      UNION ALL SELECT 'G5_out_of_sample', CASE WHEN africa < 0 THEN africa ELSE greatest(0.0, africa / asia) END FROM a, x
+      UNION ALL SELECT 'G6_subperiods', CAST(count(*) FILTER (sharpe > 0) AS DOUBLE) FROM parts
+      UNION ALL SELECT 'G7_drawdown', abs(min(growth / peak - 1)) / (stddev_samp(net) * sqrt(252)) FROM d
+      UNION ALL SELECT 'G8_capacity', africa / asia FROM a, x
+      UNION ALL SELECT 'G11_assumptions', avg(CASE WHEN q > 0.5 * asia THEN 1.0 ELSE 0.0 END) FROM x, (VALUES (0.1), (1.0), (100.0)) t(q)
+      UNION ALL SELECT 'G12_parameters', avg(CASE WHEN q > 0.5 * asia THEN 1.0 ELSE 0.0 END) FROM x, (VALUES (-1.0), (100.0)) t(q)
+      UNION ALL SELECT 'G13_orthogonality', max(abs(corr)) FROM o)
+    SELECT name, round(value, 6) + 0.0 AS value FROM z""",
+)
+def _(spark, sf_dir):
+    """The gates that SQL can work out, asked for in order over the series of one region (the deflated Sharpe needs
+    a normal distribution; the factor gates have their own query)."""
+    own = lambda name: _series(spark, sf_dir).where(F.col("claim") == name).withColumn("gross", F.col("net"))
+    other = _series(spark, sf_dir).where("claim <> 'ASIA'").withColumnRenamed("claim", "claim_id")
+    context = GateContext(own("AFRICA"), own("AFRICA"), own("AFRICA"), market(weekly_supplier(spark, sf_dir)), ["market"], 3, 2.0, 4, [0.1, 1.0, 100.0], [-1.0, 100.0], other, strict_sign=False)
+    left_out = ("G4_deflated_sharpe", "G9_factor_residual", "G10_factor_loading")
+    rows = [(n, None if v is None else float(v)) for n, v in gate_values(own("ASIA"), context) if n not in left_out]
+    return spark.createDataFrame(rows, "name string, value double").select("name", _out(F.col("value")).alias("value"))
+
+
 def _sweep_sql() -> str:
     one = "SELECT '{n}' AS scenario, round(avg(gross - cost) / stddev_samp(gross - cost) * sqrt(252), 6) + 0.0 AS sharpe FROM ({sql})"
     return " UNION ALL ".join(one.format(n=n, sql=_backtest_sql("monthly", 1, signal=f"c{n}").replace("FROM panel p JOIN rebal", f"FROM (SELECT *, close / lag(close, {n}) OVER {_A} - 1 AS c{n} FROM panel) p JOIN rebal") + _RETURNS + " SELECT * FROM daily") for n in (2, 4, 8))

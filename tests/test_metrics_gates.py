@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoframe.plans import gates, metrics
 from chronoframe.plans.backtest import Result
-from chronoframe.plans.gates import GateContext, deflated_sharpe, expected_max_sharpe, factor_regression, judge, run_gates
+from chronoframe.plans.gates import GateContext, deflated_sharpe, expected_max_sharpe, factor_regression, judge, replication_ratio, run_gates
 
 DAYS = [d.date() for d in pd.bdate_range("2020-01-01", periods=500)]
 
@@ -126,3 +126,9 @@ def test_unstable_and_factor_driven_series_fail(spark):
     fit = factor_regression(proxy, ctx.factors, ["market"])
     assert judge("G10_factor_loading", abs(fit["market"])).status == "fail"
 
+
+
+def test_replication_ratio_keeps_the_sign_of_a_loss():
+    assert replication_ratio(1.5, 3.0) == 0.5 and replication_ratio(-1.5, 3.0) == -0.5
+    assert replication_ratio(-2.0, -2.0) == -1.0 and judge("G2_replication", replication_ratio(-2.0, -2.0)).status == "fail"
+    assert replication_ratio(2.0, -2.0) == -1.0 and replication_ratio(2.0, None) == replication_ratio(2.0, 0.0) == 0.0
