@@ -44,8 +44,8 @@ SIDE = SPAN - GRAM
 HALF = SIDE // 2
 WIDTH = SPAN + SIDE
 #: Anchors that a task gathers before it collapses and deals them, and that a bucket is to get.
-AT_ONCE = 1_200_000
-BUCKET = 700_000
+AT_ONCE = 900_000
+BUCKET = 550_000
 #: Contexts of one anchor that a task compares at most, and fragments that it sorts at once.
 CROWD = 2_000
 SORTED = 8_000
