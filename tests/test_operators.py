@@ -135,7 +135,7 @@ def test_plan_shares_work(frame):
 
 
 def test_description():
-    assert describe_signal(MOMENTUM) == "Signal (sign=-1):\n  n1 = pct_change(close, n=5)\n  n2 = cs_zscore(n1)\n  n3 = cs_winsorize(n2, k=3)\nOutput: n3"
+    assert describe_signal(MOMENTUM) == "1. Compute n1: apply pct_change to close, where n is 5.\n2. Compute n2: apply cs_zscore to n1.\n3. Compute n3: apply cs_winsorize to n2, where k is 3.\nThe signal is n3, taken with its sign turned."
     spec = spec_of([node("n1", "combine", "a", "b", weights=["u", "v"])], {"u": 0.6, "v": 0.4})
-    assert "n1 = combine(a, b, weights=[0.6, 0.4])" in describe_signal(spec)
+    assert "n1: apply combine to a and b, where weights is 0.6 and 0.4." in describe_signal(spec)
     assert len(OPERATORS) == 31

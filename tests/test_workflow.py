@@ -59,7 +59,7 @@ def test_seven_stages_end_to_end(spark, tmp_path, data):
     assert seen == ["1_claim", "2_data", "3_spec", "4_code", "5_backtest", "6_evaluate", "7_pack"]
     pack = w.store.read("c1", "r1", "7_pack", "ic_pack.md").read_text()
     assert [x for x in pack.splitlines() if x.startswith("## ")] == [f"## {k}. {t}" for k, t in enumerate(["Headline", "Verdict table", "Gate table", "Cumulative return", "Assumptions and alternatives", "Parameter sweep", "Factor decomposition", "Sub-period table", "Critique", "Provenance", "Decision"], 1)]
-    assert "n1 = clip(planted_signal_1, lo=-100, hi=100)" in pack and "G13_orthogonality" in pack
+    assert "Compute n1: apply clip to planted_signal_1, where hi is 100; lo is -100." in pack and "G13_orthogonality" in pack
     assert w.store.trial_count("c1") == 6
     gates = json.loads(w.store.read("c1", "r1", "6_evaluate", "gates.json").read_text())
     assert len(gates) == 13 and all(g["status"] != "fail" for g in gates)
