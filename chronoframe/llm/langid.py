@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import LOWER, spans, text_buffer
 
@@ -148,8 +149,9 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(langs, symbol, [p["gram"].to_numpy(np.int64) for p in parts], [p["n"].to_numpy(np.float32) for p in parts], rare)
 
 
-def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, lang_pred, score`` for each row of ``df``.
+def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[Column, ...] = ()) -> DataFrame:
+    """``doc_id, lang_pred, score`` for each row of ``df``, then the named columns of ``carry``, which no
+    prediction sees.
 
     score is the winner's share of 2**-bits (ties go to the first language by name). Texts that are
     null or have no letter are ``und`` with score 0, as is every text of a model without languages.
@@ -171,18 +173,19 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 share = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
                 lang[letter] = np.array(model.langs, object)[best[letter]]
                 score[letter] = share[letter]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score), *b.columns[2:]], names=names)
 
-    kind = df.schema[id_col].dataType.simpleString()
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *carry)
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *docs.schema.fields[2:]])
+    names = schema.names
+    return docs.mapInArrow(run, schema)
 
 
 def identify(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
     """Train on the rows that ``held_out`` leaves and predict every row:
-    ``doc_id, held_out, lang_pred, score``. ``held_out`` may use the id only."""
+    ``doc_id, held_out, lang_pred, score``. ``held_out`` is an expression over ``df``; where it is null, the
+    row is not learned from."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held_out.alias("held_out"))
     model = train(rows.where(~F.col("held_out")), sample)
-    out = predict(df, model, id_col, text_col)
-    fold = held_out if id_col == "doc_id" else F.expr("null")
-    return out.select("doc_id", fold.alias("held_out"), "lang_pred", "score")
+    out = predict(df, model, id_col, text_col, (held_out.cast("boolean").alias("held_out"),))
+    return out.select("doc_id", "held_out", "lang_pred", "score")

@@ -85,3 +85,12 @@ def test_edges(spark):
     assert none.count() == 0
     assert {r["lang_pred"] for r in identify(df, F.lit(True)).collect()} == {"und"}
     assert predict(df.where("doc_id = 1"), train(df.selectExpr("doc_id as id", "text", "lang"))).count() == 1
+
+
+def test_the_fold_is_told_for_any_id_column(spark):
+    rows = [("a", "the cat and the dog", "en", 1), ("b", "der hund und die katze", "de", 0), ("b", "die katze", "de", 1), (None, "the dog", "en", None)]
+    df = spark.createDataFrame(rows, "name string, text string, lang string, doc_id int")
+    got = identify(df, F.col("doc_id") == 1, id_col="name")
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score"]
+    assert sorted((str(r["doc_id"]), str(r["held_out"])) for r in got.collect()) == [("None", "None"), ("a", "True"), ("b", "False"), ("b", "True")]
+    assert {r["lang_pred"] for r in got.collect()} == {"de"}  # the only row to learn from
