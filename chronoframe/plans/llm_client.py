@@ -10,6 +10,8 @@ from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Protocol, TypeVar
 
+from ..sources.store import LLMCallInfo, now
+
 T = TypeVar("T")
 
 
@@ -18,6 +20,8 @@ class ParseError(ValueError):
 
 
 class Client(Protocol):
+    """A client may also have a ``temperature`` and a ``seed``; they are logged where it has them."""
+
     model: str
 
     def complete(self, prompt: str, context: str) -> str: ...
@@ -44,15 +48,21 @@ def json_text(answer: str) -> str:
     return (m[1] if m else answer).strip()
 
 
+def call_info(client: Client, prompt: str) -> LLMCallInfo:
+    """What a question is asked with."""
+    return LLMCallInfo(client.model, hashlib.sha256(prompt.encode()).hexdigest(), getattr(client, "temperature", None), getattr(client, "seed", None))
+
+
 def structured(client: Client, prompt: str, context: dict, read: Callable[[dict], T], log: Path | None = None) -> T:
     """One question, asked again with the complaint if the answer does not read; ParseError after that.
     Every answer is appended to ``log`` as a line of JSON."""
     said, complaint = json.dumps(context, default=str, sort_keys=True), ""
     for attempt in (1, 2):
+        asked = now()
         answer = client.complete(prompt, said + complaint)
         if log is not None:
             with log.open("a", encoding="utf-8") as f:
-                f.write(json.dumps({"attempt": attempt, "model": client.model, "prompt_sha256": hashlib.sha256(prompt.encode()).hexdigest(), "answer": answer}) + "\n")
+                f.write(json.dumps({"asked_utc": asked, "attempt": attempt, **call_info(client, prompt).to_dict(), "prompt": prompt, "context": said + complaint, "answer": answer}) + "\n")
         try:
             return read(json.loads(json_text(answer)))
         except (ValueError, TypeError, KeyError) as e:

@@ -23,7 +23,7 @@ from ..sources.store import Manifest, Stage, Store
 from . import gates, metrics
 from .backtest import TARGET_AUM, Result, Scenario, calendar, panel_fields, rebalance_dates, run_backtests
 from .compiler import compile_signal, describe_signal
-from .llm_client import Client, ParseError, structured
+from .llm_client import Client, ParseError, call_info, structured
 from .report import Evidence, render
 from .spec import Spec, SpecError, Strict, validate_spec
 
@@ -113,12 +113,17 @@ def claim_text(c: Claim) -> str:
     return "\n".join(lines) + "\n"
 
 
+def _ask(w: Workbench, stage: Stage, prompt: str, context: dict, read: Callable):
+    """A question of a stage: noted for its manifest, its answers in the stage's log."""
+    stage.llm = call_info(w.client, w.prompts[prompt])
+    return structured(w.client, w.prompts[prompt], context, read, stage.folder / "llm_raw.jsonl")
+
+
 def stage_claim(w: Workbench, stage: Stage, source: str) -> Claim:
     """Extract the claim, judge whether it can be traded, check that its fields exist."""
-    log = stage.folder / "llm_raw.jsonl"
     try:
-        got = structured(w.client, w.prompts["extract"], {"source": source, "fields": sorted(w.catalogue)}, lambda d: Claim.from_dict({**d, "claim_id": stage.claim_id}), log)
-        verdict = structured(w.client, w.prompts["tradability"], got.to_dict(), lambda d: (bool(d["tradable"]), str(d["tradability_reason"])), log)
+        got = _ask(w, stage, "extract", {"source": source, "fields": sorted(w.catalogue)}, lambda d: Claim.from_dict({**d, "claim_id": stage.claim_id}))
+        verdict = _ask(w, stage, "tradability", got.to_dict(), lambda d: (bool(d["tradable"]), str(d["tradability_reason"])))
     except ParseError as e:
         raise Halted(stage.halt(f"unreadable answer: {e}")) from e
     claim = Claim.from_dict({**got.to_dict(), "tradable": verdict[0], "tradability_reason": verdict[1]})
@@ -152,7 +157,7 @@ def stage_data(w: Workbench, stage: Stage, claim: Claim) -> None:
 def stage_spec(w: Workbench, stage: Stage, claim: Claim) -> Spec:
     """A valid spec with stated assumptions."""
     try:
-        spec = structured(w.client, w.prompts["spec"], claim.to_dict(), lambda d: validate_spec(Spec.from_dict(d), set(w.catalogue)), stage.folder / "llm_raw.jsonl")
+        spec = _ask(w, stage, "spec", claim.to_dict(), lambda d: validate_spec(Spec.from_dict(d), set(w.catalogue)))
     except ParseError as e:
         raise Halted(stage.halt(f"no valid spec: {e}")) from e
     stage.write_text("spec.json", json.dumps(spec.to_dict(), indent=2))
@@ -186,6 +191,7 @@ def stage_code(w: Workbench, stage: Stage, spec: Spec, panel: DataFrame) -> None
     want = compile_signal(spec, panel).select("date", "asset_id", "signal")
     why = ""
     for _ in range(2 if w.allow_code else 0):
+        stage.llm = call_info(w.client, w.prompts["code"])
         code = w.client.complete(w.prompts["code"], describe_signal(spec) + why)
         try:
             if bad := disallowed_imports(code):
@@ -260,7 +266,7 @@ def stage_evaluate(w: Workbench, stage: Stage, spec: Spec, claim: Claim, factors
     if rows[-1].status == "fail":
         raise Halted(stage.halt(f"gate {rows[-1].name} fails", trials))
     try:
-        critique = structured(w.client, w.prompts["critique"], {"claim": claim.to_dict(), "signal": describe_signal(spec), "gates": [r.__dict__ for r in rows]}, Critique.from_dict, stage.folder / "llm_raw.jsonl")
+        critique = _ask(w, stage, "critique", {"claim": claim.to_dict(), "signal": describe_signal(spec), "gates": [r.__dict__ for r in rows]}, Critique.from_dict)
     except ParseError as e:
         raise Halted(stage.halt(f"no critique: {e}", trials)) from e
     stage.write_text("critique.md", critique.critique)

@@ -30,8 +30,8 @@ class FileRef(Strict):
 class LLMCallInfo(Strict):
     model: str
     prompt_sha256: str
-    temperature: float
-    seed: int
+    temperature: float | None = None
+    seed: int | None = None
 
 
 @dataclass(frozen=True)
@@ -78,6 +78,7 @@ class Stage:
         self.folder.mkdir(parents=True, exist_ok=False)
         self.started = now()
         self.inputs: list[FileRef] = []
+        self.llm: LLMCallInfo | None = None  # the last question of the stage; its log has all
 
     def write_text(self, name: str, text: str) -> Path:
         path = self.folder / name
@@ -98,7 +99,7 @@ class Stage:
     def _end(self, status: str, reason: str | None, trials: int | None, outputs: list[str] | None, **info) -> Manifest:
         names = outputs if outputs is not None else sorted(p.name for p in self.folder.iterdir())
         refs = [FileRef(n, sha256_of(self.folder / n)) for n in names]
-        m = Manifest(self.name, self.claim_id, self.run_id, self.started, status, self.parent, now(), reason, self.inputs, refs, **info)
+        m = Manifest(self.name, self.claim_id, self.run_id, self.started, status, self.parent, now(), reason, self.inputs, refs, **{"llm": self.llm, **info})
         (self.folder / "manifest.json").write_text(json.dumps(m.to_dict(), indent=2), encoding="utf-8")
         self.store.register(m, trials)
         return m

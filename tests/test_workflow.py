@@ -4,11 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoframe.plans.compiler import compile_signal
-from chronoframe.plans.llm_client import ParseError, ScriptedClient, json_text, structured
+from chronoframe.plans.llm_client import ParseError, ScriptedClient, call_info, json_text, structured
 from chronoframe.plans.workflow import Refused, Workbench, disallowed_imports, run_claim, signals_match
 from chronoframe.queries import book, node, spec_of
 from chronoframe.sources import fixture, pit
-from chronoframe.sources.store import Store
+from chronoframe.sources.store import LLMCallInfo, Store
 
 PROMPTS = {k: k for k in ("extract", "tradability", "spec", "code", "critique")}
 SPEC = spec_of([node("n1", "clip", "planted_signal_1", lo="lo", hi="hi"), node("n2", "cs_zscore", "n1")], {"lo": -100, "hi": 100}, portfolio=book(quantile=0.2, max_position=0.2)).to_dict()
@@ -90,6 +90,9 @@ def test_halts(spark, tmp_path, data, answers, change, stage, why):
     w, fx = bench(spark, tmp_path, data, answers, **change)
     done = run_claim(w, "text", fx.factors, fixture.FACTORS)
     assert list(done)[-1] == stage and done[stage].status == "halted" and why in done[stage].halt_reason
+    read = w.store.manifest(done[stage].claim_id, done[stage].run_id, "1_claim")
+    assert read.llm == call_info(w.client, PROMPTS["tradability"])
+    assert read.status == ("halted" if stage == "1_claim" else "complete")
 
 
 def test_signal_comparison_and_imports(spark):
@@ -106,6 +109,12 @@ def test_structured_answers(tmp_path):
     c = ScriptedClient(["nope", '{"a": 1}'])
     assert structured(c, "p", {}, lambda d: d["a"], log) == 1 and len(log.read_text().splitlines()) == 2
     assert "could not be used" in c.calls[1][1]
+    first, second = map(json.loads, log.read_text().splitlines())
+    assert (first["answer"], first["prompt"], first["context"], first["model"], first["seed"]) == ("nope", "p", "{}", "scripted", None)
+    assert second["attempt"] == 2 and second["context"].startswith("{}\n") and first["asked_utc"] <= second["asked_utc"]
+    c.temperature, c.seed = 0.5, 7
+    assert (call_info(c, "p").temperature, call_info(c, "p").seed) == (0.5, 7)
+    assert LLMCallInfo.from_dict(call_info(c, "p").to_dict()) == call_info(c, "p")
     with pytest.raises(ParseError):
         structured(ScriptedClient(["{}", "{}"]), "p", {}, lambda d: d["a"])
 
