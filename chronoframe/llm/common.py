@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import math
 import re
 import tempfile
@@ -61,6 +62,13 @@ class Scratch:
             _drop(self.spark, path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of plans that nothing refers to any more. Spark removes them when the
+    driver collects its garbage; a driver with little to do would keep them until the end."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession) -> None:
     """Remove the scratch tables of this session. For long sessions, once the results that read them
     are written; a result that was not is lost with them."""
@@ -143,16 +151,16 @@ def deal(kind: int, part: np.ndarray, *cols: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([kind] * len(blobs), pa.int32()), pa.array(sorted_part[edge[:-1]], pa.int32()), pa.array(blobs, pa.binary())], names=["kind", "part", "blob"])
 
 
-def fan(parts: int) -> int:
-    """Buckets to a group of the first dealing; 1 where all rows are dealt at once."""
-    return 1 if parts <= FAN else math.isqrt(parts - 1) + 1
+def fan(parts: int, times: int = 1) -> int:
+    """Buckets to a group of the first dealing; 1 where all rows are dealt at once, up to FAN ``times`` as often."""
+    return 1 if parts <= FAN * times else math.isqrt(parts - 1) + 1
 
 
-def dealt_again(rows: DataFrame, parts: int, own: dict[int, tuple[list, object]]) -> DataFrame:
-    """Rows dealt by groups of ``fan(parts)`` buckets (part // fan) -> rows dealt by bucket, so that no task
+def dealt_again(rows: DataFrame, parts: int, own: dict[int, tuple[list, object]], times: int = 1) -> DataFrame:
+    """Rows dealt by groups of ``fan(parts, times)`` buckets (part // fan) -> rows dealt by bucket, so that no task
     cuts its rows in more than about sqrt(parts) pieces. ``own`` has, by kind, the types of the columns and
     a function of them that gives each row's bucket."""
-    if fan(parts) == 1:
+    if fan(parts, times) == 1:
         return rows
 
     def run(batches):

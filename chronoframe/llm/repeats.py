@@ -22,6 +22,9 @@ halves, and 96 independent ones of the gram, both sides whole and their lengths.
 gram and a near half are so told apart by 96 bits at least; 10**12 different contexts of one anchor would
 meet a wrong match with odds of 1 to 10**5. Windows of crowded anchors are compared by 128 bits and the key.
 
+Contexts of a crowded anchor are dealt by the 17 bytes beside it, on each side on which others agree with them;
+only those that very many agree on are cut into windows.
+
 An anchor with very many different contexts (a licence line amid different texts) is dealt by context
 instead of by key, so no task gathers it. Such keys are found in a sample of ``SAMPLED`` of all distinct
 texts; the sample decides where rows are compared and never what is removed.
@@ -36,7 +39,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DEALT, Scratch, deal, dealt_again, fan, pack, spans, text_buffer, unpack
+from .common import DEALT, Scratch, deal, free_shuffles, pack, spans, text_buffer, unpack
+from .common import dealt_again as _dealt_again
+from .common import fan as _fan
 
 SPAN = 50
 GRAM = 16
@@ -46,7 +51,7 @@ WIDTH = SPAN + SIDE
 #: Anchors that a task gathers before it collapses and deals them, and that a bucket is to get.
 AT_ONCE = 900_000
 BUCKET = 550_000
-#: Contexts of one anchor that a task compares at most, and fragments that it sorts at once.
+#: Contexts of one anchor, or of one of its near halves, that a task compares at most, and fragments that it sorts at once.
 CROWD = 2_000
 SORTED = 8_000
 #: Share of the texts in which hot keys are looked for, and the sampled contexts that make a key hot: one of
@@ -54,6 +59,9 @@ SORTED = 8_000
 SAMPLED, HOT = 1 / 40_000, 16
 #: Ids up to which a set of documents is broadcast to thin texts before they are shuffled.
 FEW = 1_000_000
+#: Anchors are many to a bucket, so this many times as many buckets as elsewhere are dealt at once: a second
+#: dealing would hold each anchor on disk twice.
+FANS = 8
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
@@ -126,6 +134,14 @@ def anchors(body: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     return {"row": row, "pos": at - shift[row], "left": left, "right": right, "key": h[at] >> np.uint64(16), "context": context, "far": far}
 
 
+def fan(parts: int) -> int:
+    return _fan(parts, FANS)
+
+
+def dealt_again(rows: DataFrame, parts: int, own: dict) -> DataFrame:
+    return _dealt_again(rows, parts, own, FANS)
+
+
 def _new(*cols: np.ndarray) -> np.ndarray:
     """Where any sorted column changes."""
     out = np.ones(len(cols[0]), bool)
@@ -232,7 +248,7 @@ def _intervals(lcp: list[int], a: int, before: np.ndarray, least: int):
             stack.append((h, first))
 
 
-_ANCHOR = [(np.uint8, 6), (np.uint64, 1), (np.uint64, 1), (np.int64, 1), (np.int64, 1), (np.uint16, 1), (np.uint16, 1), (np.uint8, 1), (np.uint8, 1)]
+_ANCHOR = [(np.uint8, 6), (np.uint64, 1), (np.uint64, 1), (np.uint8, 1), (np.uint8, 1), (np.uint16, 1), (np.uint32, 1), (np.int64, 1), (np.uint16, 1), (np.uint16, 1), (np.uint8, 1), (np.uint8, 1)]
 _MARK = [(np.int64, 1), (np.int64, 1), (np.uint32, 1), (np.uint32, 1)]
 _ASK = [(np.int64, 1), (np.int64, 1), (np.uint32, 1), (np.uint64, 1), (np.int8, 1)]
 _WINDOW = [(np.uint64, 1), (np.uint64, 1), (np.uint64, 1), (np.int64, 1), (np.int64, 1), (np.uint32, 1)]
@@ -264,6 +280,23 @@ def _of_six(six: np.ndarray) -> np.ndarray:
     return eight.reshape(-1).view(">u8").astype(np.uint64)
 
 
+def _cut(ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ids as columns of 1, 1, 2 and 4 bytes, of which all but the first hardly change among sorted ids."""
+    x = ids.view(np.uint64)
+    return x.astype(np.uint8), (x >> np.uint64(8)).astype(np.uint8), (x >> np.uint64(16)).astype(np.uint16), (x >> np.uint64(32)).astype(np.uint32)
+
+
+def _whole(*cuts: np.ndarray) -> np.ndarray:
+    return sum(x.astype(np.uint64) << np.uint64(by) for x, by in zip(cuts, (0, 8, 16, 32))).view(np.int64)
+
+
+def _near_half(frag: np.ndarray, start: np.ndarray, key: np.ndarray, side: int) -> np.ndarray:
+    """A name for the fragments of one key that agree on the near half that begins at ``start``."""
+    near = np.zeros((len(frag), 24), np.uint8)
+    near[:, :HALF] = np.take_along_axis(frag, start.astype(np.int64)[:, None] + np.arange(HALF), 1)
+    return _mix(key ^ np.uint64(side << 60), *near.view(np.uint64).T)
+
+
 def _owners(parts: int) -> dict:
     """For ``dealt_again``: the columns of each kind and the bucket of a row."""
     by_doc = lambda ids, *_: _doc_part(ids, parts)
@@ -300,7 +333,7 @@ def _gather(parts: int, at_once: int, hot: np.ndarray):
     """Texts -> collapsed anchors by key or, of hot keys, by context, and spans that a task could settle."""
 
     def dealt(kind: int, part: np.ndarray, c: dict):
-        return deal(kind, part // fan(parts), _six(c["key"]), c["context"], c["far"], c["id"], c["th"], (c["pos"] & 0xFFFF).astype(np.uint16), (c["pos"] >> 16).astype(np.uint16), c["left"].astype(np.uint8), c["right"].astype(np.uint8))
+        return deal(kind, part // fan(parts), _six(c["key"]), c["context"], c["far"], *_cut(c["id"]), c["th"], (c["pos"] & 0xFFFF).astype(np.uint16), (c["pos"] >> 16).astype(np.uint16), c["left"].astype(np.uint8), c["right"].astype(np.uint8))
 
     def flush(held):
         c = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
@@ -345,30 +378,33 @@ def _settle(parts: int, crowd_from: int):
         kind = table.column("kind")[0].as_py()
         if kind == MARKS:
             return table
-        six, context, far, ids, ths, lo, hi, left, right = unpack([x.as_py() for x in table.column("blob")], _ANCHOR)
-        key = _of_six(six)
+        six, context, far, *cuts, ths, lo, hi, left, right = unpack([x.as_py() for x in table.column("blob")], _ANCHOR)
+        key, ids = _of_six(six), _whole(*cuts)
+        del six, cuts
         pos = lo.astype(np.int64) | hi.astype(np.int64) << 16
         order, least = collapse(ids, key, context, far)
         key, context, far, ids, ths, pos, left, right = (x[order] for x in (key, context, far, ids, ths, pos, left.astype(np.int64), right.astype(np.int64)))
         copy = ids > least
         out = [_marks(parts, ids[copy], ths[copy], (pos - left)[copy], (pos + GRAM + right)[copy])]
         if kind == SPLIT:  # further contexts of the key are in other buckets: all windows are compared
-            ask, how = ~copy, np.full(len(ids), -3, np.int8)
+            ask, how = ~copy, np.full(len(ids), 3, np.int8)
         else:
             # contexts of one key of which two agree on a near half
             first = np.flatnonzero(_new(key, context, far))
-            shared = np.zeros(len(first), np.int8)
+            shared, wide = np.zeros((2, len(first)), np.int8)
             for flag, bits in ((1, np.uint64(48)), (2, np.uint64(32))):
                 half = context[first] >> bits & np.uint64(0xFFFF)
                 o = np.lexsort((half, key[first]))
                 new = np.flatnonzero(_new(key[first][o], half[o]))
                 size = np.repeat(np.diff(np.append(new, len(o))), np.diff(np.append(new, len(o))))
-                shared[o] |= flag * ((size > 1) & (half[o] > 0)).astype(np.int8)
+                agree = (size > 1) & (half[o] > 0)
+                shared[o] |= flag * agree.astype(np.int8)
+                wide[o] |= flag * (agree & (size > crowd_from)).astype(np.int8)
             own = np.flatnonzero(_new(key[first]))
             crowd = np.repeat(np.add.reduceat(shared > 0, own, dtype=np.int64), np.diff(np.append(own, len(first)))) > crowd_from
             times = np.diff(np.append(first, len(key)))
             ask = np.repeat(shared > 0, times) & ~copy
-            how = np.repeat(np.where(crowd, -shared, 0), times).astype(np.int8)
+            how = np.repeat(np.where(crowd, wide | (shared & ~wide) << 2, 0), times).astype(np.int8)
         out.append(deal(ASKS, _doc_part(ids[ask], parts) // fan(parts), ids[ask], ths[ask], pos[ask].astype(np.uint32), key[ask], how[ask]))
         return pa.Table.from_batches(out)
 
@@ -394,11 +430,13 @@ def _fetch(parts: int):
 
         def flush():
             how, key, ids, ths, start, length, anchor, frag = (np.concatenate(x) for x in zip(*held))
-            few = how == 0
-            yield deal(FRAGS, _key_part(key[few], parts) // fan(parts), key[few], ids[few], ths[few], start[few], length[few], frag[few])
-            if few.all():
+            few, before, after = (np.flatnonzero(x) for x in (how == 0, how & 4, how & 8))
+            own = np.concatenate([few, before, after])
+            group = np.concatenate([key[few], _near_half(frag[before], anchor[before] - HALF, key[before], 1), _near_half(frag[after], anchor[after] + GRAM, key[after], 2)])
+            yield deal(FRAGS, _key_part(group, parts) // fan(parts), group, ids[own], ths[own], start[own], length[own], frag[own])
+            many = (how & 3) > 0
+            if not many.any():
                 return
-            many = ~few
             flat = np.zeros((int(many.sum()), WIDTH + 8), np.uint8)
             flat[:, :WIDTH] = frag[many]
             grid = np.zeros(flat.size, np.uint64)
@@ -406,7 +444,7 @@ def _fetch(parts: int):
             grid[: len(w)] = w
             grid = grid.reshape(flat.shape)
             left = anchor[many].astype(np.int64)[:, None] - np.arange(SIDE + 1)  # context bytes before the gram
-            flag = -how[many][:, None]
+            flag = how[many][:, None]
             ok = (left >= 0) & (np.arange(SIDE + 1) + SPAN <= length[many][:, None])
             ok &= ((flag & 1) > 0) & (left >= HALF) | ((flag & 2) > 0) & (SIDE - left >= HALF)
             f, s = np.nonzero(ok)
@@ -495,9 +533,21 @@ def _thinned(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(wanted, ["doc_id", "th"])
 
 
-def removed_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents, runs): ``doc_id, th, n_bytes, sha256`` of each row, and ``doc_id, th, n_removed,
-    n_spans, runs`` of each distinct document that loses bytes (th hashes the text)."""
+def _told_apart(rows: DataFrame, repeated: DataFrame, n: int) -> DataFrame:
+    """``rows(doc_id, th, ...)`` with th 0 where an id has one text, so that it takes no room; ids with unlike texts
+    are the ``n`` of ``repeated``. Where these are many, all rows keep th."""
+    if n > FEW:
+        return rows
+    if not n:
+        return rows.withColumn("th", F.lit(0).cast("long"))
+    told = rows.join(F.broadcast(repeated.withColumn("again", F.lit(True))), "doc_id", "left")
+    return told.withColumn("th", F.when(F.col("again"), F.col("th")).otherwise(F.lit(0))).select(rows.columns)
+
+
+def removed_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(texts, documents, runs): ``doc_id, th, text`` and ``doc_id, th, n_bytes, sha256`` of each row, and
+    ``doc_id, th, n_removed, n_spans, runs`` of each distinct document that loses bytes (th hashes the text
+    where an id has several)."""
     scratch = scratch or Scratch(df.sparkSession, "repeats")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
@@ -505,10 +555,16 @@ def removed_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     facts = scratch.table(docs.select("doc_id", "th", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256"), F.when(sampled, F.col("text")).alias("sample")))
     total = facts.agg(F.sum("n_bytes")).first()[0] or 0
     parts = max(4, -(-total // (BUCKET * 18)))
-    docs = docs.where("doc_id is not null")
+    repeated = facts.where("doc_id is not null").groupBy("doc_id").agg(F.min("th").alias("a"), F.max("th").alias("z")).where("a <> z").select("doc_id")
+    repeated = scratch.table(repeated)
+    n = repeated.count()
+    facts = _told_apart(facts, repeated, n)
+    docs = _told_apart(docs.where("doc_id is not null"), repeated, n)
     own = _owners(parts)
     given = dealt_again(docs.mapInArrow(_gather(parts, AT_ONCE, hot_keys(facts)), DEALT), parts, own)
     found = scratch.table(dealt_again(given.groupBy("kind", "part").applyInArrow(_settle(parts, CROWD), DEALT), parts, own))
+    del given
+    free_shuffles(df.sparkSession)
     wanted = scratch.table(found.where(f"kind = {ASKS}").groupBy("part").applyInArrow(_asked, "doc_id long, th long, ask binary"))
     frags = dealt_again(_thinned(docs, wanted).select("doc_id", "th", "text", "ask").mapInArrow(_fetch(parts), DEALT), parts, own)
     more = dealt_again(frags.groupBy("kind", "part").applyInArrow(_compare(parts, SORTED), DEALT), parts, own)
@@ -516,7 +572,9 @@ def removed_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = scratch.table(runs)
     scratch.drop(found)
     scratch.drop(wanted)
-    return facts.drop("sample"), runs
+    del frags, more
+    free_shuffles(df.sparkSession)
+    return docs, facts.drop("sample"), runs
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -526,9 +584,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     others. Rows with the same id do not take bytes from each other, whether their texts are equal or not.
     """
     scratch = Scratch(df.sparkSession, "repeats")
-    facts, runs = removed_runs(df, id_col, text_col, scratch)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).where("doc_id is not null")
+    docs, facts, runs = removed_runs(df, id_col, text_col, scratch)
     once = facts.select("doc_id", "th", "n_bytes").distinct()
     whole = runs.join(once, ["doc_id", "th"])
     part = scratch.table(whole.where("n_removed < n_bytes").select("doc_id", "th", "runs"))

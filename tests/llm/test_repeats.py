@@ -154,3 +154,33 @@ def test_merged_runs():
     a = lambda *x: np.array(x, np.int64)
     got = merged(a(1, 1, 1, 2, 1), a(0, 0, 0, 0, 9), a(5, 0, 20, 3, 1), a(9, 5, 22, 4, 2))
     assert [x.tolist() for x in got] == [[1, 1, 1, 2], [0, 0, 9, 0], [0, 20, 1, 3], [9, 22, 2, 4]]
+
+
+def test_anchors_of_large_tables_are_held_once(spark, monkeypatch):
+    text_bytes = 10_200_000_000  # of a table of 6 GB
+    assert repeats.fan(-(-text_bytes // (repeats.BUCKET * 18))) == 1
+    ids = np.array([0, -1, 7, 1 << 40, -(1 << 62)], np.int64)
+    assert repeats._whole(*repeats._cut(ids)).tolist() == ids.tolist()
+    rows = [(1, "p" * 60), (2, "q" * 60), (2, "p" * 60), (-(1 << 40), "q" * 55), (1 << 40, "p" * 70), (None, "p" * 80), (4, "r" * 60), (4, "r" * 60)]
+    for few in (0, 1_000_000):
+        monkeypatch.setattr(repeats, "FEW", few)
+        check(spark, rows)
+    texts = repeats.removed_runs(spark.createDataFrame(rows, "doc_id long, text string"))[0].collect()
+    assert {r["doc_id"] for r in texts if r["th"]} == {2}
+
+
+def test_crowded_anchors_are_dealt_by_their_near_halves(spark):
+    rng = random.Random(16)
+    line = "one gram in all of the texts"
+    side = lambda: "".join(rng.choice("xy") for _ in range(60))
+    rows = [(k, side() + line + side()) for k in range(300)]
+    texts = [t.encode() for _, t in rows]
+    offs = np.cumsum([0] + [len(t) for t in texts])
+    a = anchors(np.frombuffer(b"".join(texts), np.uint8), offs)
+    blob = repeats.pack(repeats._six(a["key"]), a["context"], a["far"], *repeats._cut(a["row"].astype(np.int64)), np.zeros(len(a["row"]), np.int64), a["pos"].astype(np.uint16), np.zeros(len(a["row"]), np.uint16), a["left"].astype(np.uint8), a["right"].astype(np.uint8))
+    one = repeats.pa.table({"kind": repeats.pa.array([repeats.ANCHORS], repeats.pa.int32()), "part": repeats.pa.array([0], repeats.pa.int32()), "blob": [blob]})
+    for crowd, ways in ((0, {1, 2, 3}), (100, {0, 4, 8, 12})):
+        out = repeats._settle(1, crowd)(one)
+        asks = [b.as_py() for k, b in zip(out.column("kind"), out.column("blob")) if k.as_py() == repeats.ASKS]
+        assert set(repeats.unpack(asks, repeats._ASK)[4].tolist()) <= ways
+    check(spark, rows)
