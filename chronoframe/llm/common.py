@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import math
 import re
@@ -108,6 +110,20 @@ def text_buffer(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, offsets - first
 
 
+def tidy(run):
+    """``run`` over Arrow batches, after which a task's worker gives back what it holds: idle workers count too."""
+
+    def out(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return out
+
+
 def spans(offsets: np.ndarray, target: int) -> Iterator[tuple[int, int]]:
     """Cut rows into runs of at most ``target`` bytes (a longer row stands alone)."""
     i, n = 0, len(offsets) - 1

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, text_buffer
+from .common import Scratch, spans, text_buffer, tidy
 from .components import connected_components
 
 SHINGLE = 5
@@ -34,6 +34,8 @@ CELLS = 64
 LONG, FINE = 1_000, 1_024
 #: Texts up to which a set of them is broadcast (8 bytes each).
 FEW = 1_000_000
+#: Bytes of texts or sets that a task works on at once.
+AT_ONCE = 4 << 20
 #: Texts sampled for the order of shingles, how many of them make a shingle common, and the most of these.
 SAMPLE, COMMON, MOST = 10_000, 4, 200_000
 
@@ -65,9 +67,15 @@ def _cells(hashes: np.ndarray, count: int = CELLS) -> bytes:
 
 def _sets(column, size: int):
     body, offs = text_buffer(column)
-    raw = body.tobytes()
     for i, j in zip(offs[:-1].tolist(), offs[1:].tolist()):
-        yield shingles(raw[i:j], size)
+        yield shingles(body[i:j].tobytes(), size)
+
+
+def _small(batches, k: int):
+    """The batches cut into runs of about ``AT_ONCE`` bytes of column ``k``."""
+    for b in batches:
+        for i, j in spans(text_buffer(b.column(k))[1], AT_ONCE):
+            yield b.slice(i, j - i)
 
 
 def _common(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,12 +85,12 @@ def _common(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
         texts = texts.sample(SAMPLE / rows, seed=1)
 
     def run(batches):
-        for b in batches:
+        for b in _small(batches, 0):
             got = list(_sets(b.column(0), size))
             s, n = np.unique(np.concatenate(got) if got else np.zeros(0, np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(n)], names=["s", "n"])
 
-    found = texts.select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    found = texts.select("text").mapInArrow(tidy(run), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
     rows = found.orderBy(F.desc("n"), "s").limit(MOST).collect()
     s, n = np.array([r["s"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64)
     order = np.argsort(s)
@@ -94,7 +102,7 @@ def _prints(texts: DataFrame, size: int, common: tuple[np.ndarray, np.ndarray])
     last, often = common
 
     def run(batches):
-        for b in batches:
+        for b in _small(batches, 2):
             names, counts, cells, fine, heads = [], [], [], [], []
             for s in _sets(b.column(2), size):
                 rank = np.zeros(len(s), np.int64)
@@ -113,7 +121,7 @@ def _prints(texts: DataFrame, size: int, common: tuple[np.ndarray, np.ndarray])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.int64()), pa.array(counts, pa.int32()), pa.array(cells, pa.binary()), pa.array(fine, pa.binary()), lists], names=["key", "h", "node", "n", "cells", "fine", "prefix"])
 
     schema = T.StructType([texts.schema["key"], T.StructField("h", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("cells", T.BinaryType()), T.StructField("fine", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
-    return texts.select("key", "h", "text").mapInArrow(run, schema)
+    return texts.select("key", "h", "text").mapInArrow(tidy(run), schema)
 
 
 def _fits(a: str, b: str) -> Column:
@@ -155,26 +163,27 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, s
 
     side = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("cells").alias(f"c{k}"), F.col("fine").alias(f"f{k}"))
     near = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "nu", "nv", "cu", "cv", "fu", "fv")
-    pairs = scratch.table(near.mapInArrow(sift, "u long, v long"))
+    pairs = scratch.table(near.mapInArrow(tidy(sift), "u long, v long"))
     wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     wanted = scratch.table(wanted.join(nodes.select("node", "h"), "node").select("h"))
     if wanted.count() <= FEW:  # texts that no pair needs are then not shuffled
         wanted = F.broadcast(wanted)
 
     def read(batches):
-        for b in batches:
+        for b in _small(batches, 0):
             got = list(_sets(b.column(0), size))
             yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], names=["node", "hashes"])
 
     def judge(batches):
         for b in batches:
-            own = [(len(x) // 8, len(y) // 8, len(np.intersect1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True))) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            both = zip(*([np.frombuffer(x.as_buffer(), np.int64) for x in b.column(k)] for k in (2, 3)))  # views, not copies
+            own = [(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))) for x, y in both]
             good = pa.array([LEAST[1] * c >= LEAST[0] * (n + m - c) for n, m, c in own], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(good)
 
-    sets = scratch.table(texts.select("h", "text").join(wanted, "h", "left_semi").dropDuplicates(["h"]).select("text").mapInArrow(read, "node long, hashes binary"))
+    sets = scratch.table(texts.select("h", "text").join(wanted, "h", "left_semi").dropDuplicates(["h"]).select("text").mapInArrow(tidy(read), "node long, hashes binary"))
     full = pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("hu")), "u").join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("hv")), "v")
-    out = scratch.table(full.select("u", "v", "hu", "hv").mapInArrow(judge, "u long, v long"))
+    out = scratch.table(full.select("u", "v", "hu", "hv").mapInArrow(tidy(judge), "u long, v long"))
     scratch.drop(pairs)
     scratch.drop(sets)
     return out

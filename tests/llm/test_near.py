@@ -79,3 +79,15 @@ def test_the_stage_tells_rows_apart_by_id_and_text(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
     assert sorted((str(r["doc_id"]), r["text"][0]) for r in got) == [("1", "b"), ("2", "a"), ("2", "c"), ("None", "d"), ("None", "e")]
+
+
+def test_tasks_work_on_small_runs_of_a_batch(spark, monkeypatch):
+    import pyarrow as pa
+
+    from chronoframe.llm import near
+
+    monkeypatch.setattr(near, "AT_ONCE", 100)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(["x" * 30] * 48 + [None, "y" * 500])], names=["key", "text"])
+    cut = list(near._small([batch], 1))
+    assert pa.Table.from_batches(cut).equals(pa.Table.from_batches([batch]))
+    assert max(b.num_rows for b in cut) <= 4 and cut[-1].column(1)[-1].as_py() == "y" * 500
