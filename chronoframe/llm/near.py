@@ -1,4 +1,10 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, exact: a prefix-filtered similarity join.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash index, exact check, exact rest.
+
+Each set has a SimHash fingerprint. The byte-position index of ``simhash`` tallies the postings that two
+fingerprints share; pairs with ``SHARED`` or more, and sets of one fingerprint, are verified on the whole
+sets and give first components. At the least similarity fingerprints differ in about ten bits, more than
+any index over 64 bits can promise to find. The pairs that it missed are therefore found by a
+prefix-filtered join, which leaves out those that are in one component already; so the result is exact.
 
 Two sets of n shingles that are at least ``LEAST`` similar share one of the first n - LEAST * n + 1 of
 each under any common order, so only these are listed. The order puts shingles that are common in a
@@ -24,11 +30,14 @@ from pyspark.sql import types as T
 
 from .common import Scratch, spans, text_buffer, tidy
 from .components import connected_components
+from .simhash import candidates, majority
 
 SHINGLE = 5
 #: The least similarity, as a fraction.
 LEAST = (4, 5)
 WIDE = 32
+#: Postings of the byte-position index that make a pair of fingerprints a candidate: six equal bytes share three.
+SHARED = 3
 CELLS = 64
 #: Sets from this size on are also sifted by this many cells; fewer do not tell two long texts apart.
 LONG, FINE = 1_000, 1_024
@@ -98,12 +107,12 @@ def _common(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prints(texts: DataFrame, size: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``texts(key, h, text)`` -> ``key, h, node, n, cells, fine, prefix``."""
+    """``texts(key, h, text)`` -> ``key, h, node, fp, n, cells, fine, prefix``."""
     last, often = common
 
     def run(batches):
         for b in _small(batches, 2):
-            names, counts, cells, fine, heads = [], [], [], [], []
+            names, fps, counts, cells, fine, heads = [], [], [], [], [], []
             for s in _sets(b.column(2), size):
                 rank = np.zeros(len(s), np.int64)
                 if len(last):
@@ -113,14 +122,15 @@ def _prints(texts: DataFrame, size: int, common: tuple[np.ndarray, np.ndarray])
                 n = len(s)
                 heads.append(s[np.lexsort((s, rank))][: n - -(-LEAST[0] * n // LEAST[1]) + 1])
                 names.append(_node(s))
+                fps.append(majority(s.view(np.uint64)))
                 counts.append(n)
                 cells.append(_cells(s))
                 fine.append(_cells(s, FINE) if n >= LONG else b"")
             at = np.cumsum([0] + [len(x) for x in heads]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(heads) if heads else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.int64()), pa.array(counts, pa.int32()), pa.array(cells, pa.binary()), pa.array(fine, pa.binary()), lists], names=["key", "h", "node", "n", "cells", "fine", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(counts, pa.int32()), pa.array(cells, pa.binary()), pa.array(fine, pa.binary()), lists], names=["key", "h", "node", "fp", "n", "cells", "fine", "prefix"])
 
-    schema = T.StructType([texts.schema["key"], T.StructField("h", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("cells", T.BinaryType()), T.StructField("fine", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    schema = T.StructType([texts.schema["key"], T.StructField("h", T.LongType()), T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("cells", T.BinaryType()), T.StructField("fine", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
     return texts.select("key", "h", "text").mapInArrow(tidy(run), schema)
 
 
@@ -189,6 +199,22 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, s
     return out
 
 
+def _indexed(nodes: DataFrame, scratch: Scratch, wide: int) -> DataFrame:
+    """Pairs of nodes by the byte-position index of their fingerprints, each of which its smallest node stands for."""
+    heads = scratch.table(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    met = candidates(heads.select("fp"), scratch, SHARED, wide)
+    side = lambda k: heads.select(F.col("fp").alias(k), F.col("head").alias(f"{k}_head"))
+    met = met.join(side("u"), "u").join(side("v"), "v").select(F.col("u_head").alias("u"), F.col("v_head").alias("v"))
+    same = nodes.join(heads, "fp").where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v"))
+    return scratch.table(met.unionByName(same).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+
+
+def _open(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs that are not in one component yet."""
+    side = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"{k}_label"))
+    return pairs.join(side("u"), "u", "left").join(side("v"), "v", "left").where("u_label is null or v_label is null or u_label <> v_label").select("u", "v")
+
+
 def components(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, wide: int = WIDE) -> DataFrame:
     """``key, component`` for each row of ``df``: the smallest key reachable over pairs of texts whose
     shingle sets have a Jaccard similarity of ``LEAST`` or more.
@@ -200,7 +226,10 @@ def components(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", s
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = df.select(F.col(key_col).alias("key"), F.xxhash64(text).alias("h"), text.alias("text"))
     prints = scratch.table(_prints(texts, size, _common(texts, size)))
-    nodes = scratch.table(prints.groupBy("node").agg(F.min("key").alias("least"), F.min("h").alias("h"), F.any_value("n").alias("n"), F.any_value("cells").alias("cells"), F.any_value("fine").alias("fine")))
+    nodes = scratch.table(prints.groupBy("node").agg(F.min("key").alias("least"), F.min("h").alias("h"), F.any_value("fp").alias("fp"), F.any_value("n").alias("n"), F.any_value("cells").alias("cells"), F.any_value("fine").alias("fine")))
+    first = _verified(_indexed(nodes, scratch, wide), nodes, texts, size, scratch)
+    known = connected_components(first, scratch)
+
     listed = prints.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
     listed = listed.select("node", "n", F.posexplode("prefix").alias("pos", "s"))
     live = scratch.table(listed.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("s"))).where("m > 1"))
@@ -211,7 +240,9 @@ def components(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", s
     full = scratch.table(full.join(full.groupBy("node").agg(F.sum("m").alias("weight")), "node"))
     hubs = full.groupBy("s").agg(F.max(F.struct("weight", "node", "n", "pos")).alias("hub")).select("s", "hub.*")
     stars = _pairs(full.alias("a").join(hubs.alias("b"), F.col("a.s") == F.col("b.s")).where(F.col("a.node") != F.col("b.node")).where(_fits("a", "b")))
-    edges = _verified(pairs.unionByName(stars).distinct(), nodes, texts, size, scratch)
+    rest = _open(pairs.unionByName(stars).distinct(), known)
+    known = known.where("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v"))  # as good as ``first``
+    edges = scratch.table(known.unionByName(_verified(rest, nodes, texts, size, scratch)))
     labels = connected_components(edges, scratch)
 
     if full.limit(1).count():

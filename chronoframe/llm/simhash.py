@@ -53,7 +53,12 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     starts = (ends - sizes)[:n].tolist()
     stops = (ends[len(words) - n :] - 1).tolist()
     pieces = map(joined.__getitem__, map(slice, starts, stops))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(seed)), np.uint64, n)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(seed)), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half the hashes (uint64); 0 for none."""
+    n = len(hashes)
     by_byte = hashes.astype(">u8").view(np.uint8).reshape(n, 8)
     out = 0
     for k in range(8):
@@ -97,17 +102,16 @@ def _verified(pairs: DataFrame, bits: int) -> DataFrame:
     return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= bits)
 
 
-def links(nodes: DataFrame, scratch: Scratch, bits: int = BITS, wide: int = WIDE) -> DataFrame:
-    """``nodes(fp)`` distinct -> verified ``(u, v)``, enough of them to connect every linked pair."""
-    if bits not in LEAST_SHARED:
-        raise ValueError("the index guarantees links of at most two differing bits")
+def candidates(nodes: DataFrame, scratch: Scratch, least: int, wide: int = WIDE) -> DataFrame:
+    """``nodes(fp)`` distinct -> ``(u, v)`` that share ``least`` postings of the byte-position index or more, and
+    the links of the one-bit neighbours in postings of over ``wide`` members."""
     entries = [F.struct(F.lit(s).alias("slot"), _key("fp", block).alias("key")) for s, block in enumerate(_BLOCKS)]
     index = nodes.select("fp", F.explode(F.array(*entries)).alias("e")).select("e.slot", "e.key", "fp")
     sizes = index.groupBy("slot", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     index = scratch.table(index.join(sizes, ["slot", "key"]))
     slim = index.where(F.col("n") <= wide).drop("n")
     met = slim.withColumnRenamed("fp", "u").join(slim.withColumnRenamed("fp", "v"), ["slot", "key"]).where("u < v")
-    pairs = met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= LEAST_SHARED[bits]).select("u", "v")
+    pairs = met.groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least).select("u", "v")
 
     masks = [[0] + [1 << (56 - 8 * k + b) for k in range(8) if k not in block for b in range(8)] for block in _BLOCKS]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
@@ -116,7 +120,14 @@ def links(nodes: DataFrame, scratch: Scratch, bits: int = BITS, wide: int = WIDE
     full = full.select("slot", "key", "u", F.col("u").bitwiseXOR(F.col("m")).alias("mid"))
     stars = full.groupBy("slot", "key", "mid").agg(F.min("u").alias("v"), F.max("u").alias("top")).where("v <> top")
     stars = full.join(stars, ["slot", "key", "mid"]).where("u <> v").select("u", "v")
-    return scratch.table(_verified(pairs.unionByName(stars), bits).distinct())
+    return pairs.unionByName(stars)
+
+
+def links(nodes: DataFrame, scratch: Scratch, bits: int = BITS, wide: int = WIDE) -> DataFrame:
+    """``nodes(fp)`` distinct -> verified ``(u, v)``, enough of them to connect every linked pair."""
+    if bits not in LEAST_SHARED:
+        raise ValueError("the index guarantees links of at most two differing bits")
+    return scratch.table(_verified(candidates(nodes, scratch, LEAST_SHARED[bits], wide), bits).distinct())
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, bits: int = BITS, wide: int = WIDE) -> DataFrame:

@@ -81,6 +81,27 @@ def test_the_stage_tells_rows_apart_by_id_and_text(spark):
     assert sorted((str(r["doc_id"]), r["text"][0]) for r in got) == [("1", "b"), ("2", "a"), ("2", "c"), ("None", "d"), ("None", "e")]
 
 
+def test_the_byte_position_index_links_first_and_the_join_the_rest(spark, monkeypatch):
+    from chronoframe.llm import near
+
+    rng = random.Random(6)
+    rows = []
+    for k in range(12):
+        w = [str(rng.random()) for _ in range(1500)]
+        rows.append((k, " ".join(w)))
+        rows.append((100 + k, " ".join([*w, "end"])))  # nearly the same fingerprint
+        w[100::120] = ["edited"] * len(w[100::120])
+        rows.append((200 + k, " ".join(w)))  # similar enough, another fingerprint
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    exact = groups(rows)
+    assert sum(i == c for i, c in exact) == 12
+    assert sorted((tuple(r) for r in components(df).collect()), key=str) == exact
+    monkeypatch.setattr(near, "_open", lambda pairs, labels: pairs.where("false"))
+    alone = dict(tuple(r) for r in components(df).collect())
+    linked = [k for k in range(12) if alone[100 + k] == k]
+    assert len(linked) >= 9 and all(alone[200 + k] in (k, 100 + k, 200 + k) for k in range(12))
+
+
 def test_tasks_work_on_small_runs_of_a_batch(spark, monkeypatch):
     import pyarrow as pa
 
