@@ -134,10 +134,19 @@ def spans(offsets: np.ndarray, target: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def small(batches, k: int, target: int | None = None):
+    """The batches cut into runs of about ``target`` bytes (``AT_ONCE``) of column ``k``, so that a task holds little at once."""
+    for b in batches:
+        for i, j in spans(text_buffer(b.column(k).cast(pa.large_string()))[1], target or AT_ONCE):
+            yield b.slice(i, j - i)
+
+
 # Columns of many small rows travel as packed binaries, one or more for each bucket.
 DEALT = "kind int, part int, blob binary"
 #: Buckets up to which rows are dealt at once; more are dealt by groups of buckets first.
 FAN = 1024
+#: Bytes of texts that a task works on at once, where its batches are cut.
+AT_ONCE = 4 << 20
 #: Bytes that a task of the second dealing gathers before it deals them on.
 GATHERED = 96 << 20
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORDS, Scratch, spans, text_buffer
+from .common import WORDS, Scratch, small, spans, text_buffer, tidy
 
 MASKS = ("1111", "10111", "11011", "11101")
 #: Items of fewer words than a mask's ones are hashed whole.
@@ -350,9 +350,9 @@ def decontaminate(df: DataFrame, items: DataFrame, text_col: str = "text", item_
     at = df.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
+        for b in small(batches, at):
             keep = np.ones(b.num_rows, bool)
             keep[[r for r, _ in _scan(b.column(at).cast(pa.string()), index, overlap)]] = False
             yield b.filter(pa.array(keep))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, spans, text_buffer, tidy
+from .common import Scratch, small, text_buffer, tidy
 from .components import connected_components
 from .simhash import candidates, majority
 
@@ -81,10 +81,7 @@ def _sets(column, size: int):
 
 
 def _small(batches, k: int):
-    """The batches cut into runs of about ``AT_ONCE`` bytes of column ``k``."""
-    for b in batches:
-        for i, j in spans(text_buffer(b.column(k))[1], AT_ONCE):
-            yield b.slice(i, j - i)
+    return small(batches, k, AT_ONCE)
 
 
 def _common(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:

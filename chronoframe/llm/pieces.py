@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small, tidy
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 #: Chunks that a worker keeps, and the longest that it keeps.
@@ -311,7 +313,7 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
         vocab.limit = cache
         is_byte = np.zeros(len(vocab.pieces), bool)
         is_byte[vocab.bytes_at] = True
-        for b in batches:
+        for b in small(batches, -1):
             rows, best, scores = [], [], []
             for v in b.column(b.num_columns - 1):
                 text = v.as_py() or ""
@@ -333,4 +335,4 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
             vocab.cache, vocab.older = {}, {}
 
     docs = df.select(F.col(id_col).alias("doc_id"), *[F.col(c) for c in carry], F.col(text_col).cast("string").alias("_text"))
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, spans, text_buffer
+from .common import WORDS, small, spans, text_buffer, tidy
 
 #: Bytes of a word's beginning that make a feature; the longer one is the whole of a shorter word.
 PREFIXES = (4, 6)
@@ -161,7 +161,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n1, n0 = float(sizes["n1"] or 0), float(sizes["n"] - (sizes["n1"] or 0))
     half = lambda c: F.col(c) + 0.5
     odds = F.log(half("toxic") / (n1 + 0.5 - F.col("toxic"))) - F.log(half("clean") / (n0 + 0.5 - F.col("clean")))
-    counts = rows.mapInArrow(count, "code long, toxic long, clean long").groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = rows.mapInArrow(tidy(count), "code long, toxic long, clean long").groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     scored = counts.where(F.col("toxic") >= LEAST).select("code", (odds / F.sqrt(1 / half("toxic") + 1 / half("clean"))).alias("z")).where(F.col("z") >= Z)
     picked = Picked(np.array([r["code"] for r in scored.orderBy(F.desc("z"), "code").limit(PICKED).collect()], np.int64))
     if not len(picked.feats):
@@ -174,7 +174,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)), pa.int32()), pa.array(feat))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["label", "feats"])
 
-    got = rows.mapInArrow(extract, "label int, feats array<long>").toArrow()
+    got = rows.mapInArrow(tidy(extract), "label int, feats array<long>").toArrow()
     rows.unpersist()
     label = got["label"].to_numpy()
     size = got["feats"].combine_chunks().value_lengths().to_numpy()
@@ -211,7 +211,7 @@ def drop_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     at = df.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
+        for b in small(batches, at):
             yield b.filter(pa.array(model.above(*text_buffer(b.column(at)))[:, 0] < toxic_from))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)

@@ -87,3 +87,14 @@ def test_tables(spark):
     back = decode_table(full).collect()
     assert all(r["decoded"] == (r["text"] or "") for r in back)
     assert digest(df.where("false")).count() == 0
+
+
+def test_batches_are_cut_small(monkeypatch):
+    import pyarrow as pa
+
+    from chronoframe.llm import common
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(["x" * 30, None, "y" * 500, "z"])], names=["key", "text"])
+    monkeypatch.setattr(common, "AT_ONCE", 40)
+    cut = list(common.small([batch], -1))
+    assert [b.num_rows for b in cut] == [2, 1, 1] and pa.Table.from_batches(cut).equals(pa.Table.from_batches([batch]))
