@@ -26,7 +26,6 @@ import re
 import string
 from array import array
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +39,8 @@ N_BEST = 4
 #: Chunks that a worker keeps, and the longest that it keeps.
 CACHE = 400_000
 CACHE_CHARS = 48
+#: Chunks of which a worker keeps the n best.
+SEARCHED = 20_000
 
 _SPACE = "▁"
 _P, _A = re.escape(string.punctuation), "0-9A-Za-z\u00c0-\u024f"
@@ -50,6 +51,42 @@ _CHUNKS = re.compile(" *[^ \n]+|\n| +")
 _FINE_CHUNKS = re.compile(f" *[{_A}]++(?=[ \n{_P}]|$)| *[{_P}]++(?=[ \n{_A}]|$)| *[^ \n]+|\n| +")
 
 
+def _tree(ids: dict[str, int], scores: list[float]) -> dict:
+    """The pieces by their characters; a node without longer pieces has None for what may follow."""
+    top: dict = {}
+    for piece, k in ids.items():
+        node = top
+        for c in piece[:-1]:
+            below, w, at = node.get(c, (None, 0.0, -1))
+            if below is None:
+                below = {}
+                node[c] = (below, w, at)
+            node = below
+        node[piece[-1]] = (node.get(piece[-1], (None,))[0], scores[k], k)
+    return top
+
+
+class _Chunks(dict):
+    """Results for short chunks, made where missing and kept in two generations of ``limit`` each."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older, self.limit = make, {}, CACHE
+
+    def __missing__(self, text: str) -> tuple[float, bytes, float]:
+        got = self.older.get(text) or self.make(text)
+        if len(text) <= CACHE_CHARS:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[text] = got
+        return got
+
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
+
 class Vocabulary:
     """Pieces with their scores (the blank symbol as a plain blank), and the searches over their lattice."""
 
@@ -60,8 +97,8 @@ class Vocabulary:
         if any(" " in p.lstrip(" ") or "\n" in p for p in self.ids):
             raise ValueError("a piece crosses a chunk's border")
         self.pieces, self.scores, self.bytes_at = pieces, scores, bytes_at
-        #: Every beginning of a piece, with the id of the piece that it is, or -1.
-        self.starts = {p[:n]: -1 for p in self.ids for n in range(1, len(p) + 1)} | self.ids
+        #: Pieces as a tree: a character to (what may follow or None, score, id of the piece that ends here or -1).
+        self.tree = _tree(self.ids, scores)
         self.byte_score = min(scores[k] for k in self.ids.values()) - 10.0
         #: What each id decodes to.
         self.raw = [b"" if k in skip else plain[k].encode() for k in range(len(pieces))]
@@ -69,9 +106,9 @@ class Vocabulary:
             self.raw[k] = bytes([b])
         joined = any(re.search(f"[{_P}][{_A}]|[{_A}][{_P}]", p) for p in self.ids)
         self.chunks = (_CHUNKS if joined else _FINE_CHUNKS).findall
-        self.cache: dict[str, tuple[float, bytes, float]] = {}
-        self.older: dict[str, tuple[float, bytes, float]] = {}
-        self.limit = CACHE
+        self.cache = _Chunks(self.viterbi)
+        #: n_best of the chunks that stood in for others last.
+        self.searched: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -91,16 +128,19 @@ class Vocabulary:
 
     def edges(self, chunk: str) -> list[tuple[int, int, float, int]]:
         """The lattice as (from, to, score, id), by where they start; id -1 stands for fallback bytes."""
-        starts, scores, out, size = self.starts, self.scores, [], len(chunk)
+        out, size = [], len(chunk)
         for i in range(size):
-            single = False
-            for j in range(i + 1, size + 1):
-                k = starts.get(chunk[i:j])
-                if k is None:
+            single, node = False, self.tree
+            for j in range(i, size):
+                got = node.get(chunk[j])
+                if got is None:
                     break
+                node, w, k = got
                 if k >= 0:
-                    single |= j == i + 1
-                    out.append((i, j, scores[k], k))
+                    single |= j == i
+                    out.append((i, j + 1, w, k))
+                if node is None:
+                    break
             if not single:
                 out.append((i, i + 1, self.byte_score * len(chunk[i].encode("utf-8", "surrogatepass")), -1))
         return out
@@ -111,39 +151,43 @@ class Vocabulary:
     def viterbi(self, chunk: str) -> tuple[float, bytes, float]:
         """The best segmentation's score and ids, and what the second best lacks (infinite without one):
         a forward pass with the two best scores up to every position."""
-        size, starts, scores = len(chunk), self.starts.get, self.scores
+        size, tree = len(chunk), self.tree
         none = -math.inf
         best, second = [0.0] + [none] * size, [none] * (size + 1)
-        back: list = [None] * (size + 1)
+        back, last = [0] * (size + 1), [-1] * (size + 1)
         for i in range(size):
-            first, other, single = best[i], second[i], False
-            for j in range(i + 1, size + 1):
-                k = starts(chunk[i:j])
-                if k is None:
+            first, other, node = best[i], second[i], tree
+            single, j = False, i
+            for c in chunk[i:] if i else chunk:
+                got = node.get(c)
+                if got is None:
+                    break
+                j += 1
+                node, w, k = got
+                if k >= 0:
+                    if j == i + 1:
+                        single = True
+                    v = first + w
+                    if v > best[j]:
+                        second[j], best[j], back[j], last[j] = best[j], v, i, k
+                    elif v > second[j]:
+                        second[j] = v
+                    if other + w > second[j]:
+                        second[j] = other + w
+                if node is None:
                     break
-                if k < 0:
-                    continue
-                if j == i + 1:
-                    single = True
-                v = first + scores[k]
-                if v > best[j]:
-                    second[j], best[j], back[j] = best[j], v, (i, k)
-                elif v > second[j]:
-                    second[j] = v
-                if other > none and other + scores[k] > second[j]:
-                    second[j] = other + scores[k]
             if not single:
                 w = self.byte_score * len(chunk[i].encode("utf-8", "surrogatepass"))
                 j, v = i + 1, first + w
                 if v > best[j]:
-                    second[j], best[j], back[j] = best[j], v, (i, -1)
+                    second[j], best[j], back[j], last[j] = best[j], v, i, -1
                 elif v > second[j]:
                     second[j] = v
                 if other + w > second[j]:
                     second[j] = other + w
         at, ids = size, []
         while at:
-            i, k = back[at]
+            i, k = back[at], last[at]
             if k >= 0:
                 ids.append(k)
             else:
@@ -184,13 +228,15 @@ class Vocabulary:
         out.sort(key=lambda x: (-round(x[0], 9), x[1]))
         return [(s, array("i", p).tobytes()) for s, p in out[:n]]
 
-    def chunk(self, text: str) -> tuple[float, bytes, float]:
-        """viterbi, kept for short chunks in two generations."""
-        got = self.older.get(text) or self.viterbi(text)
-        if len(text) <= CACHE_CHARS:
-            if len(self.cache) >= self.limit:
-                self.older, self.cache = self.cache, {}
-            self.cache[text] = got
+    def others(self, chunk: str, n: int) -> list[tuple[float, bytes]]:
+        """n_best, kept for short chunks: the smallest gaps are those of the same few words in most texts."""
+        got = self.searched.get((chunk, n))
+        if got is None:
+            got = self.n_best(chunk, n)
+            if len(chunk) <= CACHE_CHARS:
+                if len(self.searched) >= SEARCHED:
+                    self.searched.clear()
+                self.searched[chunk, n] = got
         return got
 
 
@@ -203,9 +249,8 @@ def _encode(text: str, vocab: Vocabulary, n: int, swaps: list | None = None) ->
     """The n best (score, int32 ids as bytes) of a text. ``swaps`` gets the (chunk, ids) that stand in for
     the best ids of a chunk in the others."""
     chunks = vocab.chunks(" " + text) if text else []
-    get, chunk = vocab.cache.get, vocab.chunk
-    parts = [get(c) or chunk(c) for c in chunks]
-    score, ids, gap = zip(*parts) if parts else ((), (), ())
+    parts = list(map(vocab.cache.__getitem__, chunks))
+    score, ids, gap = ([p[k] for p in parts] for k in range(3))
     total, best = sum(score), b"".join(ids)
     out = [(total, best)]
     if n == 1 or not parts:
@@ -214,8 +259,11 @@ def _encode(text: str, vocab: Vocabulary, n: int, swaps: list | None = None) ->
     gaps = np.array(gap)
     near = np.argpartition(gaps, n - 2)[: n - 1] if len(gaps) >= n else np.arange(len(gaps))
     near = [k for k in near[np.lexsort((near, gaps[near]))].tolist() if gaps[k] < math.inf]
-    other = {k: [(score[k] - s, p) for s, p in vocab.n_best(chunks[k], n) if p != ids[k]][: n - 1] for k in near}
-    ends = list(accumulate(map(len, ids)))
+    other = {k: [(score[k] - s, p) for s, p in vocab.others(chunks[k], n) if p != ids[k]][: n - 1] for k in near}
+    ends, done, size = {}, 0, 0
+    for k in sorted(near):
+        size += sum(map(len, ids[done : k + 1]))
+        ends[k], done = size, k + 1
     rank = {k: r for r, k in enumerate(near)}
     queue = [(other[k][0][0], ((k, 0),)) for k in near]
     heapq.heapify(queue)
@@ -310,7 +358,7 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
 
     def run(batches):
         vocab = vocabulary(model)
-        vocab.limit = cache
+        vocab.cache.limit = cache
         is_byte = np.zeros(len(vocab.pieces), bool)
         is_byte[vocab.bytes_at] = True
         for b in small(batches, -1):
@@ -332,7 +380,7 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
             lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(best), np.int32))), pa.array(scores, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *lists, *[pa.array(c, t) for c, t in zip(cols, types)]], names=names)
         if not keep:
-            vocab.cache, vocab.older = {}, {}
+            vocab.cache.forget()
 
     docs = df.select(F.col(id_col).alias("doc_id"), *[F.col(c) for c in carry], F.col(text_col).cast("string").alias("_text"))
     return docs.mapInArrow(tidy(run), schema)

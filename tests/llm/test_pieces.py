@@ -98,3 +98,35 @@ def test_batches_are_cut_small(monkeypatch):
     monkeypatch.setattr(common, "AT_ONCE", 40)
     cut = list(common.small([batch], -1))
     assert [b.num_rows for b in cut] == [2, 1, 1] and pa.Table.from_batches(cut).equals(pa.Table.from_batches([batch]))
+
+
+def test_kept_searches(monkeypatch):
+    from chronoframe.llm import pieces
+
+    kept = pieces._Chunks(len)
+    kept.limit = 3
+    assert [kept[c] for c in ("a", "bb", "ccc", "dddd", "a")] == [1, 2, 3, 4, 1]
+    assert set(kept) == {"dddd", "a"} and set(kept.older) == {"a", "bb", "ccc"}
+    kept.forget()
+    assert not kept and not kept.older and kept["x" * 99] == 99 and not kept
+    monkeypatch.setattr(pieces, "SEARCHED", 2)
+    v = toy()
+    for text in ("aba", "abab", "baba"):
+        assert v.others(text, 4) == v.others(text, 4) == v.n_best(text, 4)
+    assert len(v.searched) == 1
+    monkeypatch.setattr(pieces, "SEARCHED", 100)
+    calls = []
+    monkeypatch.setattr(v, "n_best", lambda *x, f=v.n_best: calls.append(x) or f(*x))
+    first = encode("abab aba", v)
+    tried = len(calls)
+    assert tried and encode("abab aba", v) == first and len(calls) == tried  # equal chunks are searched once
+
+
+def test_the_two_best_scores_of_chunks():
+    rng, v = random.Random(5), toy()
+    for _ in range(200):
+        chunk = "".join(rng.choice("aabb é") for _ in range(rng.randint(1, 9)))
+        score, ids, gap = v.viterbi(chunk)
+        found = v.n_best(chunk, 2)
+        assert found[0][0] == pytest.approx(score, abs=1e-7)
+        assert gap == (math.inf if len(found) == 1 else pytest.approx(score - found[1][0], abs=1e-7))
