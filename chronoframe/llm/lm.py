@@ -42,6 +42,7 @@ ROUNDS = 3
 SENT, TRAINERS = 0.17, 8
 STEP = 0.08
 BATCH = 20_000
+LN10 = float(np.log(10))
 #: Words of which the counts are broadcast (12 bytes each).
 HEAD = 1 << 17
 #: Distinct words that a task counts before it deals them, and tokens of text to a count bucket.
@@ -56,13 +57,15 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 
 def tokens(body: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of the texts, each closed by END, and the offsets of the texts in them."""
-    words = [body[a:z].tobytes().lower().split() for a, z in zip(offs[:-1].tolist(), offs[1:].tolist())]
-    size = np.array([len(w) for w in words], np.int64) + 1
-    at = np.concatenate([[0], np.cumsum(size)])
+    raw, ends = body.tobytes().lower(), offs.tolist()
+    found = []
+    for a, z in zip(ends[:-1], ends[1:]):  # a text's words go as soon as they are hashed
+        words = raw[a:z].split()
+        found.append(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64))
+    at = np.concatenate([[0], np.cumsum([len(x) + 1 for x in found], dtype=np.int64)])
     out = np.full(int(at[-1]), END, np.int64)
-    own = np.ones(len(out), bool)
-    own[at[1:] - 1] = False
-    out[own] = np.fromiter((d for w in words for d in map(xxhash.xxh64_intdigest, w)), np.uint64, int(own.sum())).view(np.int64)
+    for x, a in zip(found, at.tolist()):
+        out[a : a + len(x)] = x
     return out, at
 
 
@@ -222,30 +225,54 @@ def features(tok: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([a >> np.uint64(20), b >> np.uint64(20), pair >> np.uint64(20)])
 
 
+def _logits(table: np.ndarray, rows: np.ndarray, bias: np.ndarray, given: np.ndarray) -> np.ndarray:
+    """Logits [outcomes, tokens], less the greatest of each token."""
+    z, more = np.empty((len(table), rows.shape[1]), table.dtype), np.empty(rows.shape[1], table.dtype)
+    rows = rows.astype(np.intp, copy=False)
+    start = bias.astype(table.dtype, copy=False)
+    for out, own, first in zip(z, table, start):
+        own.take(rows[0], out=out, mode="clip")
+        for source, at in ((own, rows[1]), (own, rows[2]), (first, given)):
+            out += source.take(at, out=more, mode="clip")
+    z -= z.max(axis=0)
+    return z
+
+
 def _softmax(table: np.ndarray, rows: np.ndarray, bias: np.ndarray, given: np.ndarray) -> np.ndarray:
     """Probabilities [outcomes, tokens]."""
-    z = np.empty((len(table), rows.shape[1]), table.dtype)
-    for out, own, start in zip(z, table, bias):
-        np.take(own, rows[0], out=out, mode="clip")
-        out += own.take(rows[1], mode="clip")
-        out += own.take(rows[2], mode="clip")
-        out += start.take(given, mode="clip")
-    z -= z.max(axis=0)
+    z = _logits(table, rows, bias, given)
     np.exp(z, out=z)
     z /= z.sum(axis=0)
     return z
 
 
-def _gradient(p: np.ndarray, rows: np.ndarray, truth: np.ndarray, size: int) -> np.ndarray:
-    """Gradient by outcome and feature row."""
+def _slopes(p: np.ndarray, rows: np.ndarray, truth: np.ndarray, size: int):
+    """Gradient by feature row (float64), one outcome after another."""
     n = len(truth)
     p[truth, np.arange(n)] -= 1
-    flat, thrice = rows.reshape(-1).astype(np.intp), np.empty((3, n))
-    out = np.empty((len(p), size), p.dtype)
-    for k, own in enumerate(p):
+    flat, thrice = rows.reshape(-1).astype(np.intp, copy=False), np.empty((3, n))
+    for own in p:
         thrice[:] = own
-        out[k] = np.bincount(flat, thrice.reshape(-1), minlength=size)
-    return out
+        yield np.bincount(flat, thrice.reshape(-1), minlength=size)
+
+
+def _gradient(p: np.ndarray, rows: np.ndarray, truth: np.ndarray, size: int) -> np.ndarray:
+    """Gradient by outcome and feature row."""
+    return np.stack([g.astype(p.dtype) for g in _slopes(p, rows, truth, size)])
+
+
+def _step(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, bias: np.ndarray, given: np.ndarray, truth: np.ndarray) -> None:
+    """An Adagrad step over a batch, in place: outcome by outcome, so that no array as large as the table is made."""
+    rows = rows.astype(np.intp)
+    g, scale = np.empty(table.shape[1], table.dtype), np.empty(table.shape[1], table.dtype)
+    for own, total, slope in zip(table, seen, _slopes(_softmax(table, rows, bias, given), rows, truth, len(g))):
+        g[:] = slope
+        np.multiply(g, g, out=scale)
+        total += scale
+        np.sqrt(total, out=scale)
+        g *= STEP
+        g /= scale
+        own -= g
 
 
 def train(texts: DataFrame, shape: Shape, chars: int) -> np.ndarray:
@@ -268,9 +295,7 @@ def train(texts: DataFrame, shape: Shape, chars: int) -> np.ndarray:
                     for i in range(0, len(tok), BATCH):
                         cut = slice(i, i + BATCH)
                         for table, s, (rows, bias, given, y) in zip(tables, seen, shape.factors(feats[:, cut], group[cut], slot[cut])):
-                            g = _gradient(_softmax(table, rows, bias, given), rows, y, shape.rows)
-                            s += g * g
-                            table -= STEP * g / np.sqrt(s)
+                            _step(table, s, rows, bias, given, y)
                     n += len(tok)
             if n:
                 total = np.append(((tables - start) * n).reshape(-1), np.float32(n))
@@ -291,7 +316,9 @@ def log10(flat: np.ndarray, shape: Shape, tok: np.ndarray, at: np.ndarray, group
     for i in range(0, len(tok), BATCH):
         cut = slice(i, i + BATCH)
         for table, (rows, bias, given, y) in zip(shape.split(flat), shape.factors(feats[:, cut], group[cut], slot[cut])):
-            out[cut] += np.log10(np.maximum(_softmax(table, rows, bias, given)[y, np.arange(len(y))], 1e-30))
+            z = _logits(table, rows, bias, given)
+            own = z[y, np.arange(len(y))].astype(float)
+            out[cut] += np.maximum((own - np.log(np.exp(z, out=z).sum(axis=0))) / LN10, -30)
     return out
 
 

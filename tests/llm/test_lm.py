@@ -110,6 +110,35 @@ def test_gradient_against_differences():
         t[c, b] -= 1e-6
 
 
+def test_steps_in_place_against_the_plain_ones():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    table, seen = rng.normal(size=(21, 40_000)).astype(np.float32), np.ones((21, 40_000), np.float32)
+    rows, y = rng.integers(0, 300, (3, 60)).astype(np.int32), rng.integers(0, 21, 60)
+    bias, given = rng.normal(size=(21, 3)).astype(np.float32), rng.integers(0, 3, 60)
+    own, total = table.copy(), seen.copy()
+    for _ in range(3):
+        g = lm._gradient(lm._softmax(own, rows, bias, given), rows, y, 40_000)
+        total += g * g
+        own -= lm.STEP * g / np.sqrt(total)
+    tracemalloc.start()
+    for _ in range(3):
+        lm._step(table, seen, rows, bias, given, y)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (table == own).all() and (seen == total).all() and most < table.nbytes
+    # scores by logits are those of the probabilities
+    shape = Shape(np.arange(1, 50, dtype=np.int64), np.arange(1, 50), 100)
+    flat = rng.normal(size=shape.size).astype(np.float32)
+    tok, at = rng.integers(1, 60, 90), np.array([0, 30, 90])
+    group, slot = shape.of(tok)
+    want = np.zeros(90)
+    for t, (r, b, h, k) in zip(shape.split(flat), shape.factors(features(tok, at), group, slot)):
+        want += np.log10(lm._softmax(t, r, b, h)[k, np.arange(90)])
+    assert lm.log10(flat, shape, tok, at, group, slot) == pytest.approx(want, abs=1e-5)
+
+
 def test_groups_of_buckets(spark, monkeypatch):
     rows = corpus()[:60]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
