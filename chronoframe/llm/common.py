@@ -48,16 +48,24 @@ class Scratch:
         _made[self.root] = spark
         self._n = 0
         self._paths: dict[int, str] = {}
+        #: Files to a table at most; None: one for each task.
+        self.files: int | None = None
 
     def table(self, df: DataFrame) -> DataFrame:
         """Write ``df`` once and return the written table."""
         self._n += 1
         path = f"{self.root}/t{self._n}"
-        df.write.parquet(path)
+        few = self.files and self.files < int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        (df.coalesce(self.files) if few else df).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
         return out
 
+    def sized(self, size: int, each: int | None = None) -> None:
+        """Later tables follow ``size`` bytes of data, not the shuffle partitions: a file for each ``each`` (``AT_ONCE``) and
+        two for each core. A local file without Hadoop's native library costs forks of the executor, too."""
+        self.files = max(2 * self.spark.sparkContext.defaultParallelism, -(-size // (each or AT_ONCE)))
+
     def drop(self, df: DataFrame | None) -> None:
         """Remove a table of this scratch that no later plan reads."""
         if path := self._paths.pop(id(df), None):
@@ -71,6 +79,13 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back(spark: SparkSession) -> None:
+    """Let the executors' JVMs collect their garbage and return the heap and classes that it took. They
+    would keep what earlier steps filled beside the Python workers of the next. One short task for each core."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+
+
 def release(spark: SparkSession) -> None:
     """Remove the scratch tables of this session. For long sessions, once the results that read them
     are written; a result that was not is lost with them."""

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, small, text_buffer, tidy
+from .common import Scratch, give_back, small, text_buffer, tidy
 from .components import connected_components
 from .simhash import candidates, majority
 
@@ -193,6 +193,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, s
     out = scratch.table(full.select("u", "v", "hu", "hv").mapInArrow(tidy(judge), "u long, v long"))
     scratch.drop(pairs)
     scratch.drop(sets)
+    give_back(scratch.spark)
     return out
 
 
@@ -223,6 +224,8 @@ def components(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", s
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = df.select(F.col(key_col).alias("key"), F.xxhash64(text).alias("h"), text.alias("text"))
     prints = scratch.table(_prints(texts, size, _common(texts, size)))
+    scratch.sized(8 * (prints.agg(F.sum("n")).first()[0] or 0))
+    give_back(df.sparkSession)
     nodes = scratch.table(prints.groupBy("node").agg(F.min("key").alias("least"), F.min("h").alias("h"), F.any_value("fp").alias("fp"), F.any_value("n").alias("n"), F.any_value("cells").alias("cells"), F.any_value("fine").alias("fine")))
     first = _verified(_indexed(nodes, scratch, wide), nodes, texts, size, scratch)
     known = connected_components(first, scratch)
@@ -230,6 +233,7 @@ def components(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", s
     listed = prints.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
     listed = listed.select("node", "n", F.posexplode("prefix").alias("pos", "s"))
     live = scratch.table(listed.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("s"))).where("m > 1"))
+    give_back(df.sparkSession)
 
     slim = live.where(F.col("m") <= wide)
     pairs = _pairs(slim.alias("a").join(slim.alias("b"), F.col("a.s") == F.col("b.s")).where(F.col("a.node") < F.col("b.node")).where(_fits("a", "b")))

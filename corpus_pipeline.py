@@ -6,12 +6,14 @@ return the columns of ``documents``. Rows with a null id are kept by the stages
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronoframe.llm import decontaminate, near, pieces, secrets, toxicity
-from chronoframe.llm.common import Scratch
+from chronoframe.llm.common import Scratch, give_back
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,12 +55,23 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pieces.digest(docs, carry=("lang", "source", "n_chars"), cache=100_000, keep=False)
 
 
+def _lean(stage):
+    """``stage`` begun on executors that hold nothing of the stages before."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        give_back(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("near_dedup", drop_near_duplicates),
-    ("decontaminate", drop_contaminated),
-    ("secrets", redact_secrets),
-    ("pieces", encode_pieces),
+    ("toxicity", _lean(drop_toxic)),
+    ("near_dedup", _lean(drop_near_duplicates)),
+    ("decontaminate", _lean(drop_contaminated)),
+    ("secrets", _lean(redact_secrets)),
+    ("pieces", _lean(encode_pieces)),
 ]
 
 #: SQL cannot express the fitted and hashed stages; tests hold each against a plain version.

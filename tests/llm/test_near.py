@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from chronoframe.llm.common import Scratch
 from chronoframe.llm.near import components
 
 SF = "/root/testdata/sf0.001"
@@ -112,3 +113,21 @@ def test_tasks_work_on_small_runs_of_a_batch(spark, monkeypatch):
     cut = list(near._small([batch], 1))
     assert pa.Table.from_batches(cut).equals(pa.Table.from_batches([batch]))
     assert max(b.num_rows for b in cut) <= 4 and cut[-1].column(1)[-1].as_py() == "y" * 500
+
+
+def test_few_files_for_many_partitions(spark, monkeypatch):
+    """Tables follow the data: small ones are not cut into a file for each shuffle partition."""
+    rows = [(i, f"w{i % 40} " + " ".join(f"a{i % 40}b{k}" for k in range(12))) for i in range(400)]
+    written, table = [], Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df: written.append(table(self, df)) or written[-1])
+    monkeypatch.setattr(Scratch, "drop", lambda self, df: None)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = {r["key"]: r["component"] for r in components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {i: i % 40 for i in range(400)}
+        assert max(len(x.inputFiles()) for x in written) <= 2 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -58,3 +58,16 @@ def test_repeated_and_null_ids(spark):
         assert stage(spark, none, SF).count() == 0
     assert len(corpus_pipeline.STAGES) == 5
     assert near.LEAST == (4, 5) and near.SHINGLE == 5 and decontaminate.OVERLAP == 0.8
+
+
+def test_stages_begin_on_collected_heaps(spark):
+    """What an earlier stage left in the executors' JVM (here the driver's) is collected before the next one's
+    tasks."""
+    jvm = spark.sparkContext._jvm
+    beans = jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "Mark" in b.getName())
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        before = whole()
+        stage(spark, docs, SF)
+        assert whole() > before, name
