@@ -71,3 +71,17 @@ def test_tree_sum(spark):
         yield part_batch(np.arange(3.0) * sum(b.num_rows for b in batches))
 
     assert tree_sum(spark.range(100).repartition(9).mapInArrow(run, "part binary"), 3).tolist() == [0, 100, 200]
+
+
+def test_tree_sum_reads_few_tasks(spark, monkeypatch):
+    """Where rows dealt by a key go to many shuffle partitions, the driver still reads about sqrt(partitions) tasks."""
+
+    def run(batches):
+        yield part_batch(np.arange(3.0) * sum(b.num_rows for b in batches))
+
+    kind, read = type(spark.range(1)), []
+    deal, walk = kind.repartition, kind.toLocalIterator
+    monkeypatch.setattr(kind, "repartition", lambda self, n, *keys: deal(self, max(n, 211) if keys else n, *keys))
+    monkeypatch.setattr(kind, "toLocalIterator", lambda self, **how: read.append(self.rdd.getNumPartitions()) or walk(self, **how))
+    assert tree_sum(spark.range(100).repartition(16).mapInArrow(run, "part binary"), 3).tolist() == [0, 100, 200]
+    assert read == [4]
