@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _made: dict[str, SparkSession] = {}
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,8 +43,11 @@ class Scratch:
     """Written tables that cut lineage. They live in the shared folder, so a lost executor
     costs only the tasks it ran; leftovers are removed when the driver ends."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, lean: bool = False):
+        """``lean``: shuffle files go as soon as the table that needed them is written, not when the driver's
+        garbage collection finds their plan."""
         self.spark = spark
+        self.lean = lean
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         _made[self.root] = spark
         self._n = 0
@@ -56,7 +60,14 @@ class Scratch:
         self._n += 1
         path = f"{self.root}/t{self._n}"
         few = self.files and self.files < int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        (df.coalesce(self.files) if few else df).write.parquet(path)
+        was = self.spark.conf.get(_CLEAN, None)
+        if self.lean:
+            self.spark.conf.set(_CLEAN, "true")
+        try:
+            (df.coalesce(self.files) if few else df).write.parquet(path)
+        finally:
+            if self.lean:
+                self.spark.conf.unset(_CLEAN) if was is None else self.spark.conf.set(_CLEAN, was)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
         return out

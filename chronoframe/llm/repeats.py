@@ -548,7 +548,7 @@ def removed_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(texts, documents, runs): ``doc_id, th, text`` and ``doc_id, th, n_bytes, sha256`` of each row, and
     ``doc_id, th, n_removed, n_spans, runs`` of each distinct document that loses bytes (th hashes the text
     where an id has several)."""
-    scratch = scratch or Scratch(df.sparkSession, "repeats")
+    scratch = scratch or Scratch(df.sparkSession, "repeats", lean=True)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     sampled = F.pmod(F.xxhash64("th"), F.lit(1 << 30)) < int(SAMPLED * (1 << 30))
@@ -583,7 +583,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     Ids are integers. Null text reads as empty; rows with a null id neither lose bytes nor take any from
     others. Rows with the same id do not take bytes from each other, whether their texts are equal or not.
     """
-    scratch = Scratch(df.sparkSession, "repeats")
+    scratch = Scratch(df.sparkSession, "repeats", lean=True)
     docs, facts, runs = removed_runs(df, id_col, text_col, scratch)
     once = facts.select("doc_id", "th", "n_bytes").distinct()
     whole = runs.join(once, ["doc_id", "th"])

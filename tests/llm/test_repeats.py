@@ -1,9 +1,11 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 
 from chronoframe.llm import repeats
+from chronoframe.llm.common import Scratch
 from chronoframe.llm.repeats import SPAN, anchors, dedup, maximal_repeats, merged
 
 
@@ -184,3 +186,30 @@ def test_crowded_anchors_are_dealt_by_their_near_halves(spark):
         asks = [b.as_py() for k, b in zip(out.column("kind"), out.column("blob")) if k.as_py() == repeats.ASKS]
         assert set(repeats.unpack(asks, repeats._ASK)[4].tolist()) <= ways
     check(spark, rows)
+
+
+def test_shuffle_files_go_with_each_table(spark, monkeypatch):
+    """No table leaves its shuffle files, whether or not the driver collects its garbage."""
+    monkeypatch.setattr(repeats, "free_shuffles", lambda spark: None)
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    left, table = [], Scratch.table
+
+    def files():
+        every = disk.getAllFiles()
+        return {every.apply(k).getName() for k in range(every.size())}
+
+    def watched(self, df):
+        before = files()
+        out = table(self, df)
+        for _ in range(50):
+            if not (more := {x for x in files() - before if x.startswith("shuffle_")}):
+                break
+            time.sleep(0.1)
+        left.append(more)
+        return out
+
+    monkeypatch.setattr(Scratch, "table", watched)
+    same = "".join(chr(97 + i * i % 23) for i in range(90))
+    rows = [(i, f"{i} begins " + same + f" ends {i}") for i in range(40)]
+    docs, _, runs = repeats.removed_runs(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert runs.count() == 39 and len(left) >= 4 and not any(left)
