@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DEALT, Scratch, deal, free_shuffles, pack, spans, text_buffer, unpack
+from .common import DEALT, Scratch, deal, free_shuffles, give_back, pack, spans, text_buffer, tidy, unpack
 from .common import dealt_again as _dealt_again
 from .common import fan as _fan
 
@@ -560,13 +560,15 @@ def removed_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = repeated.count()
     facts = _told_apart(facts, repeated, n)
     docs = _told_apart(docs.where("doc_id is not null"), repeated, n)
-    own = _owners(parts)
-    given = dealt_again(docs.mapInArrow(_gather(parts, AT_ONCE, hot_keys(facts)), DEALT), parts, own)
+    own, hot = _owners(parts), hot_keys(facts)
+    give_back(df.sparkSession)
+    given = dealt_again(docs.mapInArrow(tidy(_gather(parts, AT_ONCE, hot)), DEALT), parts, own)
     found = scratch.table(dealt_again(given.groupBy("kind", "part").applyInArrow(_settle(parts, CROWD), DEALT), parts, own))
     del given
     free_shuffles(df.sparkSession)
+    give_back(df.sparkSession)
     wanted = scratch.table(found.where(f"kind = {ASKS}").groupBy("part").applyInArrow(_asked, "doc_id long, th long, ask binary"))
-    frags = dealt_again(_thinned(docs, wanted).select("doc_id", "th", "text", "ask").mapInArrow(_fetch(parts), DEALT), parts, own)
+    frags = dealt_again(_thinned(docs, wanted).select("doc_id", "th", "text", "ask").mapInArrow(tidy(_fetch(parts)), DEALT), parts, own)
     more = dealt_again(frags.groupBy("kind", "part").applyInArrow(_compare(parts, SORTED), DEALT), parts, own)
     runs = found.where(f"kind = {MARKS}").unionByName(more).groupBy("part").applyInArrow(_union, "doc_id long, th long, n_removed long, n_spans long, runs binary")
     runs = scratch.table(runs)
@@ -574,6 +576,7 @@ def removed_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch.drop(wanted)
     del frags, more
     free_shuffles(df.sparkSession)
+    give_back(df.sparkSession)
     return docs, facts.drop("sample"), runs
 
 

@@ -213,3 +213,13 @@ def test_shuffle_files_go_with_each_table(spark, monkeypatch):
     rows = [(i, f"{i} begins " + same + f" ends {i}") for i in range(40)]
     docs, _, runs = repeats.removed_runs(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
     assert runs.count() == 39 and len(left) >= 4 and not any(left)
+
+
+def test_heaps_are_collected_between_steps(spark, monkeypatch):
+    """Executors (here the driver's JVM) collect what a step left before the workers of the next begin."""
+    monkeypatch.setattr(repeats, "free_shuffles", lambda spark: None)
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "Mark" in b.getName())
+    before = whole()
+    repeats.removed_runs(spark.createDataFrame([(1, "a" * 60), (2, "a" * 60)], "doc_id long, text string"))
+    assert whole() - before >= 3
