@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 _made: dict[str, SparkSession] = {}
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BARE = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,7 +46,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str, lean: bool = False):
         """``lean``: shuffle files go as soon as the table that needed them is written, not when the driver's
-        garbage collection finds their plan."""
+        garbage collection finds their plan; tables get no marker file."""
         self.spark = spark
         self.lean = lean
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -64,7 +65,7 @@ class Scratch:
         if self.lean:
             self.spark.conf.set(_CLEAN, "true")
         try:
-            (df.coalesce(self.files) if few else df).write.parquet(path)
+            (df.coalesce(self.files) if few else df).write.options(**_BARE if self.lean else {}).parquet(path)
         finally:
             if self.lean:
                 self.spark.conf.unset(_CLEAN) if was is None else self.spark.conf.set(_CLEAN, was)

@@ -59,6 +59,9 @@ SORTED = 8_000
 SAMPLED, HOT = 1 / 40_000, 16
 #: Ids up to which a set of documents is broadcast to thin texts before they are shuffled.
 FEW = 1_000_000
+#: Bytes of the input to a file of a written table, two for each core at least. For each local file the JVM forks a chmod
+#: where Hadoop has no native library, and until that starts the fork counts all memory of the JVM again.
+EACH = 96 << 20
 #: Anchors are many to a bucket, so this many times as many buckets as elsewhere are dealt at once: a second
 #: dealing would hold each anchor on disk twice.
 FANS = 8
@@ -549,6 +552,8 @@ def removed_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``doc_id, th, n_removed, n_spans, runs`` of each distinct document that loses bytes (th hashes the text
     where an id has several)."""
     scratch = scratch or Scratch(df.sparkSession, "repeats", lean=True)
+    scratch.sized(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), EACH)
+    give_back(df.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     sampled = F.pmod(F.xxhash64("th"), F.lit(1 << 30)) < int(SAMPLED * (1 << 30))
@@ -606,4 +611,11 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     kept = _thinned(docs, part).select("doc_id", "th", "text", "runs").mapInArrow(run, "doc_id long, th long, kept string").distinct()
     lost = whole.drop("n_bytes", "runs").join(kept, ["doc_id", "th"], "left").withColumn("kept", F.coalesce("kept", F.sha2(F.lit(""), 256)))
     out = facts.join(lost, ["doc_id", "th"], "left")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept", "sha256").alias("kept_sha256"))
+    out = out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept", "sha256").alias("kept_sha256"))
+    # the caller's writing may fork the executors for each file, so their joins are over and their heaps small by then
+    out = scratch.table(out)
+    scratch.drop(part)
+    scratch.drop(runs)
+    free_shuffles(df.sparkSession)
+    give_back(df.sparkSession)
+    return out

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import time
+from pathlib import Path
 
 import numpy as np
 
@@ -223,3 +224,41 @@ def test_heaps_are_collected_between_steps(spark, monkeypatch):
     before = whole()
     repeats.removed_runs(spark.createDataFrame([(1, "a" * 60), (2, "a" * 60)], "doc_id long, text string"))
     assert whole() - before >= 3
+
+
+def test_files_follow_the_data_not_the_partitions(spark, monkeypatch, tmp_path):
+    """Each local file costs forks of the JVM, so 40 partitions of little data become a few files, and none is a marker."""
+    rows = [(i, f"{i} begins " + "same words " * 9 + f" ends {i}") for i in range(80)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "in"))
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    files, markers = [], []
+
+    def table(self, df, table=Scratch.table):
+        out = table(self, df)
+        where = Path(self._paths[id(out)].removeprefix("file://"))
+        files.append(len(list(where.glob("part-*"))))
+        markers.extend(where.glob("*_SUCCESS*"))
+        return out
+
+    monkeypatch.setattr(Scratch, "table", table)
+    try:
+        out = dedup(spark.read.parquet(str(tmp_path / "in")).repartition(40))
+        assert sorted((tuple(r) for r in out.collect()), key=str) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert len(files) >= 5 and max(files) <= 2 * spark.sparkContext.defaultParallelism and not markers
+
+
+def test_the_result_is_a_written_table(spark, monkeypatch):
+    """Whoever writes the result does so on heaps that were collected after the last join."""
+    seen = []
+    table = Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df: seen.append("table") or table(self, df))
+    monkeypatch.setattr(repeats, "give_back", lambda spark: seen.append("collected"))
+    rows = [(i, f"{i} begins " + "same words " * 9 + f" ends {i}") for i in range(40)]
+    out = dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert seen[-2:] == ["table", "collected"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert sorted((tuple(r) for r in out.collect()), key=str) == brute(rows)
